@@ -15,7 +15,9 @@ the source. DataFrame and SQL functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coffer.llm.common import WORD, materialise
@@ -23,33 +25,44 @@ from coffer.llm.common import WORD, materialise
 CHUNK = 128
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
+#: Rows of a plan up to which it is broadcast (some 50 bytes each).
+BROADCAST_ROWS = 200_000
 
-_ITEM = "struct<h: bigint, doc_id: bigint, size: bigint, whole: int, p: double>"
-
-# One step of the fold. a: the open document, b: the next. up: words that can go
-# from b to a; down: from a to b. Going up has the odds down / (up + down).
-_STEP = """
-CASE WHEN acc.open IS NULL THEN named_struct('open', it, 'done', acc.done)
-ELSE transform(array(named_struct(
-       'a', acc.open, 'b', it,
-       'up', least(acc.open.size * (1 - acc.open.p), it.size * it.p),
-       'down', least(acc.open.size * acc.open.p, it.size * (1 - it.p)),
-       'u', pmod(xxhash64(acc.open.h, it.h, {seed}), 9007199254740992) / 9007199254740992D)),
-  s -> CASE
-    WHEN s.u * (s.up + s.down) < s.down AND s.up >= s.a.size * (1 - s.a.p)
-      THEN named_struct('open', named_struct('h', s.b.h, 'doc_id', s.b.doc_id, 'size', s.b.size, 'whole', s.b.whole, 'p', greatest(0D, s.b.p - s.up / s.b.size)),
-                        'done', concat(acc.done, array(named_struct('doc_id', s.a.doc_id, 'size', s.a.size, 'copies', s.a.whole + 1))))
-    WHEN s.u * (s.up + s.down) < s.down
-      THEN named_struct('open', named_struct('h', s.a.h, 'doc_id', s.a.doc_id, 'size', s.a.size, 'whole', s.a.whole, 'p', least(1D, s.a.p + s.up / s.a.size)),
-                        'done', concat(acc.done, array(named_struct('doc_id', s.b.doc_id, 'size', s.b.size, 'copies', s.b.whole))))
-    WHEN s.down >= s.a.size * s.a.p
-      THEN named_struct('open', named_struct('h', s.b.h, 'doc_id', s.b.doc_id, 'size', s.b.size, 'whole', s.b.whole, 'p', least(1D, s.b.p + s.down / s.b.size)),
-                        'done', concat(acc.done, array(named_struct('doc_id', s.a.doc_id, 'size', s.a.size, 'copies', s.a.whole))))
-    ELSE named_struct('open', named_struct('h', s.a.h, 'doc_id', s.a.doc_id, 'size', s.a.size, 'whole', s.a.whole, 'p', greatest(0D, s.a.p - s.down / s.a.size)),
-                      'done', concat(acc.done, array(named_struct('doc_id', s.b.doc_id, 'size', s.b.size, 'copies', s.b.whole + 1))))
-  END)[0]
-END
-"""
+#: size: words of a row; n_rows: equal rows, which share their fate; words: of all of them.
+_ITEM = "struct<h: bigint, doc_id: bigint, size: bigint, n_rows: bigint, words: bigint, whole: int, p: double>"
+_DONE = "struct<doc_id: bigint, size: bigint, n_rows: bigint, copies: int>"
+
+
+def _open(x: str, p: str) -> str:
+    """SQL: item ``x`` with the fraction ``p``."""
+    return f"named_struct('h', {x}.h, 'doc_id', {x}.doc_id, 'size', {x}.size, 'n_rows', {x}.n_rows, 'words', {x}.words, 'whole', {x}.whole, 'p', {p})"
+
+
+def _settle(x: str, up: int) -> str:
+    """SQL: the settled items with ``x``, rounded down or up."""
+    return f"concat(acc.done, array(named_struct('doc_id', {x}.doc_id, 'size', {x}.size, 'n_rows', {x}.n_rows, 'copies', {x}.whole + {up})))"
+
+
+def _step(seed: int) -> str:
+    """SQL of one step of the fold over (acc, it).
+
+    a is the open item, b the next; up: words that can go from b to a; down: from
+    a to b. Going up has the odds down / (up + down), so no expectation moves.
+    """
+    a, b = "acc.open", "it"
+    up, down = f"least({a}.words * (1 - {a}.p), {b}.words * {b}.p)", f"least({a}.words * {a}.p, {b}.words * (1 - {b}.p))"
+    draw = f"pmod(xxhash64({a}.h, {b}.h, {seed}), 9007199254740992) / 9007199254740992D"
+    both = f"named_struct('a', {a}, 'b', {b}, 'up', {up}, 'down', {down}, 'u', {draw})"
+    return f"""CASE WHEN acc.open IS NULL THEN named_struct('open', it, 'done', acc.done)
+    ELSE transform(array({both}), s -> CASE
+      WHEN s.u * (s.up + s.down) < s.down AND s.up >= s.a.words * (1 - s.a.p)
+        THEN named_struct('open', {_open("s.b", "greatest(0D, s.b.p - s.up / s.b.words)")}, 'done', {_settle("s.a", 1)})
+      WHEN s.u * (s.up + s.down) < s.down
+        THEN named_struct('open', {_open("s.a", "least(1D, s.a.p + s.up / s.a.words)")}, 'done', {_settle("s.b", 0)})
+      WHEN s.down >= s.a.words * s.a.p
+        THEN named_struct('open', {_open("s.b", "least(1D, s.b.p + s.down / s.b.words)")}, 'done', {_settle("s.a", 0)})
+      ELSE named_struct('open', {_open("s.a", "greatest(0D, s.a.p - s.down / s.a.words)")}, 'done', {_settle("s.b", 1)})
+    END)[0] END"""
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -79,24 +92,23 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
 
 
 def round_copies(items: DataFrame, seed: int) -> DataFrame:
-    """Whole numbers of copies for ``items`` (source, doc_id, size > 0, n_docs, x: copies wanted).
+    """Whole numbers of copies for ``items`` (source, doc_id, size > 0, n_rows, n_docs, x: copies wanted).
 
-    Returns source, doc_id, size, copies: x rounded down or up for each row,
-    with the sum of size * copies of a source at the sum of size * x to within
-    one document. Equal rows can change places; a source with one document is
-    rounded to the nearer side.
+    Returns source, doc_id, size, n_rows, copies: x rounded down or up, with the
+    words taken of a source at those wanted to within one item. A source with
+    one item is rounded to the nearer side. n_docs: items of the source.
     """
     head = items.withColumns({"h": F.xxhash64("doc_id", "size", F.lit(seed)), "whole": F.floor("x").cast("int")})
     head = head.withColumn("p", F.col("x") - F.col("whole"))
-    level = head.select("source", F.expr(f"pmod(h, ceil(n_docs / {CHUNK}D))").alias("chunk"), F.expr(f"ceil(n_docs / {CHUNK}D)").alias("chunks"), F.struct("h", "doc_id", "size", "whole", "p").cast(_ITEM).alias("item"))
-    zero = f"named_struct('open', CAST(NULL AS {_ITEM}), 'done', CAST(array() AS array<struct<doc_id: bigint, size: bigint, copies: int>>))"
+    level = head.select("source", F.expr(f"pmod(h, ceil(n_docs / {CHUNK}D))").alias("chunk"), F.expr(f"ceil(n_docs / {CHUNK}D)").alias("chunks"), F.struct("h", "doc_id", "size", "n_rows", (F.col("size") * F.col("n_rows")).alias("words"), "whole", "p").cast(_ITEM).alias("item"))
+    zero = f"named_struct('open', CAST(NULL AS {_ITEM}), 'done', CAST(array() AS array<{_DONE}>))"
     settled, step, more = [], 0, True
     while more:
-        fold = F.expr(f"aggregate(array_sort(items), {zero}, (acc, it) -> {_STEP.format(seed=seed + step)})")
+        fold = F.expr(f"aggregate(array_sort(items), {zero}, (acc, it) -> {_step(seed + step)})")
         folded = level.groupBy("source", "chunk", "chunks").agg(F.collect_list("item").alias("items")).select("source", "chunk", "chunks", fold.alias("f"))
         folded = materialise(folded, f"mix-level{step}")
         last = F.col("chunks") <= 1
-        root = F.expr("struct(f.open.doc_id, f.open.size, CAST(f.open.whole + IF(f.open.p >= 0.5D, 1, 0) AS int) AS copies)")
+        root = F.expr("struct(f.open.doc_id, f.open.size, f.open.n_rows, CAST(f.open.whole + IF(f.open.p >= 0.5D, 1, 0) AS int) AS copies)")
         settled.append(folded.select("source", F.explode("f.done").alias("d")).select("source", "d.*"))
         settled.append(folded.where(last).select("source", root.alias("d")).select("source", "d.*"))
         level = folded.where(~last).select("source", F.expr(f"pmod(chunk, ceil(chunks / {CHUNK}D))").alias("chunk"), F.expr(f"ceil(chunks / {CHUNK}D)").alias("chunks"), F.col("f.open").alias("item"))
@@ -108,20 +120,55 @@ def round_copies(items: DataFrame, seed: int) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
-    """How often the mix takes each of ``docs`` (doc_id, text, source; other columns are ignored).
+def _words() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
 
-    Returns doc_id, source, size (words; null text 0), source_size, target,
-    copies, taken (copies * size). Documents without words are taken 0 times.
-    Null source is a source of its own, the last. Rows that repeat a doc_id are
-    rounded each on their own. Empty input gives no rows. Same input, same result.
+def _same(columns: tuple[str, ...], left: str, right: str) -> Column:
+    """All ``columns`` of two aliased frames are equal, or null in both."""
+    return reduce(lambda x, y: x & y, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
+
+
+def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
+    """Copies for each distinct (doc_id, source, size) of ``docs`` (doc_id, text, source; other columns are ignored).
+
+    n_rows rows have these three and share their fate. Returns doc_id, source,
+    size (words; null text 0), n_rows, source_size, target, copies. Texts without
+    words are taken 0 times. Null source is a source of its own, the last.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "mix-base")
-    sources = materialise(source_targets(base, share, most), "mix-sources")
-    joined = base.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.source", "d.doc_id", "d.size", "s.n_docs", "s.source_size", "s.target")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _words().alias("size"))
+    base = materialise(base.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_rows")), "mix-base")
+    sources = materialise(source_targets(base.select("source", (F.col("size") * F.col("n_rows")).alias("size")), share, most), "mix-sources")
+    joined = base.alias("d").join(sources.alias("s"), _same(("source",), "d", "s")).select("d.source", "d.doc_id", "d.size", "d.n_rows", "s.n_docs", "s.source_size", "s.target")
     full = joined.where("size > 0").withColumn("x", F.least(F.lit(float(most)), F.col("target") / F.col("source_size")))
-    rounded = round_copies(full.select("source", "doc_id", "size", "n_docs", "x"), seed)
-    empty = joined.where("size = 0").select("source", "doc_id", "size", F.lit(0).alias("copies"))
-    out = rounded.unionByName(empty).alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-    return out.select("r.doc_id", "r.source", "r.size", "s.source_size", "s.target", "r.copies", (F.col("r.copies") * F.col("r.size")).alias("taken"))
+    rounded = round_copies(full.select("source", "doc_id", "size", "n_rows", "n_docs", "x"), seed)
+    empty = joined.where("size = 0").select("source", "doc_id", "size", "n_rows", F.lit(0).alias("copies"))
+    out = rounded.unionByName(empty).alias("r").join(sources.alias("s"), _same(("source",), "r", "s"))
+    return out.select("r.doc_id", "r.source", "r.size", "r.n_rows", "s.source_size", "s.target", "r.copies")
+
+
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
+    """How often the mix takes each row of ``docs`` (doc_id, text, source; other columns are ignored).
+
+    Returns doc_id, source, size, source_size, target, copies, taken (copies *
+    size), one row for each row of ``docs``. Nulls: see ``plan_mix``. Empty input
+    gives no rows. Same input, same result.
+    """
+    plan = plan_mix(docs, share, most, seed)
+    rows = plan.withColumn("each", F.explode(F.expr("sequence(1L, n_rows)")))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; columns as they were.
+
+    The plan is joined to the documents by broadcast while it has few enough
+    rows, and by a shuffle beyond.
+    """
+    plan = plan_mix(docs, share, most, seed).where("copies > 0").select(F.col("doc_id").alias("k_doc_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), "copies")
+    plan = materialise(plan, "mix-plan")
+    if plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d_doc_id"), F.col("source").cast("string").alias("d_source"), _words().alias("d_size"))
+    match = reduce(lambda x, y: x & y, [F.col(f"d_{c}").eqNullSafe(F.col(f"k_{c}")) for c in ("doc_id", "source", "size")])
+    return whole.join(plan, match).select("row", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("row.*")
