@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coffer.llm import media, mixing, neardup, packing, pii, sharding, tokencount, topk, toxicity
+from coffer.llm import lmscore, media, mixing, neardup, packing, pii, sharding, tokencount, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_tokencount": op4_tokencount,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
+    "op7_lmscore": op7_lmscore,
     "op8_packing": op8_packing,
     "op9_media": op9_media,
     "op10_topk": op10_topk,
