@@ -43,7 +43,9 @@ MOST_BITS = 49
 GROUP = 64
 #: Rows of ids up to which a side is broadcast (16 bytes or so each); above that both sides are shuffled.
 BROADCAST_ROWS = 200_000
-_MOST_WORDS = 300_000
+_MOST_WORDS = 200_000
+#: Rows of a batch that are held as sets at once.
+PART_ROWS = 256
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -85,8 +87,7 @@ def shingles(text: bytes, k: int, hashes: WordHashes) -> np.ndarray:
 def permutations() -> tuple[np.ndarray, np.ndarray]:
     """The first permutation, and each place's slice of the second, circulant one."""
     rng = np.random.Generator(np.random.PCG64(SEED))
-    first = rng.permutation(1 << UNIVERSE_BITS).astype(np.uint32)
-    second = rng.permutation(1 << UNIVERSE_BITS).astype(np.uint32)
+    first, second = (rng.permutation(np.arange(1 << UNIVERSE_BITS, dtype=np.uint32)) for _ in range(2))
     circle = np.concatenate([second, second[: COORDINATES - 1]])
     return first, np.lib.stride_tricks.sliding_window_view(circle, COORDINATES)
 
@@ -110,6 +111,19 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
+def _sketched(batch: pa.RecordBatch, k: int, hashes: WordHashes) -> pa.RecordBatch:
+    """The sketches of a batch (doc_id, text)."""
+    sets = [shingles(t.as_py(), k, hashes) for t in batch.column(1)]
+    full = np.array([len(s) > 0 for s in sets], bool)
+    keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+    signatures = np.stack([signature(s) for s in sets if len(s)]) if full.any() else np.zeros((0, COORDINATES), np.uint32)
+    bits = np.packbits((signatures & 1).astype(np.uint8), axis=1).view(np.int64)
+    spread = np.cumsum(full) - 1
+    words = [pa.array([int(bits[j, w]) if f else None for j, f in zip(spread, full, strict=True)], pa.int64()) for w in range(3)]
+    bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)), pa.array(band_keys(signatures).ravel()))
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), *words, bands], names=["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "bands"])
+
+
 def sketch(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit digest of the set), three words of signature bits, band keys. Nulls in the last five without shingles."""
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
@@ -117,16 +131,8 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(t.as_py(), k, hashes) for t in batch.column(1)]
-            full = np.array([len(s) > 0 for s in sets], bool)
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            signatures = np.stack([signature(s) for s in sets if len(s)]) if full.any() else np.zeros((0, COORDINATES), np.uint32)
-            bits = np.packbits((signatures & 1).astype(np.uint8), axis=1).view(np.int64)
-            spread = np.cumsum(full) - 1
-            words = [pa.array([int(bits[j, w]) if f else None for j, f in zip(spread, full, strict=True)], pa.int64()) for w in range(3)]
-            flat = pa.array(band_keys(signatures).ravel())
-            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), *words, bands], names=["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "bands"])
+            for at in range(0, batch.num_rows, PART_ROWS):
+                yield _sketched(batch.slice(at, PART_ROWS), k, hashes)
 
     return raw.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, s0 bigint, s1 bigint, s2 bigint, bands array<bigint>")
 
