@@ -8,15 +8,17 @@ beginning repeated, so all coordinates of a shingle are one slice.
 
 Equal sets are one class from the start. Classes whose signatures agree in a
 whole band are candidates; 38 bands of 5 miss a pair at similarity 0.8 with a
-probability of 3 in 10^7. Two filters that a link cannot fail drop most
-candidates (set sizes; bits of 192 coordinates, where a link at 0.8 fails with
-a probability below 10^-11). The rest are compared on their full sets.
-
-Links are sought in two rounds so that a group of copies, however large, costs
-one comparison a member and band and not one a pair: first each bucket's
-members against its smallest; then, after joining what is linked, only members
-of one bucket that lie in different components. No pair that shares a bucket
-stays unsettled.
+probability of 3 in 10^7. Two filters drop most candidates: set sizes, which a
+link cannot fail, and the low bits of 512 coordinates, where a link at 0.8
+fails with about the same probability. The rest are compared on full sets.
+
+Links are sought in two rounds, so that a group of copies costs one comparison
+a member and band and not one a pair. First each bucket's members are compared
+with its smallest. Then only members of one bucket that lie in different
+components are left. Of those, what passes the filters is joined to families,
+block against block of a bucket, and each family is compared block against
+block on full sets. Both steps give a spanning forest of what they find and
+never the pairs; no pair that shares a bucket stays unsettled.
 """
 
 from __future__ import annotations
@@ -34,16 +36,20 @@ from pyspark.sql import functions as F
 from coffer.llm.common import materialise, text_bytes
 
 UNIVERSE_BITS = 22
-COORDINATES = 192
+COORDINATES = 512
 BANDS, BAND_ROWS = 38, 5
 SEED = 20_240_611
-#: Of COORDINATES low bits, how many may differ: a pair at 0.8 differs in 19 on average, with a deviation of 4.2.
-MOST_BITS = 49
+WORDS = COORDINATES // 64
+#: Of COORDINATES low bits, how many may differ: a pair at 0.8 differs in 51 on average, with a deviation of 6.8 at most.
+MOST_BITS = 87
+#: Members of a bucket, and of a family, in one block.
+BUCKET_BLOCK, FAMILY_BLOCK = 1024, 128
 #: Members compared with one centre in one group of rows.
 GROUP = 64
 #: Rows of ids up to which a side is broadcast (16 bytes or so each); above that both sides are shuffled.
 BROADCAST_ROWS = 200_000
 _MOST_WORDS = 200_000
+BITS = [f"s{i}" for i in range(WORDS)]
 #: Rows of a batch that are held as sets at once.
 PART_ROWS = 256
 
@@ -119,13 +125,13 @@ def _sketched(batch: pa.RecordBatch, k: int, hashes: WordHashes) -> pa.RecordBat
     signatures = np.stack([signature(s) for s in sets if len(s)]) if full.any() else np.zeros((0, COORDINATES), np.uint32)
     bits = np.packbits((signatures & 1).astype(np.uint8), axis=1).view(np.int64)
     spread = np.cumsum(full) - 1
-    words = [pa.array([int(bits[j, w]) if f else None for j, f in zip(spread, full, strict=True)], pa.int64()) for w in range(3)]
+    words = [pa.array([int(bits[j, w]) if f else None for j, f in zip(spread, full, strict=True)], pa.int64()) for w in range(WORDS)]
     bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)), pa.array(band_keys(signatures).ravel()))
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), *words, bands], names=["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "bands"])
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), *words, bands], names=["doc_id", "n_shingles", "set_key", *BITS, "bands"])
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit digest of the set), three words of signature bits, band keys. Nulls in the last five without shingles."""
+    """doc_id, n_shingles, set_key (128-bit digest of the set), signature bits, band keys. Nulls after n_shingles without shingles."""
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,17 +140,17 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
             for at in range(0, batch.num_rows, PART_ROWS):
                 yield _sketched(batch.slice(at, PART_ROWS), k, hashes)
 
-    return raw.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, s0 bigint, s1 bigint, s2 bigint, bands array<bigint>")
+    return raw.mapInArrow(run, f"doc_id bigint, n_shingles bigint, set_key binary, {', '.join(b + ' bigint' for b in BITS)}, bands array<bigint>")
 
 
 def _can_link(similarity: int):
     """SQL over the columns of both ends of a pair: sizes and signature bits do not rule a link out."""
-    bits = " + ".join(f"bit_count(a_s{i} ^ b_s{i})" for i in range(3))
+    bits = " + ".join(f"bit_count(a_{b} ^ b_{b})" for b in BITS)
     return F.expr(f"100 * least(a_n, b_n) >= {similarity} * greatest(a_n, b_n) AND {bits} <= {MOST_BITS}")
 
 
 def _end(classes: DataFrame, side: str) -> DataFrame:
-    return classes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"{side}_n"), *[F.col(f"s{i}").alias(f"{side}_s{i}") for i in range(3)])
+    return classes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"{side}_n"), *[F.col(b).alias(f"{side}_{b}") for b in BITS])
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -212,6 +218,138 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         edges = materialise(small.where("u != v").distinct(), label)
 
 
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """For a symmetric boolean matrix: (first, other) for each node and the first of its component, if that is another."""
+    out, seen = [], np.zeros(len(linked), bool)
+    for i in np.flatnonzero(linked.any(1)).tolist():
+        if seen[i]:
+            continue
+        here = np.zeros(len(linked), bool)
+        here[i] = True
+        edge = here
+        while edge.any():
+            edge = linked[edge].any(0) & ~here
+            here |= edge
+        seen |= here
+        out += [(i, j) for j in np.flatnonzero(here).tolist() if j != i]
+    return out
+
+
+def _blocked(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """``rows`` (``group``, node, ...; distinct) once for each pair of blocks that its block of the group is in: adds i <= j, the blocks, and ``block``."""
+    blocks = rows.groupBy(group).agg(F.expr(f"ceil(count(*) / {size}D)").alias("blocks"))
+    spread = rows.join(blocks, group).withColumn("block", F.expr("pmod(xxhash64(node, 3), blocks)"))
+    paired = spread.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    return paired.select(*rows.columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """The rows of each run of equal first ``keys`` columns, column by column, over batch ends."""
+    held: list[list] | None = None
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for row in zip(*columns, strict=True):
+            if held is None or any(held[i][0] != row[i] for i in range(keys)):
+                if held is not None:
+                    yield held
+                held = [[] for _ in row]
+            for column, value in zip(held, row, strict=True):
+                column.append(value)
+    if held is not None:
+        yield held
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+
+def _apart(component: np.ndarray, block: np.ndarray, i: int, j: int) -> np.ndarray:
+    """Pairs of two components; where two blocks meet, only pairs across them."""
+    out = component[:, None] != component[None, :]
+    return out if i == j else out & (block[:, None] != block[None, :])
+
+
+def families(open_: DataFrame, similarity: int) -> DataFrame:
+    """node and family of the members of ``open_`` (bucket, node, component, n_shingles, signature bits) that pass the filters with a member of their bucket in another component."""
+    columns = ["bucket", "i", "j", "node", "component", "block", "n_shingles", *BITS]
+    rows = _blocked(open_, "bucket", BUCKET_BLOCK).select(*columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, i, j, node, component, block, n, *bits in _by_group(batches, 3):
+            n, bits = np.array(n), np.array(bits, np.int64).view(np.uint64)
+            near = _apart(np.array(component), np.array(block), i[0], j[0])
+            near &= 100 * np.minimum(n[:, None], n[None, :]) >= similarity * np.maximum(n[:, None], n[None, :])
+            if near.any():
+                differ = np.zeros(near.shape, np.uint16)
+                for word in bits:
+                    differ += np.bitwise_count(word[:, None] ^ word[None, :])
+                near &= differ <= MOST_BITS
+                yield _edges([(node[a], node[b]) for a, b in forest(near)])
+
+    edges = rows.mapInArrow(run, "a bigint, b bigint")
+    inner = components(edges, "dup-families")
+    return inner.select("node", F.col("component").alias("family")).unionByName(inner.select(F.col("component").alias("node"), F.col("component").alias("family")).distinct())
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of sorted distinct arrays, counting only values that two sets have."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    owner, every = owner[order], every[order]
+    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    counts = np.diff(np.append(starts, len(every)))
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    column = np.repeat(np.arange(len(starts)), counts)
+    shared = np.repeat(counts > 1, counts)
+    owner, column = owner[shared], column[shared]
+    at = np.cumsum(np.diff(column, prepend=-1) != 0) - 1 if len(column) else column
+    width = 4096
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        a, z = np.searchsorted(at, [first, first + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[a:z], at[a:z] - first] = 1
+        both += has @ has.T
+    return both.astype(np.int64)
+
+
+def links_between(docs: DataFrame, classes: DataFrame, members: DataFrame, joined: DataFrame, k: int, similarity: int) -> DataFrame | None:
+    """Links, enough to join what they join, between members of one bucket (bucket, b) that ``joined`` (node, component) has in different components; None if there are no candidates."""
+    placed = members.select("bucket", F.col("b").alias("node")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    open_ = materialise(placed.join(split, "bucket").join(classes.select("node", "n_shingles", *BITS), "node"), "dup-open")
+    if not open_.take(1):
+        return None
+    in_family = materialise(families(open_, similarity), "dup-family")
+    if not in_family.take(1):
+        return None
+    rows = in_family.join(joined, "node", "left").select("family", "node", F.coalesce("component", "node").alias("component"))
+    need = materialise(_blocked(rows, "family", FAMILY_BLOCK), "dup-need")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_bytes().alias("text")).join(_small(need), "node")
+    texts = texts.select("family", "i", "j", "node", "component", "block", "text").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch_group in _by_group(_with_sets(batches, k, hashes), 3):
+            _, i, j, node, component, block, held = batch_group
+            sets = [np.frombuffer(s, np.uint64) for s in held]
+            both, n = intersections(sets), np.array([len(s) for s in sets])
+            linked = _apart(np.array(component), np.array(block), i[0], j[0]) & (both > 0) & (100 * both >= similarity * (n[:, None] + n[None, :] - both))
+            if linked.any():
+                yield _edges([(node[a], node[b]) for a, b in forest(linked)])
+
+    return materialise(texts.mapInArrow(run, "a bigint, b bigint").distinct(), "dup-second")
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch], k: int, hashes: WordHashes) -> Iterator[pa.RecordBatch]:
+    """Batches with their last column, texts, replaced by the bytes of the texts' sets, a part at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            part = batch.slice(at, PART_ROWS)
+            sets = pa.array([shingles(t.as_py(), k, hashes).tobytes() for t in part.column(part.num_columns - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], sets], names=part.schema.names)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     """Groups of near-duplicate rows of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -226,7 +364,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
     with an equal set, and is kept only if there is none. Empty input: no rows.
     """
     rows = materialise(sketch(docs, k), "dup-sketch")
-    sets = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "s0", "s1", "s2", "bands")])
+    sets = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", *BITS, "bands")])
     classes = materialise(sets, "dup-classes")
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("bucket", "a")
@@ -236,20 +374,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
     links = verified(docs, materialise(pairs, "dup-pairs"), k, similarity, "dup-first")
     joined = components(links)
 
-    # What shares a bucket and lies in different components.
-    placed = members.select("bucket", F.col("b").alias("node")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_ = materialise(placed.join(split, "bucket"), "dup-open")
-    if open_.take(1):
-        parts = open_.select("bucket", "component").distinct()
-        crossed = parts.select("bucket", F.col("component").alias("ca")).join(parts.select("bucket", F.col("component").alias("cb")), "bucket").where("ca < cb")
-        full = open_.join(_end(classes, "a").withColumnRenamed("a", "node"), "node")
-        left = full.withColumnsRenamed({"node": "a", "component": "ca"})
-        right = full.withColumnsRenamed({"node": "b", "component": "cb"} | {f"a_{c}": f"b_{c}" for c in ("n", "s0", "s1", "s2")})
-        more = left.join(crossed, ["bucket", "ca"]).join(right, ["bucket", "cb"]).where(_can_link(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialise(more, "dup-more")
-        if more.take(1):
-            joined = components(links.unionByName(verified(docs, more, k, similarity, "dup-second")))
+    more = links_between(docs, classes, members, joined, k, similarity)
+    if more is not None:
+        joined = components(links.unionByName(more))
 
     found = classes.select("set_key", "node").join(joined, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
