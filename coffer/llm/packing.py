@@ -126,16 +126,16 @@ class Plan:
 
     def _best_pair(self, room: int, without: int) -> int:
         """The largest sum of two pieces that is at most ``room``, or 0."""
-        best, lo, hi = 0, 0, len(self.sizes) - 1
+        sizes = [w for w in self.sizes if self.left[w] > (w == without)]
+        best, lo, hi = 0, 0, len(sizes) - 1
         while lo <= hi:
-            a, b = self.sizes[lo], self.sizes[hi]
-            spare = self.left[a] - (a == without) >= 1 and self.left[b] - (b == without) >= 1 + (a == b)
+            a, b = sizes[lo], sizes[hi]
             if a + b > room:
                 hi -= 1
-            else:
-                if spare:
-                    best = max(best, a + b)
-                lo += 1
+                continue
+            if a != b or self.left[a] - (a == without) > 1:
+                best = max(best, a + b)
+            lo += 1
         return best
 
     def _dominating(self, w: int) -> tuple[int, ...] | None:

@@ -220,8 +220,10 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         bad = materialise(bad, "pii-met")
         if not bad.take(1):
             return drawn.drop("attempt")
-        again = drawn.join(bad, ["kind", "sur"], "left").withColumn("again", F.coalesce(F.col("taken") | (F.col("canon") != F.col("owner")), F.col("taken"), F.col("canon") != F.col("owner"), F.lit(False)))
-        redrawn = again.withColumn("attempt", F.when("again", F.lit(attempt)).otherwise(F.col("attempt")))
+        # A draw that meets an original is never kept, not even by its owner.
+        met = drawn.join(bad, ["kind", "sur"], "left")
+        met = met.withColumn("again", F.col("owner").isNotNull() & (F.coalesce("taken", F.lit(False)) | (F.col("canon") != F.col("owner"))))
+        redrawn = met.withColumn("attempt", F.when(F.col("again"), F.lit(attempt)).otherwise(F.col("attempt")))
         redrawn = redrawn.withColumn("new", F.when(F.col("again"), draw).otherwise(F.col("sur")))
         drawn = materialise(redrawn.select("kind", "script", "canon", "attempt", F.col("new").alias("sur")), "pii-draw")
     raise RuntimeError(f"replacements still meet after {ROUNDS} draws")
