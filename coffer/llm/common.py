@@ -26,9 +26,13 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives the loss of executors."""
+    """Write ``df`` to the shared folder and read it again: cuts lineage and survives the loss of executors.
+
+    Results read these tables when they are evaluated, so nothing here deletes
+    them: they lie in one folder for each application, to be removed after it.
+    """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/coffer-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -392,7 +392,8 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     """
     found = materialise(near_duplicates(docs, k, similarity), "dup-result")
     dropped = materialise(found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("dropped_id")).distinct(), "dup-dropped")
-    kept = docs.join(_small(dropped), docs["doc_id"].cast("long") == F.col("dropped_id"), "left_anti")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"))
+    kept = whole.join(_small(dropped), F.col("own_id") == F.col("dropped_id"), "left_anti").select("row.*")
     repeats = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeats:
         named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])

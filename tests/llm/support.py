@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 #: Names that operators use inside; inputs that have them must come through.
-CLASH = ("row", "old", "new", "score", "predicted", "evidence", "pii", "copies", "size", "shard", "slot", "component_id", "kept", "node", "bucket", "a", "b", "text_key", "global_rank", "length", "piece")
+CLASH = ("row", "old", "new", "score", "predicted", "evidence", "pii", "copies", "size", "shard", "slot", "component_id", "kept", "node", "bucket", "a", "b", "text_key", "global_rank", "length", "piece", "dropped_id", "own_id", "k_size", "d_size", "key", "spoken")
 
 
 def words(text: str | None) -> list[str]:
