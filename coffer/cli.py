@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from coffer.functions import scalars
 from coffer.operators import accounts, ingest, lookup, merchants, rates, search, triggers
+from coffer.operators.lineage import cut
 from coffer.operators.store import Store, shown
 from coffer.sources import bank, enrichment, sinks
 
@@ -103,7 +104,7 @@ def triggers_run(spark: SparkSession, store: Store, args: argparse.Namespace) ->
         rows = lookup.find(rows, id=args.transaction_id)
     lookup.require(store.read("triggers"), id=args.trigger_id)
     found = triggers.manual_run(rows, lookup.find(store.read("triggers"), id=args.trigger_id), args.limit)
-    asked = triggers.calls(found, store.read("functions")).withColumn("payload", F.to_json(F.struct("trigger_id", F.col("transaction.external_id").alias("external_id")))).checkpoint()
+    asked = cut(triggers.calls(found, store.read("functions")).withColumn("payload", F.to_json(F.struct("trigger_id", F.col("transaction.external_id").alias("external_id")))))
     return sinks.client_sink(args.client)(asked).select("payload", "status", scalars.joined(F.col("console"), "; ").alias("console"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coffer import schemas
+from coffer.operators.lineage import cut
 from coffer.operators.ranking import newest, numbered
 from coffer.operators.store import Store
 
@@ -45,7 +46,7 @@ def resolve(candidates: DataFrame, merchants: DataFrame) -> DataFrame:
     the checkpoint folder, so lineage stays short.
     """
     spark = candidates.sparkSession
-    open_ = match_store(candidates.select("seq", "external_id", "name", "website"), merchants).checkpoint()
+    open_ = cut(match_store(candidates.select("seq", "external_id", "name", "website"), merchants))
     settled = spark.createDataFrame([], "seq long, merchant_id long, insert_seq long")
     inserted = spark.createDataFrame([], _KEYS)
     while True:
@@ -61,12 +62,12 @@ def resolve(candidates: DataFrame, merchants: DataFrame) -> DataFrame:
         waits = found.join(first_id, "external_id", "left").join(first_name, ["name", "lookup"], "left")
         behind = lambda c: F.coalesce(F.col(c) < F.col("seq"), F.lit(False))
         blocked = ~F.col("has_id") & (behind("first_id") | (~F.col("has_name") & behind("first_name")))
-        step = waits.withColumn("blocked", blocked).checkpoint()
+        step = cut(waits.withColumn("blocked", blocked))
         done = step.where("NOT blocked")
         merchant = F.when(F.col("has_id"), F.col("by_id")).when(F.col("has_name"), F.col("by_name"))
         own = F.when(F.col("has_id"), F.when(F.col("by_id").isNull(), F.col("id_seq"))).when(F.col("has_name"), F.when(F.col("by_name").isNull(), F.col("name_seq"))).otherwise(F.col("seq"))
-        settled = settled.unionByName(done.select("seq", merchant.alias("merchant_id"), own.alias("insert_seq"))).checkpoint()
-        inserted = inserted.unionByName(done.where("NOT has_id AND NOT has_name").select("seq", "external_id", "name", "website")).checkpoint()
+        settled = cut(settled.unionByName(done.select("seq", merchant.alias("merchant_id"), own.alias("insert_seq"))))
+        inserted = cut(inserted.unionByName(done.where("NOT has_id AND NOT has_name").select("seq", "external_id", "name", "website")))
         open_ = step.where("blocked").select("seq", "external_id", "name", "website", "lookup", "by_id", "by_name")
         if not open_.take(1):
             return settled
@@ -83,7 +84,7 @@ def create_or_fetch(store: Store, candidates: DataFrame) -> DataFrame:
 
 def _insert_in_order(store: Store, new: DataFrame) -> DataFrame:
     """Insert merchants by seq; new_seq and new_id of each."""
-    ranked = numbered(new, F.expr("seq div 100000"), [F.col("seq")], store.next_id("merchants")).checkpoint()
+    ranked = cut(numbered(new, F.expr("seq div 100000"), [F.col("seq")], store.next_id("merchants")))
     store.append("merchants", ranked.drop("seq").withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")))
     return ranked.select(F.col("seq").alias("new_seq"), F.col("id").alias("new_id"))
 
@@ -100,9 +101,10 @@ Enricher = Callable[[DataFrame], DataFrame]
 
 def enrich(store: Store, transactions: DataFrame, enricher: Enricher) -> DataFrame:
     """Ask for the merchants of ``transactions``, resolve them, update the stored rows, and return all rows."""
-    answers = enricher(transactions).where("merchant IS NOT NULL AND merchant.name IS NOT NULL").groupBy("transaction_id").agg(F.max_by("merchant", F.to_json("merchant")).alias("merchant")).checkpoint()
+    answers = enricher(transactions).where("merchant IS NOT NULL AND merchant.name IS NOT NULL")
+    answers = cut(answers.groupBy("transaction_id").agg(F.max_by("merchant", F.to_json("merchant")).alias("merchant")))
     resolved = create_or_fetch(store, answers.select(F.col("transaction_id").alias("seq"), *[F.col(f"merchant.{f.name}") for f in schemas.NEW_MERCHANT.fields]))
-    out = attach(transactions, resolved).checkpoint()
+    out = cut(attach(transactions, resolved))
     changed = out.join(resolved.select(F.col("seq").alias("id")), "id", "left_semi").withColumn("updated_at", F.current_timestamp().cast("timestamp_ntz"))
     store.upsert("transactions", changed)
     return out
@@ -115,5 +117,5 @@ def backfill(store: Store, enricher: Enricher, limit: int = 100) -> DataFrame:
     again in this pass, so it always ends.
     """
     transactions = store.read("transactions")
-    rows = newest(transactions.where("merchant_id IS NULL"), "booking_date", limit).checkpoint()
+    rows = cut(newest(transactions.where("merchant_id IS NULL"), "booking_date", limit))
     return enrich(store, rows, enricher).withColumn("attempted", F.lit(True))

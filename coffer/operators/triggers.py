@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coffer.functions import scalars
+from coffer.operators.lineage import cut
 from coffer.operators.ranking import newest_per_key
 from coffer.operators.store import Store
 
@@ -76,7 +77,7 @@ def dispatch(store: Store, transactions: DataFrame, sinks: Mapping[str, Sink], e
     found = calls(matched(transactions, store.read("triggers"), event), store.read("functions"))
     payload = F.to_json(F.struct(F.col("trigger_id"), F.col("transaction.account_id").alias("account_id"), F.col("transaction.external_id").alias("external_id")))
     done = store.read("trigger_log").where("status = 'ok'").select("payload").distinct()
-    todo = found.withColumn("payload", payload).join(done, "payload", "left_anti").checkpoint()
+    todo = cut(found.withColumn("payload", payload).join(done, "payload", "left_anti"))
     parts = [sink(todo.where(F.col("function_type") == kind)) for kind, sink in sorted(sinks.items())]
     unknown = todo.where(~F.col("function_type").isin(*sinks)) if sinks else todo
     parts.append(unknown.withColumns({"status": F.lit("failed"), "console": F.array(F.concat(F.lit("no sink for "), "function_type"))}))
@@ -84,4 +85,4 @@ def dispatch(store: Store, transactions: DataFrame, sinks: Mapping[str, Sink], e
     for p in parts:
         p = p.select("payload", F.to_json("console").alias("console"), "status", F.col("transaction.user_id").alias("user_id"), "trigger_id")
         rows = p if rows is None else rows.unionByName(p)
-    return store.insert("trigger_log", rows.checkpoint(), F.col("trigger_id"), [F.col("payload")])
+    return store.insert("trigger_log", cut(rows), F.col("trigger_id"), [F.col("payload")])

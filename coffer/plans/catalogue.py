@@ -36,9 +36,18 @@ def query(sql: str) -> Callable[[Query], Query]:
 # Listings and search
 
 
-@query(f"""SELECT {", ".join("t." + c for c in _TX_COLUMNS)}, m.name AS merchant_name FROM transactions t LEFT JOIN merchants m ON t.merchant_id = m.id
+_SEARCH_SQL = f"""SELECT {", ".join("t." + c for c in _TX_COLUMNS)}, m.name AS merchant_name FROM transactions t LEFT JOIN merchants m ON t.merchant_id = m.id
 WHERE t.user_id = 3 AND (lower(creditor_name) LIKE '%urg%' OR lower(debtor_name) LIKE '%urg%' OR lower(m.name) LIKE '%urg%')
-ORDER BY booking_date DESC, t.id DESC LIMIT 10 OFFSET 20""")
+ORDER BY booking_date DESC, t.id DESC LIMIT 10"""
+
+
+@query(_SEARCH_SQL)
+def tx_search_first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = search.search_page(views.transactions(spark, sf_dir), views.merchants(spark, sf_dir), 3, "urg", page=1, per_page=10)
+    return page.select(*_TX_COLUMNS, "merchant_name")
+
+
+@query(_SEARCH_SQL + " OFFSET 20")
 def tx_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = search.search_page(views.transactions(spark, sf_dir), views.merchants(spark, sf_dir), 3, "urg", page=3, per_page=10)
     return page.select(*_TX_COLUMNS, "merchant_name")

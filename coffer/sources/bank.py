@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from coffer import schemas
+from coffer.operators.lineage import cut
 
 #: Account types that have a source.
 KNOWN_SOURCES = ("bank",)
@@ -113,6 +114,6 @@ def fetch(spark: SparkSession, accounts: DataFrame, start: DataFrame, client: st
     spark.dataSource.register(BankSource)
     wanted = accounts.select(F.col("id").alias("account_id"), "config").join(start, "account_id")
     listed = [{"account_id": r["account_id"], "config": r["config"], "date_from": r["from_date"] and r["from_date"].isoformat()} for r in wanted.toLocalIterator()]
-    rows = spark.read.format("coffer-bank").option("client", client).option("accounts", json.dumps(listed)).load().checkpoint()
+    rows = cut(spark.read.format("coffer-bank").option("client", client).option("accounts", json.dumps(listed)).load())
     wire = rows.where("payload IS NOT NULL").select("account_id", "seq", F.from_json("payload", schemas.WIRE_TRANSACTION).alias("t")).select("account_id", "seq", "t.*")
     return wire, rows.where("error IS NOT NULL").select("account_id", "error")

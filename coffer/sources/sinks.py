@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coffer.functions import scalars
+from coffer.operators.lineage import cut
 from coffer.operators.triggers import Sink
 from coffer.sources.bank import load
 
@@ -80,7 +81,7 @@ def landing_sink(path: str) -> Sink:
     """A sink that appends drafts as JSON files under ``path``, for a loader to pick up."""
 
     def run(calls: DataFrame) -> DataFrame:
-        rows = calls.withColumn("_missing", missing_params(F.col("settings"))).checkpoint()
+        rows = cut(calls.withColumn("_missing", missing_params(F.col("settings"))))
         category = F.col("category_id") if "category_id" in calls.columns else None
         rows.where(F.size("_missing") == 0).select(draft(F.col("transaction"), F.col("settings"), category).alias("d")).select("d.*").write.mode("append").json(path)
         failed = F.size("_missing") > 0

@@ -170,3 +170,35 @@ def test_stream_imports_what_landed(spark, store, tmp_path):
     land(tmp_path / "landing", 2, [booked("2020-01-01", "-1.00", "quiet", "y1")])
     imports.start(spark, store, str(tmp_path / "landing"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r["external_id"] for r in store.read("transactions").collect()) == ["x1", "x2", "y1"]
+
+
+def stream_of(spark, folder, rows: list[tuple], schema: str):
+    """A file stream over batches that tests write one by one."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(schema).parquet(str(folder))
+
+
+def test_state_keeps_the_newest_date_of_quiet_accounts(spark, tmp_path):
+    schema = "account_id long, booking_date date"
+    day = lambda n: dt.date(2024, 1, n)
+    rows = stream_of(spark, tmp_path / "in", [(1, day(5)), (2, day(1)), (1, day(3))], schema)
+    query = imports.newest_by_account(rows).writeStream.outputMode("update").format("memory").queryName("newest").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        query.processAllAvailable()
+        spark.createDataFrame([(1, day(9)), (3, None), (1, day(2))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    seen = [(r["account_id"], r["newest"]) for r in spark.table("newest").collect()]
+    assert sorted(seen) == [(1, day(5)), (1, day(9)), (2, day(1))]
+
+
+def test_stream_joins_the_trigger_table(spark, tmp_path):
+    rows = stream_of(spark, tmp_path / "in", [(1, 7, 11), (2, 8, 11), (3, 7, 12)], "id long, account_id long, user_id long")
+    table = spark.createDataFrame([(5, "transaction_created", "n", '[{"Account":[7]}]', "{}", 11, 1)], "id long, event string, name string, filter string, params string, user_id long, function_id long")
+    query = imports.matched_stream(rows, table).writeStream.format("memory").queryName("matched").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert [(r["trigger_id"], r["transaction"]["id"]) for r in spark.table("matched").collect()] == [(5, 1)]
