@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import materialise, text_bytes
+from coffer.llm.common import materialise, parts, text_bytes
 
 #: Labelled texts taken of each class at most, by the smallest hash of their doc_id.
 SAMPLE = 2048
@@ -37,7 +37,7 @@ NEAR = 0.05
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
 LEVELS = 3
-_MOST_WORDS = 300_000
+_MOST_WORDS = 150_000
 
 _SPLIT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -224,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
 
     def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, list[int]] = {}
-        for batch in batches:
+        for batch in parts(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for t in terms_of(text):
                     counts.setdefault(t, [0, 0])[toxic] += 1
@@ -245,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, seen, df = Lookup(kept), 0, np.zeros(len(kept) + 1, np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column(0).to_pylist():
                 df[lookup.present(text)] += 1
                 seen += 1
@@ -259,7 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(kept)
-        for batch in batches:
+        for batch in parts(batches):
             present = [lookup.present(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(present, pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms"])
 
@@ -289,7 +289,7 @@ def score(df: DataFrame, text: str, keep: list[Column], names: list[str], model:
         m = shared.value
         lookup, index = Lookup(m.terms), m.index()
         nothing = (m.score(m.vote([])), [])
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for value in batch.column(batch.num_columns - 1).to_pylist():
                 present = lookup.present(value)
