@@ -174,6 +174,21 @@ def tx_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.usable(rows)[1].select("id", "reason")
 
 
+@query("SELECT a.id AS account_id, CASE WHEN a.id % 9 = 0 THEN 'no source' WHEN a.id % 10 = 0 THEN 'failed: timeout' ELSE 'ok' END AS status, count(t.id) AS n_new FROM accounts a LEFT JOIN transactions t ON t.account_id = a.id AND t.id % 2 = 0 GROUP BY a.id")
+def account_import_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each account fared in an import: some have no source, some failed."""
+    held = views.accounts(spark, sf_dir).select("id", F.lit("bank").alias("account_type"), F.when(F.col("id") % 9 != 0, F.lit("{}")).alias("config"))
+    errors = held.where("id % 10 = 0").select(F.col("id").alias("account_id"), F.lit("timeout").alias("error"))
+    return ingest.account_status(held, errors, views.transactions(spark, sf_dir).where("id % 2 = 0"))
+
+
+@query("SELECT id, account_id, user_id, CASE WHEN id % 3 = 0 THEN 'XXQ' ELSE 'EUR' END AS code, id % 3 <> 0 AS currency_valid FROM transactions")
+def tx_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with the user of their account and a flag for unknown currencies."""
+    rows = views.transactions(spark, sf_dir).select("id", "account_id", F.when(F.col("id") % 3 == 0, F.lit("XXQ")).otherwise(F.lit("EUR")).alias("transaction_amount_currency"))
+    return ingest.stamped(rows, views.accounts(spark, sf_dir)).select("id", "account_id", "user_id", F.col("transaction_amount_currency").alias("code"), "currency_valid")
+
+
 # Scalars
 
 
@@ -255,6 +270,16 @@ def merchant_resolve_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merchants.match_store(wanted, stored).select(F.col("seq").cast("int").alias("seq"), F.coalesce("by_id", "by_name").cast("int").alias("merchant_id"))
 
 
+@query("SELECT id AS seq, min(id) OVER (PARTITION BY CASE WHEN id % 3 = 0 THEN 'x' ELSE 'y' END, account_id % 50) AS insert_seq FROM transactions")
+def merchant_resolve_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of candidates against an empty store: a third share external ids, the others names and websites; the first of each inserts."""
+    rows = views.transactions(spark, sf_dir)
+    third, key = F.col("id") % 3 == 0, (F.col("account_id") % 50).cast("string")
+    wanted = rows.select(F.col("id").alias("seq"), F.when(third, F.concat(F.lit("e"), key)).alias("external_id"), F.when(third, F.concat(F.lit("n"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("m"), key)).alias("name"), F.when(~third, F.concat(F.lit("w"), key)).alias("website"))
+    stored = spark.createDataFrame([], "id long, external_id string, name string, website string")
+    return merchants.resolve(wanted, stored).select("seq", "insert_seq")
+
+
 @query("SELECT id, CAST(CASE WHEN id % 97 < 10 AND merchant_id IS NOT NULL THEN 1000 + id % 97 ELSE merchant_id END AS BIGINT) AS merchant_id FROM transactions")
 def enrich_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that enrichment knows get its merchant, and all others stay."""
