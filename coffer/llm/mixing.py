@@ -9,8 +9,9 @@ left at the root of the reduction tree, rounded to the nearer side.
 
 The tree: documents are dealt by hash into chunks of about ``CHUNK``; a fold
 settles all of a chunk but one residual; residuals of ``CHUNK`` chunks meet in
-the next level. No task sees more than a chunk of one source, however large
-the source. DataFrame and SQL functions only.
+the next level; one chunk waits for the root, so that the last residual meets
+ordinary documents and not only other residuals. No task sees more than two
+chunks of one source, however large the source. DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
@@ -33,6 +34,12 @@ _ITEM = "struct<h: bigint, doc_id: bigint, size: bigint, n_rows: bigint, words:
 _DONE = "struct<doc_id: bigint, size: bigint, n_rows: bigint, copies: int>"
 
 
+#: SQL: the order of the fold, longest first. A long open document meets ever shorter ones until their small trades
+#: settle it, so what is left at the end is short; and the order does not depend on how rows arrive.
+_ORDER = """(l, r) -> CASE WHEN l.words <> r.words THEN IF(l.words > r.words, -1, 1) WHEN l.h <> r.h THEN IF(l.h < r.h, -1, 1)
+  WHEN l.doc_id <=> r.doc_id THEN 0 ELSE IF(coalesce(l.doc_id < r.doc_id, l.doc_id IS NULL), -1, 1) END"""
+
+
 def _open(x: str, p: str) -> str:
     """SQL: item ``x`` with the fraction ``p``."""
     return f"named_struct('h', {x}.h, 'doc_id', {x}.doc_id, 'size', {x}.size, 'n_rows', {x}.n_rows, 'words', {x}.words, 'whole', {x}.whole, 'p', {p})"
@@ -102,17 +109,22 @@ def round_copies(items: DataFrame, seed: int) -> DataFrame:
     head = head.withColumn("p", F.col("x") - F.col("whole"))
     level = head.select("source", F.expr(f"pmod(h, ceil(n_docs / {CHUNK}D))").alias("chunk"), F.expr(f"ceil(n_docs / {CHUNK}D)").alias("chunks"), F.struct("h", "doc_id", "size", "n_rows", (F.col("size") * F.col("n_rows")).alias("words"), "whole", "p").cast(_ITEM).alias("item"))
     zero = f"named_struct('open', CAST(NULL AS {_ITEM}), 'done', CAST(array() AS array<{_DONE}>))"
-    settled, step, more = [], 0, True
-    while more:
-        fold = F.expr(f"aggregate(array_sort(items), {zero}, (acc, it) -> {_step(seed + step)})")
+    # One chunk of a source that has several waits for the root, where its documents settle the residuals of the others.
+    waits = (F.col("chunk") == 0) & (F.col("chunks") > 1)
+    held, level = level.where(waits), level.where(~waits)
+    settled, step = [], 0
+    while step == 0 or level.take(1) or held.take(1):
+        fold = F.expr(f"aggregate(array_sort(items, {_ORDER}), {zero}, (acc, it) -> {_step(seed + step)})")
         folded = level.groupBy("source", "chunk", "chunks").agg(F.collect_list("item").alias("items")).select("source", "chunk", "chunks", fold.alias("f"))
         folded = materialise(folded, f"mix-level{step}")
         last = F.col("chunks") <= 1
         root = F.expr("struct(f.open.doc_id, f.open.size, f.open.n_rows, CAST(f.open.whole + IF(f.open.p >= 0.5D, 1, 0) AS int) AS copies)")
         settled.append(folded.select("source", F.explode("f.done").alias("d")).select("source", "d.*"))
         settled.append(folded.where(last).select("source", root.alias("d")).select("source", "d.*"))
-        level = folded.where(~last).select("source", F.expr(f"pmod(chunk, ceil(chunks / {CHUNK}D))").alias("chunk"), F.expr(f"ceil(chunks / {CHUNK}D)").alias("chunks"), F.col("f.open").alias("item"))
-        more = bool(folded.where(~last).select("source").take(1))
+        up = [F.expr(f"pmod(chunk, ceil(chunks / {CHUNK}D))").alias("chunk"), F.expr(f"ceil(chunks / {CHUNK}D)").alias("chunks")]
+        held = held.select("source", *up, "item")
+        level = folded.where(~last).select("source", *up, F.col("f.open").alias("item")).unionByName(held.where(last))
+        held = held.where(~last)
         step += 1
     out = settled[0]
     for part in settled[1:]:
