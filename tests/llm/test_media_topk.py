@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import pickle
 import zlib
 
 import numpy as np
@@ -97,12 +98,13 @@ def test_topk_equals_brute_force(spark, spread):
 def test_topk_stops_early_and_stays_exact():
     rng = np.random.default_rng(6)
     vectors = rng.integers(-20, 20, (3000, 24))
-    query = rng.integers(-3, 3, 24)
-    query[0] = 400
-    index = topk.build_index(np.arange(3000), vectors)
-    ids, scores, read = topk.search(index, query, 5, 10)
-    exact = sorted(((-int(vectors[i] @ query), i) for i in range(3000) if i != 5))[:10]
-    assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == exact
+    queries = rng.integers(-3, 3, (5, 24))
+    queries[:, 0] = 400
+    index = topk.opened(pickle.dumps(topk.build_index(np.arange(3000), vectors)))
+    found, read = topk.search(index, queries, [5, None, 7, 8, 9], 10)
+    for query, own, (ids, scores) in zip(queries, (5, None, 7, 8, 9), found, strict=True):
+        exact = sorted(((-int(vectors[i] @ query), i) for i in range(3000) if i != own))[:10]
+        assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == exact
     assert read < 24 * topk.LEVELS
 
 
