@@ -102,11 +102,23 @@ def stream(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.flatnonzero(ids != PAD)
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
+def _exponentials(logits: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """exp of ``logits`` in place, up to a factor for each row, and its sums. ``bounded``: no logit can overflow, so no maximum is needed."""
+    if not bounded:
+        logits -= logits.max(1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
-    return logits
+    return logits, logits.sum(1)
+
+
+def _softmax(logits: np.ndarray, bounded: bool) -> np.ndarray:
+    raised, sums = _exponentials(logits, bounded)
+    raised /= sums[:, None]
+    return raised
+
+
+def _is_bounded(out: np.ndarray, bias: np.ndarray) -> bool:
+    """Hidden values lie within 1, so no logit is above the sum of a column's weights."""
+    return bool(np.abs(out).sum(-2).max() + np.abs(bias).max() < 60)
 
 
 class Network:
@@ -115,6 +127,9 @@ class Network:
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
         self.w = weights
 
+    def _bounded(self) -> tuple[bool, bool]:
+        return _is_bounded(self.w["class_out"], self.w["class_bias"]), _is_bounded(self.w["word_out"], self.w["word_bias"])
+
     def hidden(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
         h = np.tile(self.w["bias"], (len(places), 1))
         for i, o in enumerate(OFFSETS):
@@ -124,17 +139,18 @@ class Network:
     def log_probability(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Log-probability of the id at each place, given the ids around it."""
         h = self.hidden(ids, places)
+        classes_bounded, words_bounded = self._bounded()
         target = ids[places]
         kind, member = target // PER_CLASS, target % PER_CLASS
-        rows = np.arange(len(places))
-        out = np.log(_softmax(h @ self.w["class_out"] + self.w["class_bias"])[rows, kind].astype(np.float64))
+        raised, sums = _exponentials(h @ self.w["class_out"] + self.w["class_bias"], classes_bounded)
+        out = np.log((raised[np.arange(len(places)), kind] / sums).astype(np.float64))
         order = np.argsort(kind, kind="stable")
         ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             at = order[ends[c] : ends[c + 1]]
             if len(at):
-                p = _softmax(h[at] @ self.w["word_out"][c] + self.w["word_bias"][c])
-                out[at] += np.log(p[np.arange(len(at)), member[at]].astype(np.float64))
+                raised, sums = _exponentials(h[at] @ self.w["word_out"][c] + self.w["word_bias"][c], words_bounded)
+                out[at] += np.log((raised[np.arange(len(at)), member[at]] / sums).astype(np.float64))
         return out
 
     def gradient(self, ids: np.ndarray, places: np.ndarray) -> dict[str, np.ndarray]:
@@ -143,8 +159,9 @@ class Network:
         h = self.hidden(ids, places)
         target = ids[places]
         kind, member = target // PER_CLASS, target % PER_CLASS
+        classes_bounded, words_bounded = self._bounded()
         g = {k: np.zeros(s, np.float32) for k, s in SHAPES.items() if k.startswith("word")}
-        d = _softmax(h @ self.w["class_out"] + self.w["class_bias"])
+        d = _softmax(h @ self.w["class_out"] + self.w["class_bias"], classes_bounded)
         d[np.arange(n), kind] -= 1
         g["class_out"], g["class_bias"] = h.T @ d / n, d.mean(0)
         dh = d @ self.w["class_out"].T
@@ -153,7 +170,7 @@ class Network:
         for c in range(CLASSES):
             at = order[ends[c] : ends[c + 1]]
             if len(at):
-                d = _softmax(h[at] @ self.w["word_out"][c] + self.w["word_bias"][c])
+                d = _softmax(h[at] @ self.w["word_out"][c] + self.w["word_bias"][c], words_bounded)
                 d[np.arange(len(at)), member[at]] -= 1
                 g["word_out"][c], g["word_bias"][c] = h[at].T @ d / n, d.sum(0) / n
                 dh[at] += d @ self.w["word_out"][c].T
