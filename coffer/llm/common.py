@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -65,6 +66,24 @@ def global_rank(df: DataFrame, keys: list[str], label: str, rows_per_part: int =
     return ranked.drop("rank_part", "rank_place", "rank_start"), n
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker. Spark's own limit is 64 MB, which both hold several times over.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, once its session's Arrow batches are at most BATCH_BYTES long (or one row); a lower setting is kept.
+
+    The setting counts when a plan runs, so it stays for the session.
+    """
+    conf = df.sparkSession.conf
+    number, unit = re.fullmatch(r"(-?[0-9]+)\s*([a-z]*)", (conf.get(_BATCH_SETTING, None) or "-1").lower()).groups()
+    held = int(number) * 1024 ** " kmgt".index((unit or "b").rstrip("b")[:1] or " ")
+    if not 0 < held <= BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def parts(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to ``rows`` rows, without copying: what becomes Python objects at once stays small."""
     for batch in batches:

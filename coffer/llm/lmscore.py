@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import materialise, text_bytes
+from coffer.llm.common import in_small_batches, materialise, text_bytes
 
 CLASSES, PER_CLASS = 32, 32
 VOCABULARY = CLASSES * PER_CLASS
@@ -257,7 +257,7 @@ def vocabulary(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
                 yield rows()
         yield rows()
 
-    counts = docs.select(text_bytes().alias("text")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = in_small_batches(docs).select(text_bytes().alias("text")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "lm-words")
     known = [bytes(r["word"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(KNOWN).collect()]
     distinct = np.zeros(BUCKETS, np.int64)
@@ -308,7 +308,7 @@ def train(docs: DataFrame) -> Model:
                 n = len(moved)
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([lane] * n, pa.int32()), pa.array([trainer.windows] * n, pa.int64()), pa.array([b.tobytes() for b in moved], pa.binary())], names=["block", "lane", "windows", "sums"])
 
-        copies = docs.select(text_bytes().alias("text")).mapInArrow(fit, "block int, lane int, windows bigint, sums binary")
+        copies = in_small_batches(docs).select(text_bytes().alias("text")).mapInArrow(fit, "block int, lane int, windows bigint, sums binary")
         moved = _averaged(copies, len(flat(model.weights)))
         if not len(moved):
             break
@@ -333,7 +333,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = [ids.of(t) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(m.scores(found))], names=["doc_id", "n_words", "log_likelihood"])
 
-    out = raw.mapInArrow(run, f"doc_id {kind}, n_words bigint, log_likelihood double")
+    out = in_small_batches(raw).mapInArrow(run, f"doc_id {kind}, n_words bigint, log_likelihood double")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import text_bytes
+from coffer.llm.common import in_small_batches, text_bytes
 
 WIDTH = 64
 TILE = 16
@@ -204,7 +204,7 @@ def process_media(df: DataFrame, media: str, keep: list[str], side: int = TILE)
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(v, t) for v, (_, t) in zip(found, _MEDIA_FIELDS, strict=True)], names=keep + [n for n, _ in _MEDIA_FIELDS])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[: len(keep)])
-    return narrow.mapInArrow(run, kinds + ", height bigint, width bigint, samples binary, tile binary, dhash string, error string")
+    return in_small_batches(narrow).mapInArrow(run, kinds + ", height bigint, width bigint, samples binary, tile binary, dhash string, error string")
 
 
 def text_media(docs: DataFrame) -> DataFrame:

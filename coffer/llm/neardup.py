@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import materialise, text_bytes
+from coffer.llm.common import in_small_batches, materialise, text_bytes
 
 UNIVERSE_BITS = 22
 COORDINATES = 512
@@ -140,7 +140,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
             for at in range(0, batch.num_rows, PART_ROWS):
                 yield _sketched(batch.slice(at, PART_ROWS), k, hashes)
 
-    return raw.mapInArrow(run, f"doc_id bigint, n_shingles bigint, set_key binary, {', '.join(b + ' bigint' for b in BITS)}, bands array<bigint>")
+    return in_small_batches(raw).mapInArrow(run, f"doc_id bigint, n_shingles bigint, set_key binary, {', '.join(b + ' bigint' for b in BITS)}, bands array<bigint>")
 
 
 def _can_link(similarity: int):
@@ -191,7 +191,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, similarity: int, label:
                         break
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
 
-    return materialise(texts.select("a", "part", "doc_id", "member", "text").mapInArrow(run, "a bigint, b bigint").distinct(), f"{label}-links")
+    return materialise(in_small_batches(texts).select("a", "part", "doc_id", "member", "text").mapInArrow(run, "a bigint, b bigint").distinct(), f"{label}-links")
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -286,7 +286,7 @@ def families(open_: DataFrame, similarity: int) -> DataFrame:
                 near &= differ <= MOST_BITS
                 yield _edges([(node[a], node[b]) for a, b in forest(near)])
 
-    edges = rows.mapInArrow(run, "a bigint, b bigint")
+    edges = in_small_batches(rows).mapInArrow(run, "a bigint, b bigint")
     inner = components(edges, "dup-families")
     return inner.select("node", F.col("component").alias("family")).unionByName(inner.select(F.col("component").alias("node"), F.col("component").alias("family")).distinct())
 
@@ -338,7 +338,7 @@ def links_between(docs: DataFrame, classes: DataFrame, members: DataFrame, joine
             if linked.any():
                 yield _edges([(node[a], node[b]) for a, b in forest(linked)])
 
-    return materialise(texts.mapInArrow(run, "a bigint, b bigint").distinct(), "dup-second")
+    return materialise(in_small_batches(texts).mapInArrow(run, "a bigint, b bigint").distinct(), "dup-second")
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch], k: int, hashes: WordHashes) -> Iterator[pa.RecordBatch]:

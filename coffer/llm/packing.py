@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import global_rank, materialise, text_bytes
+from coffer.llm.common import global_rank, in_small_batches, materialise, text_bytes
 from coffer.llm.tokencount import SPECIAL, bpe
 
 END_ID = 2
@@ -82,7 +82,7 @@ def encode_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, wi
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(rows[5], pa.list_(pa.int32()))] if with_ids else []), names=fields)
 
     schema = f"doc_id {kind.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return raw.mapInArrow(run, schema)
+    return in_small_batches(raw).mapInArrow(run, schema)
 
 
 class Plan:

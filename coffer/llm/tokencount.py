@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import text_bytes
+from coffer.llm.common import in_small_batches, text_bytes
 
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50_256
@@ -242,5 +242,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.array(n_bytes, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
                 done += len(part)
 
-    out = raw.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+    out = in_small_batches(raw).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import materialise, parts, text_bytes
+from coffer.llm.common import in_small_batches, materialise, parts, text_bytes
 
 #: Labelled texts taken of each class at most, by the smallest hash of their doc_id.
 SAMPLE = 2048
@@ -239,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     n, have = float(s0 + s1), F.col("toxic") + F.col("clean")
     chi = n * F.pow(a * (s0 - b) - b * (s1 - a), 2) / (F.lit(float(s0) * s1) * have * (n - have) + 1)
-    best = texts.select("text", "toxic").mapInArrow(term_rows, "term binary, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    best = in_small_batches(texts).select("text", "toxic").mapInArrow(term_rows, "term binary, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     best = best.where((F.col("toxic") >= max(3, SUPPORT * s1)) & (a / s1 > b / s0)).withColumn("chi", chi).where(F.col("chi") > CHI_SQUARE)
     kept = [bytes(r["term"]) for r in best.orderBy(F.col("chi").desc(), "term").limit(terms).collect()]
 
@@ -252,7 +252,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
         df[-1] = seen
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["term", "n"])
 
-    rows = docs.select(text_bytes().alias("text")).mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = in_small_batches(docs).select(text_bytes().alias("text")).mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = {int(r["term"]): int(r["n"]) for r in rows}
     total = df.get(len(kept), 0)
     model = Model(kept, [math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(kept))], weight=(n0 / s0, n1 / s1), base=base)
@@ -264,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(present, pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found_rows = texts.select("text", "doc_id", "toxic").mapInArrow(examples, f"doc_id {kind}, toxic int, terms array<bigint>").collect()
+    found_rows = in_small_batches(texts).select("text", "doc_id", "toxic").mapInArrow(examples, f"doc_id {kind}, toxic int, terms array<bigint>").collect()
     for r in sorted(found_rows, key=lambda r: (r["toxic"], r["doc_id"])):  # alike examples side by side make tighter blocks
         model.ids.append(r["doc_id"])
         model.toxic.append(int(r["toxic"]))
@@ -302,7 +302,7 @@ def score(df: DataFrame, text: str, keep: list[Column], names: list[str], model:
             columns = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array([e for _, e in out], proof)], names=[*names, "score", "predicted", "evidence"])
 
-    return narrow.mapInArrow(run, f"{kinds}, score double, predicted int, evidence array<struct<doc_id: bigint, similarity: double, toxic: int>>")
+    return in_small_batches(narrow).mapInArrow(run, f"{kinds}, score double, predicted int, evidence array<struct<doc_id: bigint, similarity: double, toxic: int>>")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
