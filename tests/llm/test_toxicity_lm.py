@@ -152,6 +152,14 @@ def test_distributed_training_helps_and_reruns_agree(spark):
     assert all((model.weights[k] == again.weights[k]).all() for k in lmscore.SHAPES)
 
 
+def test_training_uses_every_place(spark):
+    """Texts of period 4 and of two words show a model each word only if all places are trained on."""
+    rows = [(i, "a b c d " * 30 if i % 2 else "y z", "en", "s", 0) for i in range(1200)]
+    df = frame(spark, rows).repartition(2).cache()
+    scores = {r["doc_id"]: r["mean_log_likelihood"] for r in lmscore.score(df, lmscore.train(df)).collect()}
+    assert scores[1] > -1 and scores[0] > -2
+
+
 def test_lm_awkward_rows(spark):
     rows = {r["doc_id"]: r for r in lmscore.score_documents(clashing(awkward(spark))).collect()}
     assert rows[2]["n_words"] == rows[3]["n_words"] == 0 and rows[2]["log_likelihood"] == 0 and rows[2]["mean_log_likelihood"] is None
