@@ -5,18 +5,21 @@ word between them: position-wise embeddings, one tanh layer, and a two-level
 softmax over classes and words of a class. A document's score is the sum, over
 all its places, of the log-probability of the true word given both sides.
 
-The vocabulary comes from counts of all words of the corpus; other words fall
+The vocabulary comes from counts of all words of the corpus and grows with it:
+a word is known if it occurs at least a tenth of the square root of the number of
+words, and classes, words of a class and buckets follow. Other words fall
 into hash buckets, and a word of a bucket gets an equal share of it among the
 distinct words that the corpus has there. Training is distributed: each task
 trains a copy in numpy on windows of all its documents, and the copies are
 averaged by the number of windows, in whole numbers so that the order of the
 sum does not matter, over a tree of groups. What is gathered - word counts and
-a copy of the weights for each task - grows with the corpus; what scoring
-needs does not.
+a copy of the weights for each task - grows with the corpus; scoring
+needs the vocabulary and one copy.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,11 +31,15 @@ from pyspark.sql import functions as F
 
 from coffer.llm.common import in_small_batches, materialise, text_bytes
 
+# The smallest network; ``sizes`` has those of larger corpora.
 CLASSES, PER_CLASS = 32, 32
 VOCABULARY = CLASSES * PER_CLASS
 BUCKETS = 256
 KNOWN = VOCABULARY - BUCKETS
-PAD = VOCABULARY
+#: The last row of the embeddings, however many there are.
+PAD = -1
+#: A word is known from sqrt(words of the corpus) / COMMON occurrences on.
+COMMON = 10
 SIDE = 2
 OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 16
@@ -42,13 +49,27 @@ STRIDE = ROUNDS
 BATCH = 4096
 RATE = 0.15
 SEED = 4242
-#: Weights are averaged as multiples of 2^-24; a block has so many of them.
-UNIT, BLOCK, LANES = 1 << 24, 4096, 64
+#: Weights are averaged as multiples of 2^-20; a block has so many of them.
+UNIT, BLOCK, LANES = 1 << 20, 4096, 64
 _MOST_WORDS = 200_000
 
 _SPLIT = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
-SHAPES = {"embed": (len(OFFSETS), VOCABULARY + 1, HIDDEN), "bias": (HIDDEN,), "class_out": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "word_out": (CLASSES, HIDDEN, PER_CLASS), "word_bias": (CLASSES, PER_CLASS)}
+
+def shapes(side: int = CLASSES) -> dict[str, tuple[int, ...]]:
+    """Shapes of the weights for ``side`` classes of ``side`` words."""
+    return {"embed": (len(OFFSETS), side * side + 1, HIDDEN), "bias": (HIDDEN,), "class_out": (HIDDEN, side), "class_bias": (side,), "word_out": (side, HIDDEN, side), "word_bias": (side, side)}
+
+
+SHAPES = shapes()
+
+
+def sizes(common: int) -> tuple[int, int, int]:
+    """Known words, buckets and classes for a corpus with ``common`` words that should be known."""
+    known = max(KNOWN, common)
+    buckets = max(BUCKETS, known // 3)
+    return known, buckets, max(CLASSES, math.isqrt(known + buckets - 1) + 1)
+
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -59,14 +80,14 @@ def words_of(text: bytes) -> list[bytes]:
 class Ids(dict):
     """Word -> id, filled as words are met and emptied when large."""
 
-    def __init__(self, known: dict[bytes, int]) -> None:
+    def __init__(self, known: dict[bytes, int], first: int = KNOWN, buckets: int = BUCKETS) -> None:
         super().__init__()
-        self.known = known
+        self.known, self.first, self.buckets = known, first, buckets
 
     def __missing__(self, word: bytes) -> int:
         i = self.known.get(word)
         if i is None:
-            i = KNOWN + zlib.crc32(word) % BUCKETS
+            i = self.first + zlib.crc32(word) % self.buckets
         if len(self) >= _MOST_WORDS:
             self.clear()
         if len(word) < 64:
@@ -78,18 +99,18 @@ class Ids(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-def initial() -> dict[str, np.ndarray]:
+def initial(side: int = CLASSES) -> dict[str, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(SEED))
-    return {k: (rng.standard_normal(s) * (0.0 if "bias" in k else 0.1)).astype(np.float32) for k, s in SHAPES.items()}
+    return {k: (rng.standard_normal(s) * (0.0 if "bias" in k else 0.1)).astype(np.float32) for k, s in shapes(side).items()}
 
 
 def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([weights[k].ravel() for k in SHAPES])
 
 
-def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
+def shaped(values: np.ndarray, side: int = CLASSES) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in SHAPES.items():
+    for k, s in shapes(side).items():
         n = int(np.prod(s))
         out[k] = values[at : at + n].reshape(s).astype(np.float32)
         at += n
@@ -127,6 +148,7 @@ class Network:
 
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
         self.w = weights
+        self.classes, _, self.per_class = weights["word_out"].shape
 
     def _bounded(self) -> tuple[bool, bool]:
         return _is_bounded(self.w["class_out"], self.w["class_bias"]), _is_bounded(self.w["word_out"], self.w["word_bias"])
@@ -142,12 +164,12 @@ class Network:
         h = self.hidden(ids, places)
         classes_bounded, words_bounded = self._bounded()
         target = ids[places]
-        kind, member = target // PER_CLASS, target % PER_CLASS
+        kind, member = target // self.per_class, target % self.per_class
         raised, sums = _exponentials(h @ self.w["class_out"] + self.w["class_bias"], classes_bounded)
         out = np.log((raised[np.arange(len(places)), kind] / sums).astype(np.float64))
         order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        ends = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        for c in range(self.classes):
             at = order[ends[c] : ends[c + 1]]
             if len(at):
                 raised, sums = _exponentials(h[at] @ self.w["word_out"][c] + self.w["word_bias"][c], words_bounded)
@@ -156,19 +178,27 @@ class Network:
 
     def gradient(self, ids: np.ndarray, places: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-probability."""
+        g, seen = self.sparse_gradient(ids, places)
+        embed = np.zeros(self.w["embed"].shape, np.float32)
+        for i, (rows, values) in enumerate(seen):
+            embed[i][rows] = values
+        return g | {"embed": embed}
+
+    def sparse_gradient(self, ids: np.ndarray, places: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+        """The gradient of all weights but the embeddings, and for each offset the rows of those that were seen and their gradient."""
         n = len(places)
         h = self.hidden(ids, places)
         target = ids[places]
-        kind, member = target // PER_CLASS, target % PER_CLASS
+        kind, member = target // self.per_class, target % self.per_class
         classes_bounded, words_bounded = self._bounded()
-        g = {k: np.zeros(s, np.float32) for k, s in SHAPES.items() if k.startswith("word")}
+        g = {k: np.zeros(w.shape, np.float32) for k, w in self.w.items() if k.startswith("word")}
         d = _softmax(h @ self.w["class_out"] + self.w["class_bias"], classes_bounded)
         d[np.arange(n), kind] -= 1
         g["class_out"], g["class_bias"] = h.T @ d / n, d.mean(0)
         dh = d @ self.w["class_out"].T
         order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        ends = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        for c in range(self.classes):
             at = order[ends[c] : ends[c + 1]]
             if len(at):
                 d = _softmax(h[at] @ self.w["word_out"][c] + self.w["word_bias"][c], words_bounded)
@@ -177,13 +207,13 @@ class Network:
                 dh[at] += d @ self.w["word_out"][c].T
         dh *= (1 - h * h) / n
         g["bias"] = dh.sum(0)
-        embed = np.zeros(SHAPES["embed"], np.float32)
-        for i, o in enumerate(OFFSETS):
+        embed = []
+        for o in OFFSETS:
             seen = ids[places + o]
             order = np.argsort(seen, kind="stable")
-            first = np.flatnonzero(np.diff(seen[order], prepend=-1))
-            embed[i][seen[order][first]] = np.add.reduceat(dh[order], first, axis=0)
-        return g | {"embed": embed}
+            first = np.flatnonzero(np.diff(seen[order], prepend=PAD - 1))
+            embed.append((seen[order][first], np.add.reduceat(dh[order], first, axis=0)))
+        return g, embed
 
 
 class Trainer:
@@ -191,13 +221,18 @@ class Trainer:
 
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
         self.net = Network({k: v.copy() for k, v in weights.items()})
-        self.squares = {k: np.full(s, 1e-6, np.float32) for k, s in SHAPES.items()}
+        self.squares = {k: np.full(v.shape, 1e-6, np.float32) for k, v in weights.items()}
         self.windows = 0
 
     def step(self, ids: np.ndarray, places: np.ndarray) -> None:
-        for k, g in self.net.gradient(ids, places).items():
+        dense, embed = self.net.sparse_gradient(ids, places)
+        for k, g in dense.items():
             self.squares[k] += g * g
             self.net.w[k] -= RATE * g / np.sqrt(self.squares[k])
+        for w, squares, (rows, g) in zip(self.net.w["embed"], self.squares["embed"], embed, strict=True):
+            total = squares[rows] + g * g
+            squares[rows] = total
+            w[rows] -= RATE * g / np.sqrt(total)
         self.windows += len(places)
 
     def texts(self, texts: list[np.ndarray], shift: int) -> None:
@@ -217,9 +252,11 @@ class Model:
 
     def __init__(self, known: list[bytes], spread: np.ndarray, weights: dict[str, np.ndarray]) -> None:
         self.known, self.spread, self.weights = known, spread, weights
+        #: The first bucket's id: the buckets are the last of the vocabulary.
+        self.first = weights["word_bias"].size - len(spread)
 
     def ids(self) -> Ids:
-        return Ids({w: i for i, w in enumerate(self.known)})
+        return Ids({w: i for i, w in enumerate(self.known)}, self.first, len(self.spread))
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Summed log-probability of each text's words."""
@@ -227,8 +264,8 @@ class Model:
         net = Network(self.weights)
         logs = np.concatenate([net.log_probability(ids, places[a : a + 8192]) for a in range(0, len(places), 8192)]) if len(places) else np.empty(0)
         target = ids[places]
-        rare = target >= KNOWN
-        logs[rare] -= self.spread[target[rare] - KNOWN]
+        rare = target >= self.first
+        logs[rare] -= self.spread[target[rare] - self.first]
         total = np.concatenate([[0.0], np.cumsum(logs)])
         return np.diff(total[np.cumsum([0, *[len(t) for t in texts]])])
 
@@ -240,8 +277,8 @@ def _parts(batches: Iterator[pa.RecordBatch], column: int, rows: int = 256) -> I
             yield part, part.column(column).to_pylist()
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The KNOWN most frequent words of the corpus (ties by the word) and, for each bucket, the log of how many other words it has."""
+def vocabulary(docs: DataFrame) -> tuple[list[bytes], np.ndarray, int]:
+    """The known words of the corpus, most frequent first (ties by the word); for each bucket, the log of how many other words it has; the number of classes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -260,26 +297,37 @@ def vocabulary(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
 
     counts = in_small_batches(docs).select(text_bytes().alias("text")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "lm-words")
-    known = [bytes(r["word"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(KNOWN).collect()]
-    distinct = np.zeros(BUCKETS, np.int64)
-    for r in counts.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).count().collect():
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    n_known, buckets, side = sizes(counts.where(F.col("n") >= max(2.0, math.sqrt(total) / COMMON)).count())
+    known = [bytes(r["word"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(n_known).collect()]
+    distinct = np.zeros(buckets, np.int64)
+    for r in counts.groupBy((F.crc32("word") % buckets).alias("bucket")).count().collect():
         distinct[r["bucket"]] = r["count"]
     for w in known:
-        distinct[zlib.crc32(w) % BUCKETS] -= 1
-    return known, np.log(np.maximum(distinct, 1))
+        distinct[zlib.crc32(w) % buckets] -= 1
+    return known, np.log(np.maximum(distinct, 1)), side
 
 
 def _averaged(copies: DataFrame, size: int) -> np.ndarray:
-    """The mean of weight blocks (block, windows, sums: int64 bytes already times windows), by two levels of groups."""
+    """The mean of weight blocks (block, lane, windows, moved: int32 bytes), by two levels of groups."""
+
+    def weigh(table: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.int64)
+        for windows, chunk in zip(table.column("windows").to_pylist(), table.column("moved").to_pylist(), strict=True):
+            total += np.frombuffer(chunk, np.int32).astype(np.int64) * windows
+        return summed(table, total)
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
         for chunk in table.column("sums").to_pylist():
             total += np.frombuffer(chunk, np.int64)
+        return summed(table, total)
+
+    def summed(table: pa.Table, total: np.ndarray) -> pa.Table:
         return pa.table({"block": table.column("block").slice(0, 1), "windows": pa.array([sum(table.column("windows").to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block int, windows bigint, sums binary"
-    level = copies.groupBy("block", "lane").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
+    level = copies.groupBy("block", "lane").applyInArrow(weigh, schema).groupBy("block").applyInArrow(add, schema)
     out, windows = np.zeros(-(-size // BLOCK) * BLOCK, np.float64), 0
     for r in level.collect():
         windows = r["windows"]
@@ -289,8 +337,8 @@ def _averaged(copies: DataFrame, size: int) -> np.ndarray:
 
 def train(docs: DataFrame) -> Model:
     """Fit the network to all ``docs`` (text). Without words the weights stay as they start."""
-    known, spread = vocabulary(docs)
-    model = Model(known, spread, initial())
+    known, spread, side = vocabulary(docs)
+    model = Model(known, spread, initial(side))
     session = docs.sparkSession.sparkContext
     for r in range(ROUNDS):
         shared, shift = session.broadcast(model), r
@@ -303,17 +351,17 @@ def train(docs: DataFrame) -> Model:
                 lane = zlib.crc32(texts[0]) % LANES if not trainer.windows else lane
                 trainer.texts([ids.of(t) for t in texts], shift)
             if trainer.windows:
-                # Differences from the start are small, so whole multiples times the windows fit in 64 bits.
-                moved = np.rint((flat(trainer.net.w).astype(np.float64) - start) * UNIT).astype(np.int64) * trainer.windows
-                moved = np.concatenate([moved, np.zeros(-len(moved) % BLOCK, np.int64)]).reshape(-1, BLOCK)
+                # Differences from the start are small, so whole multiples fit in 32 bits and their sums times the windows in 64.
+                moved = np.rint((flat(trainer.net.w).astype(np.float64) - start) * UNIT).astype(np.int32)
+                moved = np.concatenate([moved, np.zeros(-len(moved) % BLOCK, np.int32)]).reshape(-1, BLOCK)
                 n = len(moved)
-                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([lane] * n, pa.int32()), pa.array([trainer.windows] * n, pa.int64()), pa.array([b.tobytes() for b in moved], pa.binary())], names=["block", "lane", "windows", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([lane] * n, pa.int32()), pa.array([trainer.windows] * n, pa.int64()), pa.array([b.tobytes() for b in moved], pa.binary())], names=["block", "lane", "windows", "moved"])
 
-        copies = in_small_batches(docs).select(text_bytes().alias("text")).mapInArrow(fit, "block int, lane int, windows bigint, sums binary")
+        copies = in_small_batches(docs).select(text_bytes().alias("text")).mapInArrow(fit, "block int, lane int, windows bigint, moved binary")
         moved = _averaged(copies, len(flat(model.weights)))
         if not len(moved):
             break
-        model = Model(known, spread, shaped(flat(model.weights) + moved))
+        model = Model(known, spread, shaped(flat(model.weights) + moved, side))
     return model
 
 

@@ -160,6 +160,18 @@ def test_training_uses_every_place(spark):
     assert scores[1] > -1 and scores[0] > -2
 
 
+def test_vocabulary_grows_with_the_corpus(spark):
+    """More words than the smallest network knows, all common: each gets an id of its own, and the buckets stay empty."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(2000)]
+    df = frame(spark, [(i, " ".join(rng.sample(words, 500)), "en", "s", 0) for i in range(320)]).repartition(4).cache()
+    model = lmscore.train(df)
+    ids = model.ids()
+    assert sorted(model.known) == sorted(w.encode() for w in words) and len({ids[w.encode()] for w in words}) == 2000
+    assert max(ids[w.encode()] for w in words) < model.first <= ids[b"unseen"] < model.first + len(model.spread)
+    assert all(np.isfinite(r["log_likelihood"]) for r in lmscore.score(df, model).collect())
+
+
 def test_lm_awkward_rows(spark):
     rows = {r["doc_id"]: r for r in lmscore.score_documents(clashing(awkward(spark))).collect()}
     assert rows[2]["n_words"] == rows[3]["n_words"] == 0 and rows[2]["log_likelihood"] == 0 and rows[2]["mean_log_likelihood"] is None
