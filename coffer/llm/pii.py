@@ -54,6 +54,11 @@ _SURNAME = r"\p{Lu}[\p{L}'’\-]+"
 _TITLE = "(?:" + "|".join(TITLES) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
+# A word of these, alone or as part of a longer name: access_token, db.password, AWS_SECRET_ACCESS_KEY, clientSecret; not secretary.
+_SECRET_NAME = r"(?i:[\p{L}\p{N}_.\-]*(?:password|passwd|pwd|secret|token|api[_\-]?key)(?:[0-9_.\-][\p{L}\p{N}_.\-]*|(?-i:[A-Z][a-z])[\p{L}\p{N}]*)?)"
+# Without both quotes. An address stays an address, and the dot or sign that ends a sentence stays outside.
+_SECRET_VALUE = r"(?![\"']?[A-Za-z0-9._+\-]+@[A-Za-z0-9\-]+\.[A-Za-z]{2})[\"']?[A-Za-z0-9+/_\-.~!@#$%^*]{7,}[A-Za-z0-9+/_\-~@#$%^*]={0,2}[\"']?"
+
 #: Kind and pattern, in the order in which they are tried at a place.
 PATTERNS = [
     ("email", r"[A-Za-z0-9._+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*(?<=\.[A-Za-z]{2,24})"),
@@ -63,7 +68,7 @@ PATTERNS = [
     ("phone", r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .\-]?[0-9]{3,4}[ .\-][0-9]{3,4}(?![\p{L}\p{N}\-])|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![\p{L}\p{N}])"),
     ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("key", r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])"),
-    ("secret", r"(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_\-]{8,}={0,2}[\"']?"),
+    ("secret", rf"{_SECRET_NAME}[\"']?\s{{0,3}}[=:]\s{{0,3}}(?:\"[^\"\s]{{8,}}\"|'[^'\s]{{8,}}'|{_SECRET_VALUE})"),
     ("name", rf"(?:{_TITLE}\s{{1,3}})?(?:{_GIVEN_ANY})\s{{1,3}}{_SURNAME}|{_TITLE}\s{{1,3}}{_SURNAME}"),
 ]
 #: All of them, where no word, number or address goes on.

@@ -77,6 +77,18 @@ def test_distinct_entities_stay_distinct(spark):
     assert {r["canon"]: r["sur"] for r in pii.surrogates(taken).collect()}["surname5"] != once["surname5"]
 
 
+def test_secrets_in_their_usual_shapes(spark):
+    value = "Qm9vZ2llV29v.bGdl~cnM.x_Z-42"
+    heads = ["access_token = \"", "client_secret=", "db_password: ", "AWS_SECRET_ACCESS_KEY=", "secret_key = '", '{"token": "', "--app.password=", "clientSecret: ", "token="]
+    tails = ['"', "", "", "", "'", '"}', "", "", "."]
+    for head, tail, (new, found) in zip(heads, tails, replaced(spark, *[h + value + t for h, t in zip(heads, tails, strict=True)]), strict=True):
+        assert [k for k, _ in found] == ["secret"] and new.startswith(head) and new.endswith(tail)
+        own = new.removeprefix(head).removesuffix(tail)
+        assert shape(own) == shape(value) and not any(part in own for part in re.split("[.~_-]", value) if len(part) > 2)
+    other = replaced(spark, "Secretary: Elizabeth, 12", "password: ann.lee@x.example.org", 'password="p@ss,w0rd;long"')
+    assert other[0][1] == [] and other[1][1][0][0] == "email" and other[2][1][0][0] == "secret" and "ss,w" not in other[2][0]
+
+
 def test_keys_and_reruns(spark):
     text = "a.b@x.example.org"
     assert replaced(spark, text) == replaced(spark, text) != replaced(spark, text, key="other")
