@@ -49,9 +49,16 @@ SYLLABLES = {
     "greek": ("βαλ γαρ δελ ζαν καλ κορ λαμ μαρ μελ νικ παλ ραφ σαλ ταρ φιλ χαρ".split(), "άκης ίδης όπουλος άτος ίου".split()),
 }
 
+# Letters that stand for a given name, by script.
+INITIALS = {"latin": "ABCDEFGHJKLMNPRST", "cyrillic": "АБВГДЕИКЛМНОПРСТ", "greek": "ΑΒΓΔΕΖΚΛΜΝΠΡΣΤ"}
+
 _GIVEN_ANY = "|".join(n for names in GIVEN.values() for n in names)
 _SURNAME = r"\p{Lu}[\p{L}'’\-]+"
 _TITLE = "(?:" + "|".join(TITLES) + ")"
+# Between a given name or title and the surname.
+_INITIAL = r"(?:\p{Lu}\.)+"
+_PARTICLE = r"(?:von (?:der|dem|den)|von|van (?:der|den|de)|van|de (?:la|las|los)|del|della|de|di|da|dos|du|zur|zum|zu|ter|ten|bin|ibn)"
+_INNER = rf"(?:(?:{_INITIAL}|{_PARTICLE})\s{{1,3}})*"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 # A word of these, alone or as part of a longer name: access_token, db.password, AWS_SECRET_ACCESS_KEY, clientSecret; not secretary.
@@ -69,7 +76,7 @@ PATTERNS = [
     ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("key", r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])"),
     ("secret", rf"{_SECRET_NAME}[\"']?\s{{0,3}}[=:]\s{{0,3}}(?:\"[^\"\s]{{8,}}\"|'[^'\s]{{8,}}'|{_SECRET_VALUE})"),
-    ("name", rf"(?:{_TITLE}\s{{1,3}})?(?:{_GIVEN_ANY})\s{{1,3}}{_SURNAME}|{_TITLE}\s{{1,3}}{_SURNAME}"),
+    ("name", rf"(?:{_TITLE}\s{{1,3}})?(?:{_GIVEN_ANY})\s{{1,3}}(?:(?:{_GIVEN_ANY}|{_INITIAL}|{_PARTICLE})\s{{1,3}})*{_SURNAME}|{_TITLE}\s{{1,3}}{_INNER}{_SURNAME}(?:\s{{1,3}}{_INNER}{_SURNAME})?"),
 ]
 #: All of them, where no word, number or address goes on.
 ANY = r"(?<![\p{L}\p{N}._+\-@])(?:" + "|".join(p for _, p in PATTERNS) + ")"
@@ -182,9 +189,15 @@ def _pour(chars: str, skip: str = "0") -> str:
 def _render(key: str) -> str:
     """SQL of a mention m, of some kind, with its entity's replacement ``sur`` written as the mention is."""
     names = "map(" + ", ".join(f"'{a}', '{b}'" for a, b in given_names(key).items()) + ")"
-    # Each word of the mention before the surname: a given name is replaced, a title and white space stay.
+    # Each word of the mention before the surname: given names (listed or not) and initials are replaced, titles, particles and white space stay.
     head = f"regexp_replace(m, {_sql(_LAST_WORD)}, '')"
-    words = f"array_join(transform(split({head}, '(?<=\\\\s)|(?=\\\\s)'), w -> coalesce({names}[w], w)), '')"
+    keyed = lambda n: f"CAST(conv(substring(sha2(concat('{key.replace(chr(39), '')}|given|', w), 256), 1, 7), 16, 10) AS int) % {n}"
+    pick = lambda words: f"array({', '.join(map(_sql, words))})[{keyed(len(words))}]"
+    given = "CASE script " + " ".join(f"WHEN '{s}' THEN {pick([n for (of, _), ns in GIVEN.items() if of == s for n in ns])}" for s in SYLLABLES) + " END"
+    letters = "CASE script " + " ".join(f"WHEN '{s}' THEN {pick(ls)}" for s, ls in INITIALS.items()) + " END"
+    titles = ", ".join(_sql(t.replace("\\", "")) for t in TITLES)
+    other = f"CASE WHEN w IN ({titles}) THEN w WHEN w RLIKE {_sql('^' + _INITIAL + '$')} THEN concat({letters}, '.') WHEN w RLIKE {_sql('^' + _SURNAME + '$')} THEN {given} ELSE w END"
+    words = f"array_join(transform(split({head}, '(?<=\\\\s)|(?=\\\\s)'), w -> coalesce({names}[w], {other})), '')"
     last = f"regexp_extract(m, {_sql(_LAST_WORD)}, 1)"
     return f"""CASE kind
       WHEN 'phone' THEN {_pour("0-9", "greatest(0, length(" + _DIGITS + ") - 10)")}

@@ -65,6 +65,17 @@ def test_names_keep_gender_script_and_person(spark):
         assert sorted(turned[n] for n in listed) == sorted(listed) and all(turned[n] != n for n in listed), (script, gender)
 
 
+def test_whole_names_go(spark):
+    """Several given names, unlisted ones after a title, particles and initials; the surname is the same person's everywhere."""
+    texts = ["Frau Weber,", "Anna Maria Weber,", "Dr. Zoe Weber,", "Anna von Weber,", "John Q. Weber,", "Mr. J. Weber,"]
+    got = replaced(spark, *texts)
+    surname = re.fullmatch(r"Frau (\w+),", got[0][0])[1]
+    for text, pattern in zip((t for t, _ in got[1:]), [r"\w+ \w+ (\w+),", r"Dr\. \w+ (\w+),", r"\w+ von (\w+),", r"\w+ [A-Z]\. (\w+),", r"Mr\. [A-Z]\. (\w+),"], strict=True):
+        assert re.fullmatch(pattern, text)[1] == surname != "Weber"
+    for old, (new, _) in zip(texts, got, strict=True):
+        assert {a for a, b in zip(old.split(), new.split(), strict=True) if a == b} <= {"Frau", "Dr.", "Mr.", "von", "Q.", "J."}
+
+
 def test_distinct_entities_stay_distinct(spark):
     """More surnames than a first draw can keep apart, and originals that a draw could hit."""
     n = 6000
