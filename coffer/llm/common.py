@@ -28,19 +28,19 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives the loss of executors.
+def materialise(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, by the session's codec or ``codec``, and read it again: cuts lineage and survives the loss of executors.
 
     Results read these tables when they are evaluated, so nothing here deletes
     them: they lie in one folder for each application, to be removed after it.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/coffer-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def global_rank(df: DataFrame, keys: list[str], label: str, rows_per_part: int = 20_000) -> tuple[DataFrame, int]:
+def global_rank(df: DataFrame, keys: list[str], label: str, rows_per_part: int = 20_000, codec: str | None = None) -> tuple[DataFrame, int]:
     """Add ``global_rank``: 0 .. n-1 in the order of ``keys``; return the frame and n.
 
     One range shuffle sorts the rows; the place inside a partition comes from
@@ -58,6 +58,7 @@ def global_rank(df: DataFrame, keys: list[str], label: str, rows_per_part: int =
     ordered = materialise(
         ordered.withColumns({"rank_part": F.shiftright(place, 33), "rank_place": place.bitwiseAND(F.lit((1 << 33) - 1))}),
         label,
+        codec,
     )
     # At most 8192 rows (one for each partition), so one task and a broadcast are safe.
     before = Window.orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)

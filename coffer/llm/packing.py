@@ -6,7 +6,7 @@ at most ``capacity`` entries however many documents there are: the reduction
 fixes sets that dominate all alternatives, with their multiplicity; best fit
 in decreasing order packs the rest. The plan is a list of runs over the rank of
 a piece among all pieces by length; each task finds its pieces' runs by
-bisection. Ranks come from one range shuffle of narrow rows.
+bisection. Ranks come from one range shuffle, which the ids go through with their pieces.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from coffer.llm.tokencount import SPECIAL, bpe
 
 END_ID = 2
 CAPACITY = 1024
+#: Of the scratch tables, which hold every id.
+CODEC = "zstd"
 
 
 @cache
@@ -51,37 +53,44 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)]
 
 
-def encode_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
+def encode_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False, small: bool = False) -> DataFrame:
+    """Pieces of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32 and, if asked for, ids, or small_ids: the same as bytes, two for an id if none of the piece needs four.
 
     A document's ids end with id 2; null text has only that. ids_crc32 is over
     the ids as little-endian unsigned 32-bit numbers.
     """
     raw = docs.select("doc_id", text_bytes().cast("string").alias("text"))
     kind = raw.schema["doc_id"].dataType
-    fields = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    fields = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["small_ids"] * small
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
                 rows: list[list] = [[] for _ in fields]
-                source = []
+                source, held, tight = [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
                     ids = np.append(encode(text, vocabulary).astype("<u4"), np.array([END_ID], "<u4"))
                     data = ids.tobytes()
+                    held.append(ids)
                     for k, (start, length) in enumerate(cut(len(ids), capacity)):
                         source.append(i)
                         rows[1].append(k)
                         rows[2].append(start)
                         rows[3].append(length)
+                        if small:
+                            own = ids[start : start + length]
+                            tight.append(own.astype("<u2" if own.max() < 1 << 16 else "<u4").tobytes())
                         rows[4].append(zlib.crc32(memoryview(data)[4 * start : 4 * (start + length)]))
-                        if with_ids:
-                            rows[5].append(ids[start : start + length].astype(np.int32))
                 columns = [part.column(0).take(pa.array(source, pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(rows[i], pa.int64()) for i in (2, 3, 4))]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(rows[5], pa.list_(pa.int32()))] if with_ids else []), names=fields)
-
-    schema = f"doc_id {kind.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+                if with_ids:  # a document's pieces lie one after another
+                    ends = np.cumsum([0, *rows[3]])
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(held).view(np.int32))))
+                if small:
+                    columns.append(pa.array(tight, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=fields)
+
+    schema = f"doc_id {kind.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids + ", small_ids binary" * small
     return in_small_batches(raw).mapInArrow(run, schema)
 
 
@@ -232,13 +241,13 @@ def run_table(histogram: dict[int, int], plan: Plan) -> tuple[np.ndarray, np.nda
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to ``pieces`` (doc_id, piece, start, length, ids_crc32).
+    """Add sequence_id and offset to ``pieces`` (doc_id, piece, start, length, ids_crc32 and, if there, small_ids, which become ids, the last column).
 
     ``pieces`` is read more than once: pass a written table. Only the histogram
     of lengths (at most ``capacity`` rows) comes to the driver. Equal rows can
     change places. Empty input gives no rows.
     """
-    ranked, n = global_rank(pieces, ["length", "doc_id", "piece", "ids_crc32"], "pack-order")
+    ranked, n = global_rank(pieces, ["length", "doc_id", "piece", "ids_crc32"], "pack-order", codec=CODEC)
     histogram = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}
     begins, firsts, offsets = run_table(histogram, Plan(histogram, capacity))
 
@@ -246,19 +255,43 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             rank = batch.column(batch.num_columns - 1).to_numpy()
             run = np.searchsorted(begins, rank, side="right") - 1
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(firsts[run] + rank - begins[run]), pa.array(offsets[run])], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
+            whole = [batch.column(i) for i in range(batch.num_columns - 1)]
+            placed = [*whole[:5], pa.array(firsts[run] + rank - begins[run]), pa.array(offsets[run])]
+            if small:
+                lengths = whole[3].to_numpy()
+                values = [np.frombuffer(b, f"<u{len(b) // n}").astype(np.int32) for b, n in zip(whole[5].to_pylist(), lengths.tolist(), strict=True)]
+                ends = pa.array(np.cumsum([0, *lengths]), pa.int32())
+                placed.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *values]))))
+            yield pa.RecordBatch.from_arrays(placed, names=[*columns, "sequence_id", "offset"] + ["ids"] * len(small))
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    small = ["small_ids"] if "small_ids" in pieces.columns else []
     kinds = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in columns)
-    return ranked.select(*columns, "global_rank").mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
+    schema = f"{kinds}, sequence_id bigint, offset bigint" + ", ids array<int>" * len(small)
+    return in_small_batches(ranked.select(*columns, *small, "global_rank")).mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """Pack ``docs`` (doc_id, text; other columns are ignored) into sequences of at most ``capacity`` tokens.
 
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset; one
-    row for each piece, at least one for each document. Null or repeated
-    doc_ids: each row is a document of its own.
+    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids; one
+    row for each piece, at least one for each document. A sequence is the ids of
+    its rows in the order of their offsets. Null or repeated doc_ids: each row
+    is a document of its own.
     """
-    return pack(materialise(encode_pieces(docs, vocabulary, capacity), "pack-pieces"), capacity)
+    return pack(materialise(encode_pieces(docs, vocabulary, capacity, small=True), "pack-pieces", CODEC), capacity)
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """``packed`` with length and ids_crc32 made anew from its ids, and without the ids."""
+    columns = [c for c in packed.columns if c != "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(len(columns))
+            data, ends = memoryview(ids.flatten().to_numpy().astype("<u4").tobytes()), np.cumsum([0, *ids.value_lengths().to_pylist()]) * 4
+            made = {"length": pa.array(np.diff(ends) // 4, pa.int64()), "ids_crc32": pa.array([zlib.crc32(data[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())}
+            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(i)) for i, c in enumerate(columns)], names=columns)
+
+    kinds = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in columns)
+    return in_small_batches(packed.select(*columns, "ids")).mapInArrow(run, kinds)

@@ -50,7 +50,7 @@ def op7_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
+    return packing.digests(packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,3 +155,20 @@ def test_pack_awkward_rows(spark):
 def test_ids_on_request(spark):
     row = packing.encode_pieces(frame(spark, [(1, "hello world", "en", "s", 1)]), vocabulary_path(), with_ids=True).first()
     assert zlib.crc32(np.array(row["ids"], "<u4").tobytes()) == row["ids_crc32"] and row["ids"][-1] == 2
+
+
+def test_packed_sequences_hold_their_ids(spark, library):
+    """Documents come back from the packed sequences alone, and the digests are those of the packed ids."""
+    rows = [(i, "alpha beta gamma " * n, "en", "s", 0) for i, n in enumerate([0, 1, 40, 500, 900, 1400])]
+    packed = packing.pack_documents(frame(spark, rows), vocabulary_path())
+    got = packed.collect()
+    sequences: dict[int, dict[int, int]] = defaultdict(dict)
+    for r in got:
+        sequences[r["sequence_id"]] |= dict(enumerate(r["ids"], r["offset"]))
+    for doc_id, text, *_ in rows:
+        own = sorted((r for r in got if r["doc_id"] == doc_id), key=lambda r: r["start"])
+        found = [sequences[r["sequence_id"]][r["offset"] + i] for r in own for i in range(r["length"])]
+        assert found == [*library.encode(text, add_special_tokens=False).ids, 2]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert packing.digests(packed).columns == columns
+    assert sorted(map(tuple, packing.digests(packed).collect())) == sorted(tuple(r[c] for c in columns) for r in got)
