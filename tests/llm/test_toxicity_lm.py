@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -31,16 +32,71 @@ def corpus(n: int = 1200, seed: int = 1) -> tuple[list[tuple], list[tuple]]:
 LABELS = "doc_id long, quality int, toxic int"
 
 
-def test_index_is_exact():
+def test_index_is_exact(monkeypatch):
     rng = random.Random(2)
-    vectors = [{t: rng.random() for t in rng.sample(range(12), rng.randint(0, 5))} for _ in range(500)]
-    index = toxicity.BlockMaxIndex.build(vectors, 12)
-    for _ in range(100):
-        q = {t: rng.random() for t in rng.sample(range(12), rng.randint(0, 4))}
-        dots = sorted(((sum(w * v.get(t, 0) for t, w in q.items()), i) for i, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))
-        want = [(s, i) for s, i in dots if s > 0][:15]
-        got = index.nearest(q, 15)
-        assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+    monkeypatch.setattr(toxicity, "FREQUENT", 4)
+    monkeypatch.setattr(toxicity, "BLOCK", 32)
+    vectors = [{t: rng.choice([0.25, rng.random()]) for t in rng.sample(range(12), rng.randint(0, 5))} for _ in range(500)]
+    vectors += [dict(vectors[7]) for _ in range(60)]  # more ties than the search holds
+    entries = [(i, t, w) for i, v in enumerate(vectors) for t, w in v.items()]
+    rows, terms, weights = (np.array(x) for x in zip(*entries, strict=True))
+    index = toxicity.BlockMaxIndex(len(vectors), 12, rows, terms, weights)
+    queries = [{t: rng.random() for t in rng.sample(range(12), rng.randint(0, 4))} for _ in range(100)] + [dict(vectors[7])]
+    for without in (None, [rng.randrange(len(vectors)) for _ in queries]):
+        found = index.nearest([(np.array(list(q), np.int64), np.array(list(q.values()))) for q in queries], 15, without)
+        for n, (q, got) in enumerate(zip(queries, found, strict=True)):
+            dots = sorted(((round(sum(w * v.get(t, 0) for t, w in q.items()), 12), i) for i, v in enumerate(vectors) if without is None or i != without[n]), key=lambda x: (-x[0], x[1]))
+            want = [(s, i) for s, i in dots if s > 0][:15]
+            assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+
+
+def by_hand(docs: list[tuple], labels: list[tuple]) -> dict[int, list[tuple[int, float, int]]]:
+    """The nearest examples of each document by the definition, word by word."""
+    text = {d[0]: (d[1] or "").lower().split() for d in docs}
+    toxic = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 3 != 1 and i in text}
+    n1, n0 = sum(toxic.values()), len(toxic) - sum(toxic.values())
+    known = {w for i in toxic for w in text[i]}
+    idf = {w: math.log((1 + len(text)) / (1 + sum(w in t for t in text.values()))) + 1 for w in known}
+    z = {}
+    for w in known:
+        a, c = sum(w in text[i] for i, t in toxic.items() if t) + 0.5, sum(w in text[i] for i, t in toxic.items() if not t) + 0.5
+        b, d = n1 - a + 1, n0 - c + 1
+        z[w] = math.log(a * d / (b * c)) / math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    top = max(map(abs, z.values()))
+    weight = {w: idf[w] * (toxicity.FLOOR + (z[w] / top) ** 2) for w in known}
+    unseen = (math.log(1 + len(text)) + 1) * toxicity.FLOOR
+
+    def vector(words: list[str]) -> dict[str, float]:
+        v = {w: (1 + math.log(words.count(w))) * weight.get(w, unseen) for w in set(words)}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: vector(t) for i, t in text.items()}
+    out = {}
+    for i, v in vectors.items():
+        near = sorted((-round(sum(x * vectors[j].get(w, 0) for w, x in v.items()), 9), t, j) for j, t in toxic.items())
+        out[i] = [(j, -s, t) for s, t, j in near if s < 0][:3]
+    return out
+
+
+def test_evidence_equals_brute_force_cosine(spark):
+    docs, labels = corpus(240, seed=5)
+    docs.append((1000, "nothing that any example says", "en", "s", 0))
+    want = by_hand(docs, labels)
+    for r in toxicity.score_documents(frame(spark, docs), spark.createDataFrame(labels, LABELS)).collect():
+        near = want[r["doc_id"]]
+        assert [(e["doc_id"], e["toxic"]) for e in r["evidence"]] == [(j, t) for j, _, t in near]
+        assert np.allclose([e["similarity"] for e in r["evidence"]], [s for _, s, _ in near], atol=1e-8)
+        assert near or r["doc_id"] == 1000  # every other text has evidence
+
+
+def test_ids_of_other_types_and_long_words(spark):
+    docs, labels = corpus(200)
+    named = frame(spark, docs).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    out = toxicity.score_documents(named, spark.createDataFrame(labels, LABELS).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).collect()
+    assert len(out) == 200 and all(e["doc_id"].startswith("d") for r in out for e in r["evidence"])
+    assert toxicity.words_of(("x" * 500).encode()) == [b"x" * 500]
+    assert [w.decode() for w in toxicity.words_of("Ab 漢字文 ÉTÉ-x".encode())] == ["ab", "漢字", "字文", "été", "x"]
 
 
 def test_held_out_accuracy_and_evidence(spark):
