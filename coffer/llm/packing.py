@@ -11,6 +11,7 @@ bisection. Ranks come from one range shuffle, which the ids go through with thei
 
 from __future__ import annotations
 
+import base64
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coffer.llm.common import global_rank, in_small_batches, materialise, text_bytes
-from coffer.llm.tokencount import SPECIAL, bpe
+from coffer.llm.tokencount import SPECIAL
 
 END_ID = 2
+SPECIAL_ID = 50_256
 CAPACITY = 1024
 #: Of the scratch tables, which hold every id.
 CODEC = "zstd"
@@ -37,6 +39,18 @@ def _library(vocabulary: str):
     return Tokenizer.from_file(vocabulary)
 
 
+@cache
+def bpe(vocabulary: str):
+    """The rank encoder of a ``tokenizers`` file, whose ranks lie beside it as .tiktoken."""
+    import tiktoken
+
+    from public_tokenizers import PATTERN
+
+    with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
+
+
 def encode(text: str, vocabulary: str) -> np.ndarray:
     """A text's ids, as the ``tokenizers`` file gives them without added tokens. The rank encoder is the same map, several times faster; texts on which its matcher gives up go to the library."""
     try:

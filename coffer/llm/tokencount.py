@@ -1,22 +1,28 @@
 """Token counts by compiled finite-state transducers.
 
-Byte-level BPE is a cascade of two machines. The first cuts a text into pieces
-as the library's pattern does: a deterministic transducer of 13 states over 12
-character classes, whose transitions say whether a piece begins at this
-character, at the one before, or neither. The second reads whole pieces: its
-transitions carry the number of tokens that a piece emits, compiled from the
-merges when a piece is first met.
-
-A batch of texts is one stream with end marks, cut into chunks of equal length.
-All chunks step through the first machine side by side from every state, which
-gives each chunk's map from entry to exit state; a prefix scan composes the
-maps, so each chunk's true entry state is known without reading from the
-left, and a second pass emits the cuts.
+Byte-level BPE is a cascade of two deterministic machines. The first cuts a
+text into pieces as the library's pattern does: 13 states over 12 character
+classes, whose transitions say whether a piece begins at this character, at the
+one before, or neither. A batch of texts is one stream with end marks, cut into
+chunks of equal length. All chunks step through this machine side by side from
+every state, which gives each chunk's map from entry to exit state; a prefix
+scan composes the maps, so each chunk's true entry state is known without
+reading from the left, and a second pass emits the cuts.
+
+The second machine reads the bytes of a piece and is compiled from the merges.
+A transition carries how many tokens the next byte adds: the tokens of the
+piece so far with the byte, less those without, which can be negative. What
+makes this finite: the tokens of a prefix end in the one token that is a suffix
+of the prefix and that no merge would have joined with the token before it. So
+a state is, for each suffix that can still grow into a token, its place in the
+trie of tokens, the token before it, and how many tokens ended there. States
+and transitions are compiled when a text first takes them, and paths of whole
+pieces are kept.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,11 +34,12 @@ from pyspark.sql import functions as F
 from coffer.llm.common import in_small_batches, text_bytes
 
 SPECIAL = "<|endoftext|>"
-SPECIAL_ID = 50_256
 #: Characters in a chunk, and in the part of a batch that is held at once.
 CHUNK, PART = 256, 2_000_000
-#: Pieces up to this length are kept as transitions, up to so many in a worker.
-LONGEST_ARC, MOST_ARCS = 64, 400_000
+#: Pieces up to this length are kept as paths, up to so many in a worker; and so are states of the second machine.
+LONGEST_PATH, MOST_PATHS, MOST_STATES = 64, 400_000, 250_000
+#: Tokens below a node of the trie up to which all are tried.
+MANY = 64
 
 # Character classes.
 LETTER, NUMBER, SPACE, BLANK, OTHER, QUOTE, STMD, R, V, L, E, END = range(12)
@@ -87,16 +94,16 @@ def compile_cutter() -> tuple[np.ndarray, np.ndarray]:
 
 @cache
 def class_table() -> np.ndarray:
-    """The class of each code point."""
-    import regex
+    """The class of each code point, as the library's own pattern engine has it."""
+    from tokenizers import Regex, pre_tokenizers
 
     table = np.full(0x110000, OTHER, np.uint8)
-    everything = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
-    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", BLANK)):
-        for run in regex.finditer(pattern, everything):
-            first, last = everything[run.start()], everything[run.end() - 1]
-            table[ord(first) : ord(last) + 1] = kind
-    table[0xD800:0xE000] = OTHER
+    points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+    everything = "".join(map(chr, points.tolist()))
+    for pattern, kind in ((r"[^\p{L}]+", LETTER), (r"[^\p{N}]+", NUMBER), (r"\S+", BLANK)):
+        # What is left when all runs without the class are removed.
+        for _, (first, last) in pre_tokenizers.Split(Regex(pattern), "removed").pre_tokenize_str(everything):
+            table[points[first:last]] = kind
     for chars, kind in ((" ", SPACE), ("'", QUOTE), ("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E)):
         for c in chars:
             table[ord(c)] = kind
@@ -141,39 +148,148 @@ class Cutter:
         return np.flatnonzero(begins)
 
 
-class Arcs(dict):
-    """The second transducer: tokens that a piece emits, compiled on first use."""
+def byte_symbols() -> dict[str, int]:
+    """The bytes that the characters of a byte-level vocabulary stand for: printable Latin-1 characters for themselves, and those from 256 on, in order, for the other bytes."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
 
-    def __init__(self, encode) -> None:
+
+class Merges:
+    """The merges of a ``tokenizers`` file. Tokens are numbered by rank: bytes first, then the merges in their order."""
+
+    def __init__(self, vocabulary: str) -> None:
+        with open(vocabulary, encoding="utf-8") as file:
+            rules = json.load(file)["model"]["merges"]
+        symbols = byte_symbols()
+        self.bytes = [bytes([b]) for b in range(256)]
+        number = {t: i for i, t in enumerate(self.bytes)}
+        self.left, self.right = list(range(256)), list(range(256))
+        self.joined: dict[tuple[int, int], int] = {}
+        for rule in rules:
+            a, b = (number[bytes(symbols[c] for c in part)] for part in (rule if isinstance(rule, list) else rule.split(" ")))
+            made = self.bytes[a] + self.bytes[b]
+            self.joined[a, b] = number[made] = len(self.bytes)
+            self.bytes.append(made)
+            self.left.append(a)
+            self.right.append(b)
+
+    def edge(self, token: int, inner: list[int]) -> list[tuple[int, int]]:
+        """What stands at one end of ``token`` while it is built, each with the merge that ends it; the token itself last, with none."""
+        out, ends = [], len(self.bytes)
+        while True:
+            out.append((token, ends))
+            if token < 256:
+                return out[::-1]
+            token, ends = inner[token], token
+
+    def stay_apart(self, a: int, b: int) -> bool:
+        """Do the tokens a and b, one after the other, stay two? They do if no merge across the border comes before both its parts are gone. Of equal merges the left one comes first."""
+        for x, x_ends in self.edge(a, self.right):
+            for y, y_ends in self.edge(b, self.left):
+                merge = self.joined.get((x, y))
+                if merge is not None and merge < x_ends and merge <= y_ends:
+                    return False
+        return True
+
+
+class Emitter(dict):
+    """The second transducer: (state << 8 | byte) -> (next state << 8 | tokens added + 128)."""
+
+    def __init__(self, merges: Merges) -> None:
         super().__init__()
-        self.encode = encode
+        self.merges = merges
+        #: Tokens in the order of their bytes: those below a node of the trie lie side by side.
+        self.sorted = sorted(range(len(merges.bytes)), key=merges.bytes.__getitem__)
+        self.child: list[dict[int, int]] = [{}]
+        self.token, self.below = [-1], [[0, len(self.sorted)]]
+        for place, t in enumerate(self.sorted):
+            node = 0
+            for b in merges.bytes[t]:
+                kids = self.child[node]
+                if b not in kids:
+                    kids[b] = len(self.token)
+                    self.child.append({})
+                    self.token.append(-1)
+                    self.below.append([place, place])
+                node = kids[b]
+                self.below[node][1] = place + 1
+            self.token[node] = t
+            self.below[node][0] = place + 1
+        self.forget()
+
+    def forget(self) -> None:
+        """Back to the start state alone: nothing before the piece, nothing read."""
+        self.clear()
+        self.apart: dict[int, bool] = {}
+        self.hopes: dict[int, bool] = {}
+        self.states: list[tuple] = [((0, -1, 0),)]
+        self.numbers = {self.states[0]: 0}
+
+    def _stay_apart(self, before: int, token: int) -> bool:
+        known = self.apart.get(before << 20 | token)
+        if known is None:
+            known = self.apart[before << 20 | token] = self.merges.stay_apart(before, token)
+        return known
+
+    def _can_grow(self, before: int, node: int) -> bool:
+        """Can a longer token at ``node`` follow ``before``? Where many could, taken for granted."""
+        known = self.hopes.get(before << 20 | node)
+        if known is None:
+            first, end = self.below[node]
+            known = self.hopes[before << 20 | node] = end - first > MANY or any(self._stay_apart(before, self.sorted[i]) for i in range(first, end))
+        return known
+
+    def __missing__(self, at: int) -> int:
+        """Compile a transition. A state lists (node of the trie, token before the suffix, its tokens less those of all), longest suffix first."""
+        byte, added, last, grown = at & 255, 0, -1, []
+        for node, before, tokens in self.states[at >> 8]:
+            child = self.child[node].get(byte)
+            if child is None:
+                continue
+            if last < 0 and self.token[child] >= 0 and (before < 0 or self._stay_apart(before, self.token[child])):
+                added, last = tokens + 1, self.token[child]
+            if self.child[child] and (before < 0 or self._can_grow(before, child)):
+                grown.append((child, before, tokens))
+        state = (*[(node, before, tokens - added) for node, before, tokens in grown], (0, last, 0))
+        number = self.numbers.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+        self[at] = arc = number << 8 | added + 128
+        return arc
+
+    def emitted(self, piece: bytes) -> int:
+        """Tokens of a piece: the sum along its path."""
+        if len(self.states) > MOST_STATES:
+            self.forget()
+        state, tokens = 0, 0
+        for byte in piece:
+            arc = self[state << 8 | byte]
+            state = arc >> 8
+            tokens += (arc & 255) - 128
+        return tokens
+
+
+class Paths(dict):
+    """Piece -> its tokens, kept when met and emptied when large."""
+
+    def __init__(self, emitter: Emitter) -> None:
+        super().__init__()
+        self.emitter = emitter
 
     def __missing__(self, piece: str) -> int:
-        emitted = len(self.encode(piece))
-        if len(piece) <= LONGEST_ARC:
-            if len(self) >= MOST_ARCS:
+        emitted = self.emitter.emitted(piece.encode())
+        if len(piece) <= LONGEST_PATH:
+            if len(self) >= MOST_PATHS:
                 self.clear()
             self[piece] = emitted
         return emitted
 
 
-@cache
-def bpe(vocabulary: str):
-    """Encodes one piece with the merges of a ``tokenizers`` file; special strings count as text here."""
-    import tiktoken
-
-    from public_tokenizers import PATTERN
-
-    with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
-
-
 class Counter:
     """Counts the tokens of texts with both transducers."""
 
     def __init__(self, vocabulary: str) -> None:
-        self.cutter, self.arcs = Cutter(), Arcs(bpe(vocabulary).encode_ordinary)
+        self.cutter, self.paths = Cutter(), Paths(Emitter(Merges(vocabulary)))
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text, as the library counts them; an <|endoftext|> inside a text is one token."""
@@ -193,7 +309,7 @@ class Counter:
         real = classes[begins] != END
         begins, stops = begins[real], stops[real]
         pieces = [stream[a:b] for a, b in zip(begins.tolist(), stops.tolist(), strict=True)]
-        emitted = np.fromiter(map(self.arcs.__getitem__, pieces), np.int64, len(pieces))
+        emitted = np.fromiter(map(self.paths.__getitem__, pieces), np.int64, len(pieces))
         total = np.zeros(len(begins) + 1, np.int64)
         np.cumsum(emitted, out=total[1:])
         last = np.searchsorted(begins, ends)
@@ -223,8 +339,7 @@ def in_parts(texts: list[str], size: int = PART) -> Iterator[list[str]]:
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFrame:
     """Tokens of each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    ``vocabulary``: path of a byte-level BPE ``tokenizers`` file whose ranks lie
-    beside it as .tiktoken, on each executor. Returns doc_id, n_bytes, n_tokens,
+    ``vocabulary``: path of a byte-level BPE ``tokenizers`` file on each executor. Returns doc_id, n_bytes, n_tokens,
     over_limit (n_tokens > limit). Null texts count as empty: no tokens. Null or
     repeated doc_ids: one row out for each row in.
     """

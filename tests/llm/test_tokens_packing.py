@@ -33,6 +33,41 @@ def test_counts_equal_the_library(library):
     assert tokencount.Counter(vocabulary_path()).count(texts).tolist() == want
 
 
+def test_every_code_point_counts_as_in_the_library(library):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{p}a{p}{p}1 {p}" for p in points[at : at + 100]) for at in range(0, len(points), 100)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert tokencount.Counter(vocabulary_path()).count(texts).tolist() == want
+    assert [len(packing.encode(t, vocabulary_path())) for t in texts] == want
+
+
+def test_compiled_merges_equal_the_library(library):
+    """Runs, few letters and joined tokens: where merges compete most. Forgetting compiled states changes nothing."""
+    rng = random.Random(8)
+    counter = tokencount.Counter(vocabulary_path())
+    emitter = counter.paths.emitter
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 70))) for _ in range(2000)]
+    texts += ["".join(rng.choice("aeinorst") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["".join(rng.choice(emitter.merges.bytes).decode("utf-8", "ignore") for _ in range(rng.randint(1, 6))) for _ in range(6000)]
+    texts += [c * n for c in "a- =_" for n in range(150)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counter.count(texts).tolist() == want
+    emitter.forget()
+    counter.paths.clear()
+    assert counter.count(texts[::7]).tolist() == want[::7]
+    assert emitter.emitted(b"".join(emitter.merges.bytes[300:400]) * 30) > 0
+
+
+def test_transitions_carry_the_tokens_added():
+    """Along any path, the sums of the transitions are the tokens of the prefixes."""
+    emitter = tokencount.Counter(vocabulary_path()).paths.emitter
+    text, state, total = b"internationalisation", 0, 0
+    for n, byte in enumerate(text, 1):
+        arc = emitter[state << 8 | byte]
+        state, total = arc >> 8, total + (arc & 255) - 128
+        assert total == emitter.emitted(text[:n])
+
+
 def test_chunk_maps_compose():
     """Every chunk length gives the same cuts, so entry states come out right wherever chunks begin."""
     classes = np.random.default_rng(1).integers(0, tokencount.CLASSES, 5000).astype(np.uint8)
