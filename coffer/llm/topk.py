@@ -2,156 +2,205 @@
 
 The index of a shard of vectors has, for each dimension, the vectors grouped
 into segments by quantised value. A query multiplies a segment by its own
-component, so the segments of all dimensions are ordered by the largest score
-they can add above their dimension's least, and are read in that order. At any
-time a vector's true score lies between its sum and its sum plus what unread
-segments can still add. Reading stops when that proves that all but a few
-vectors are out of the top k; the rest are scored exactly.
-
-Vectors are dealt into shards and queries into blocks; a task has one block
-against one shard, and each query's winners of all shards meet in a last rank.
+component, so a segment's impact is the most that it can add above its
+dimension's least. Each query reads the segments of all dimensions by its own
+descending impact. At any time a vector's true score lies between its sum and
+its sum plus what unread segments can still add. Reading stops when that proves
+that all but a few vectors are out of the top k; the rest are scored exactly.
+
+Vectors are dealt into shards, once. Queries go to the shards and not the other
+way round: a block of them, of bounded size, is broadcast, each task reads its
+shards and keeps the k best of each query, and these meet in a last rank.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coffer.llm.common import materialise
 
 SCALE = 1024
-SHARD_ROWS = 16_384
-BLOCK_QUERIES = 128
+#: Components in a shard at most, and vectors.
+SHARD_CELLS, SHARD_ROWS = 1 << 20, 16_384
+#: Components of the queries that are broadcast at once, 8 bytes each.
+BLOCK_CELLS = 1 << 21
 LEVELS = 16
-#: Queries that are read together, and the shares of the segments after which the bounds are looked at.
-TOGETHER = 16
-LOOKS = (0.5, 0.65, 0.75, 0.83, 0.9, 0.95, 1.0)
+#: The bounds are looked at after every LOOKS-th part of the segments.
+LOOKS = 16
 #: Reading stops when no more than 1 row in FEW can be among the best: to score those exactly costs less than reading on.
 FEW = 8
+LONG = 2**63 - 1
 
 
 def _narrow(values: np.ndarray) -> np.ndarray:
     """As 32-bit integers if they fit: half the index."""
-    return values.astype(np.int32) if values.size and np.abs(values).max() < 2**31 - 1 else values
+    return values.astype(np.int32) if values.size and values.max() < 2**31 and values.min() >= -(2**31) else values
 
 
-def build_index(ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS) -> dict:
-    """Index of int64 ``vectors`` (n, dims): for each dimension the rows and values by level, where levels end, and each level's bounds."""
+def _most(dims: int) -> int:
+    """Components up to this size make sums that fit in 62 bits."""
+    return math.isqrt((1 << 60) // max(1, dims))
+
+
+def _is_wide(vectors: np.ndarray) -> np.ndarray:
+    most = _most(vectors.shape[1])
+    return ((vectors > most) | (vectors < -most)).any(1)
+
+
+def build_index(rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS) -> dict:
+    """Index of int64 ``vectors`` (n, dims) with their row numbers and ids: for each dimension the places and values by level, where levels end, and each level's bounds. Vectors whose sums may need more than 64 bits are kept beside it."""
+    wide = _is_wide(vectors)
+    beside = (rows[wide], ids[wide], vectors[wide])
+    rows, ids, vectors = rows[~wide], ids[~wide], vectors[~wide]
     n, dims = vectors.shape
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    low, high = vectors.min(0), vectors.max(0)
+    low, high = (vectors.min(0), vectors.max(0)) if n else (np.zeros(dims, np.int64),) * 2
     level = (vectors - low) * levels // np.maximum(high - low + 1, 1)
-    rows = np.argsort(level, axis=0, kind="stable").T.astype(np.int32)
-    values = np.take_along_axis(vectors.T, rows, axis=1)
-    ends = np.stack([np.searchsorted(level[rows[d], d], np.arange(levels + 1)) for d in range(dims)])
+    places = np.argsort(level, axis=0, kind="stable").T.astype(np.int32)
+    values = np.take_along_axis(vectors.T, places, axis=1)
+    ends = np.stack([np.searchsorted(level[places[d], d], np.arange(levels + 1)) for d in range(dims)]) if dims else np.zeros((0, levels + 1), np.int64)
     lo, hi = np.zeros((dims, levels), np.int64), np.zeros((dims, levels), np.int64)
     for d in range(dims):
         for s in range(levels):
             part = values[d, ends[d, s] : ends[d, s + 1]]
             if part.size:
                 lo[d, s], hi[d, s] = part.min(), part.max()
-    return {"ids": ids, "vectors": _narrow(vectors), "rows": rows, "values": _narrow(values), "ends": ends, "lo": lo, "hi": hi, "low": low, "high": high}
+    return {"rows": rows, "ids": ids, "vectors": _narrow(vectors), "places": places, "values": _narrow(values), "ends": ends, "lo": lo, "hi": hi, "low": low, "high": high, "beside": beside}
 
 
 def opened(blob: bytes) -> dict:
     """A stored index, with the types that searching is fastest on."""
     index = pickle.loads(blob)
-    return index | {"rows": index["rows"].astype(np.intp), "values": index["values"].astype(np.int64)}
-
-
-def search(index: dict, queries: np.ndarray, owns: list[int | None], k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-    """For each row of int64 ``queries``: ids and exact scores of the k best rows without the row ``owns[i]``; and how many segments were read. Ties go to the smaller id.
-
-    The queries share one order, by the most that a segment can add to any of
-    them; each has its own sums and its own bound on what is unread.
-    """
-    ids, rows, values, ends = index["ids"], index["rows"], index["values"], index["ends"].tolist()
-    n = len(ids)
-    floor = np.minimum(queries * index["low"], queries * index["high"])
-    impact = np.maximum(queries[:, :, None] * index["lo"], queries[:, :, None] * index["hi"]) - floor[:, :, None]
-    filled = (index["ends"][:, 1:] > index["ends"][:, :-1]) & (queries != 0).any(0)[:, None]
-    impact[:, ~filled] = -1
-    sequence = np.argsort(-impact.max(0), axis=None, kind="stable")[: int(filled.sum())].tolist()
-    looks = {max(1, round(len(sequence) * part)) for part in LOOKS}
-    sums = np.zeros((n, len(queries)), np.int64)
-    candidates = [np.arange(n) if own is None else np.flatnonzero(ids != own) for own in owns]
-    few, levels, done = max(8 * k, n // FEW), impact.shape[2], 0
-    for done, flat in enumerate(sequence, 1):  # noqa: B007
-        d, s = divmod(flat, levels)
-        part = slice(ends[d][s], ends[d][s + 1])
-        sums[rows[d][part]] += values[d][part][:, None] * queries[:, d] - floor[:, d]
-        impact[:, d, s] = 0  # read: nothing is left of it
-        if done in looks:
-            left = np.maximum(impact.max(2), 0).sum(1)
-            for i, (own_sums, alive) in enumerate(zip(np.ascontiguousarray(sums.T), candidates, strict=True)):
-                # Who can still reach the k-th largest sum with all that is unread? The others are out for good.
-                live = own_sums[alive]
-                if live.size > k:
-                    candidates[i] = alive[live + left[i] >= np.partition(live, live.size - k)[live.size - k]]
-            if all(c.size <= few for c in candidates):
+    return index | {"places": index["places"].astype(np.intp), "values": index["values"].astype(np.int64)}
+
+
+def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in whole numbers of any size; those outside 64 bits become the nearest that fits."""
+    products = vectors.astype(object) @ query.astype(object)
+    return np.array([max(-LONG - 1, min(LONG, x)) for x in products.tolist()], np.int64)
+
+
+def _read(index: dict, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, int]:
+    """Places of the vectors that can be among the k best for ``query``, and how many segments were read to know."""
+    places, values, ends = index["places"], index["values"], index["ends"]
+    dims, levels = index["lo"].shape
+    n = len(index["ids"])
+    floor = np.minimum(query * index["low"], query * index["high"])
+    impact = np.maximum(query[:, None] * index["lo"], query[:, None] * index["hi"]) - floor[:, None]
+    impact[(ends[:, 1:] == ends[:, :-1]) | (query == 0)[:, None]] = -1
+    # By dimension, impacts fall: reading one leaves the next as the most that is unread.
+    falling = np.maximum(-np.sort(-impact, axis=1), 0)
+    drops = falling - np.concatenate([falling[:, 1:], np.zeros((dims, 1), np.int64)], axis=1)
+    by_level = np.argsort(-impact, axis=1, kind="stable")
+    order = np.argsort(-np.take_along_axis(impact, by_level, 1), axis=None, kind="stable")
+    order = order[: int((impact >= 0).sum())]
+    left = int(falling[:, 0].sum()) - np.cumsum(drops.ravel()[order])
+    alive = np.flatnonzero(index["rows"] != own)
+    sums, few, look, done = np.zeros(n, np.int64), max(8 * k, n // FEW), max(1, len(order) // LOOKS), 0
+    if alive.size <= few:
+        return alive, done
+    for done, at in enumerate(order.tolist(), 1):  # noqa: B007
+        d = at // levels
+        s = by_level[d, at % levels]
+        part = slice(ends[d, s], ends[d, s + 1])
+        sums[places[d, part]] += values[d, part] * query[d] - floor[d]
+        if done % look == 0 or done == len(order):
+            # Who can still reach the k-th largest sum with all that is unread? The others are out for good.
+            live = sums[alive]
+            alive = alive[live + left[done - 1] >= np.partition(live, live.size - k)[live.size - k]]
+            if alive.size <= few:
                 break
-    out = []
-    for query, alive in zip(queries, candidates, strict=True):
+    return alive, done
+
+
+def search(index: dict, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids and exact scores of the k best vectors for an int64 ``query``, without row ``own``, and how many segments were read. Ties go to the smaller id."""
+    rows, ids, vectors = index["beside"]
+    others = rows != own
+    if _is_wide(query[None, :])[0]:
+        keep = index["rows"] != own
+        alive, read, scores = np.flatnonzero(keep), 0, exact_scores(index["vectors"][keep], query)
+    else:
+        alive, read = _read(index, query, own, k)
         scores = index["vectors"][alive].astype(np.int64) @ query
-        best = np.lexsort((ids[alive], -scores))[:k]
-        out.append((ids[alive][best], scores[best]))
-    return out, done
+    scores = np.concatenate([scores, exact_scores(vectors[others], query)]) if others.any() else scores
+    found = np.concatenate([index["ids"][alive], ids[others]])
+    best = np.lexsort((found, -scores if scores.size and scores.min() > -LONG - 1 else [-x for x in scores.tolist()]))[:k]
+    return found[best], scores[best], read
 
 
 def _quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """vec_id and v: floor(scale * x) of each component; one row an id."""
+    """row (a number of its own), vec_id and v: floor(scale * x) of each component."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     usable = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(x, lambda c: F.coalesce((c == c) & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf)), F.lit(False)))
     v = F.transform(x, lambda c: F.floor(c * F.lit(float(scale))))
-    return df.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.max("v").alias("v"))
+    return df.where(usable).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
 def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, scale: int = SCALE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """For each row whose id is divisible by ``every``: the k rows with the highest inner product, without itself.
 
     Returns query_id, rank (from 1), vec_id, score. Components count as
-    floor(scale * x). Rows without an id, with a null or empty vector or with
-    null or non-finite components take no part. Rows that share an id count as
-    one, with the largest of their vectors; vectors of unequal length are padded
-    with zeros. Ties go to the smaller id. No rows or no queries: no rows.
+    floor(scale * x), and as the nearest 64-bit number if that is none; scores
+    are exact, and the nearest 64-bit number if they are none. Rows without an
+    id, with a null or empty vector or with null or non-finite components take
+    no part. Rows that share an id are rows of their own, as queries and as
+    candidates. Vectors of unequal length are padded with zeros. Ties go to the
+    smaller id. No rows or no queries: no rows.
     """
-    vectors = materialise(_quantised(df, id_col, vector_col, scale), "topk-vectors")
+    spark = df.sparkSession
+    vectors = materialise(_quantised(df, id_col, vector_col, scale), "topk-vectors")  # written, so row numbers stay
+    asked = vectors.where(F.col("vec_id") % every == 0)
     size = vectors.agg(F.count("*"), F.sum(F.when(F.col("vec_id") % every == 0, 1)), F.max(F.size("v"))).first()
     n, n_queries, dims = size[0], size[1] or 0, size[2] or 0
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // BLOCK_QUERIES))
-
-    def matrix(column: pd.Series) -> np.ndarray:
+    schema = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id"))
+    ranked = lambda found: found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if not n_queries:
+        return ranked(spark.createDataFrame([], schema))
+    shards = max(-(-n // max(1, min(shard_rows, SHARD_CELLS // dims))), min(n // 1024, spark.sparkContext.defaultParallelism), 1)
+    blocks = -(-n_queries * dims // BLOCK_CELLS)
+
+    def matrix(column: list) -> np.ndarray:
         out = np.zeros((len(column), dims), np.int64)
         for i, v in enumerate(column):
             out[i, : len(v)] = v
         return out
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        blob = pickle.dumps(build_index(pdf["vec_id"].to_numpy(np.int64), matrix(pdf["v"])), protocol=5)
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "index": [blob]})
-
-    index = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, index binary")
-    index = materialise(index, "topk-index")
-    queries = vectors.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
-    queries = queries.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))  # about BLOCK_QUERIES each
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        part = opened(pdf["index"].iloc[0])
-        out, asked = [], sorted(pdf["queries"].iloc[0], key=lambda row: row["vec_id"])
-        for at in range(0, len(asked), TOGETHER):
-            some = [int(row["vec_id"]) for row in asked[at : at + TOGETHER]]
-            best, _ = search(part, matrix(pd.Series([row["v"] for row in asked[at : at + TOGETHER]])), some, k)
-            out += [pd.DataFrame({"query_id": q, "vec_id": ids, "score": scores}) for q, (ids, scores) in zip(some, best, strict=True)]
-        return pd.concat(out, ignore_index=True)
-
-    found = left.join(right, ["shard", "block"]).groupBy("shard", "block").applyInPandas(find, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        blob = pickle.dumps(build_index(pdf["row"].to_numpy(np.int64), pdf["vec_id"].to_numpy(np.int64), matrix(pdf["v"].tolist())), protocol=5)
+        return pd.DataFrame({"index": [blob]})
+
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    index = materialise(dealt.groupBy("shard").applyInPandas(build, "index binary"), "topk-index")
+    found = None
+    for block in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("row", F.lit(7)), F.lit(blocks)) == block)
+        queries = part.select("row", "vec_id", "v").toPandas()  # about BLOCK_CELLS numbers
+        shared = spark.sparkContext.broadcast((queries["row"].to_numpy(np.int64), queries["vec_id"].to_numpy(np.int64), matrix(queries["v"].tolist())))
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            rows, ids, asked = shared.value
+            best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(rows)
+            for batch in batches:
+                for blob in batch.column(0):
+                    shard = opened(blob.as_py())
+                    for i, query in enumerate(asked):
+                        new, scores, _ = search(shard, query, int(rows[i]), k)
+                        new, scores = np.concatenate([best[i][0], new]), np.concatenate([best[i][1], scores])
+                        order = sorted(range(len(new)), key=lambda j: (-int(scores[j]), int(new[j])))[:k]  # noqa: B023
+                        best[i] = new[order], scores[order]
+            times = [len(b[0]) for b in best]
+            if sum(times):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, times)), pa.array(np.repeat(ids, times)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["query_row", "query_id", "vec_id", "score"])
+
+        here = materialise(index.mapInArrow(find, schema), "topk-found")
+        found = here if found is None else found.unionByName(here)
+    return ranked(found)

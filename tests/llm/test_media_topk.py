@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from support import awkward, clashing, empty
 
 from coffer.llm import media, topk
@@ -100,19 +101,55 @@ def test_topk_stops_early_and_stays_exact():
     vectors = rng.integers(-20, 20, (3000, 24))
     queries = rng.integers(-3, 3, (5, 24))
     queries[:, 0] = 400
-    index = topk.opened(pickle.dumps(topk.build_index(np.arange(3000), vectors)))
-    found, read = topk.search(index, queries, [5, None, 7, 8, 9], 10)
-    for query, own, (ids, scores) in zip(queries, (5, None, 7, 8, 9), found, strict=True):
+    index = topk.opened(pickle.dumps(topk.build_index(np.arange(3000) + 7000, np.arange(3000), vectors)))
+    for query, own in zip(queries, (5, -1, 7, 8, 9), strict=True):
+        ids, scores, read = topk.search(index, query, own + 7000, 10)
         exact = sorted(((-int(vectors[i] @ query), i) for i in range(3000) if i != own))[:10]
         assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == exact
-    assert read < 24 * topk.LEVELS
+        assert read < 24 * topk.LEVELS // 4  # one dimension decides, and its segments come first
+
+
+def test_topk_reads_by_each_querys_own_impact():
+    rng = np.random.default_rng(9)
+    vectors = rng.integers(-50, 50, (2000, 6))
+    index = topk.build_index(np.arange(2000), np.arange(2000), vectors)
+    for d in range(6):
+        query = np.ones(6, np.int64)
+        query[d] = 1000
+        ids, scores, read = topk.search(index, query, -1, 5)
+        assert read <= 2 * topk.LEVELS and [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == sorted((-int(vectors[i] @ query), i) for i in range(2000))[:5]
 
 
 def test_topk_awkward_vectors(spark):
     rows = [(0, [1.0, 2.0]), (100, None), (200, [float("nan"), 1.0]), (300, [float("inf"), 1.0]), (400, [None, 1.0]), (None, [1.0, 1.0]), (1, [1.0]), (2, []), (3, [0.5, 0.5]), (3, [0.25, 0.5]), (500, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [tuple(r) for r in topk.top_k(df).orderBy("query_id", "rank").collect()]
     k = 1024
-    assert got == [(0, 1, 3, k * k // 2 + k * k), (0, 2, 1, k * k), (0, 3, 500, 0), (500, 1, 0, 0), (500, 2, 1, 0), (500, 3, 3, 0)]
+    want = [(0, 1, 3, k * k // 2 + k * k), (0, 2, 3, k * k // 4 + k * k), (0, 3, 1, k * k), (0, 4, 500, 0), (500, 1, 0, 0), (500, 2, 1, 0), (500, 3, 3, 0), (500, 4, 3, 0)]
+    for more in (df, df.withColumns({c: F.lit("own") for c in ("row", "v", "rank", "score", "shard", "index", "query_id", "query_row")})):
+        assert [tuple(r) for r in topk.top_k(more).orderBy("query_id", "rank").collect()] == want
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.where("vec_id = 1")).count() == 0
+
+
+def test_topk_rows_that_share_an_id(spark):
+    df = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (0, [1.0]), (5, [3.0])], "vec_id long, embedding array<double>")
+    unit = 1024 * 1024
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"] // unit) for r in topk.top_k(df).collect())
+    assert got == sorted([*[(0, 1, 5, 3), (0, 2, 0, 2), (0, 3, 0, 1)] * 2, (0, 1, 5, 6), (0, 2, 0, 2), (0, 3, 0, 2)])
+
+
+def test_topk_sums_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [-1e300, 1.0]), (2, [1e17, -2.0]), (100, [2.0, 2.0]), (3, [1e12, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df).collect()}
+    most = 2**63 - 1
+    assert got[0, 1] == (2, most) and got[0, 2] == (3, most) and got[0, 3] == (100, most) and got[0, 4] == (1, -most - 1)
+    assert [got[100, i] for i in range(1, 5)] == [(0, most), (2, most), (3, 2048 * 1024 * 10**12), (1, -most - 1)]
+
+
+def test_topk_in_several_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_CELLS", 12)
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.integers(-5, 5, 4).astype(float) for i in range(60)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    want = brute({i: (v * 1024).astype(np.int64) for i, v in vectors.items()}, 6, 3)
+    assert sorted(tuple(r) for r in topk.top_k(df, every=6, k=3).collect()) == want
