@@ -59,13 +59,36 @@ def test_mix_keeps_targets_bounds_and_reruns(spark):
 
 
 def test_rounding_is_unbiased(spark):
-    """Over many seeds a document is taken as often as it should be."""
-    items = spark.createDataFrame([("s", i, 10 + i, 1, 12, 0.25 + i / 20) for i in range(12)], "source string, doc_id long, size long, n_rows long, n_docs long, x double")
+    """Over many draws a document is taken as often as it should be, as far as a dozen documents let the root work off its rest."""
+    items = spark.createDataFrame([(f"s{k}", 12 * k + i, 1000 + i, 12, 0.25 + i / 20) for k in range(100) for i in range(12)], "source string, doc_id long, size long, n_docs long, p double")
     total = Counter()
-    for seed in range(60):
-        for r in mixing.round_copies(items, seed).collect():
-            total[r["doc_id"]] += r["copies"]
-    assert all(abs(total[i] / 60 - (0.25 + i / 20)) < 0.25 for i in range(12))
+    for r in mixing.round_up(items, 3).collect():
+        total[r["doc_id"] % 12] += r["up"]
+    assert all(abs(total[i] / 100 - (0.25 + i / 20)) < 0.25 for i in range(12))
+
+
+def test_equal_rows_are_rounded_one_by_one(spark):
+    """400 equal rows and 3 of another kind: within one row of the target, in the plan and in the rows."""
+    rows = [(1, "w " * 5, "en", "s", i) for i in range(400)] + [(2, "v " * 7, "en", "s", i) for i in range(3)] + [(3, "u " * 500, "en", "t", 0)]
+    docs = frame(spark, rows)
+    got = [r for r in mixing.mix(docs).collect() if r["source"] == "s"]
+    assert len(got) == 403 and abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 5 and {r["copies"] for r in got} == {1, 2}
+    taken = Counter((r["doc_id"], r["source"], r["n_chars"]) for r in mixing.mixed_rows(docs).collect())
+    assert Counter((i, n) for (i, _, _), n in taken.items()) == Counter((r["doc_id"], r["copies"]) for r in mixing.mix(docs).collect() if r["copies"])
+    many = spark.range(20_000).select(F.lit("x").alias("doc_id"), F.lit("a b c").alias("text"), (F.col("id") % 2).cast("string").alias("source"))
+    assert mixing.mix(many).agg(F.sum("taken")).first()[0] == mixing.mixed_rows(many).count() * 3 == 90_000
+
+
+def test_sources_come_near_their_targets(spark):
+    """A few dozen documents of very different lengths: the root works its rest off with short ones."""
+    rng = random.Random(4)
+    rows = [(i, "w " * int(2 ** rng.uniform(0, 9)), "en", f"s{i % 6}", 0) for i in range(360)]
+    by, target, size = Counter(), {}, {}
+    for r in mixing.mix(frame(spark, rows)).collect():
+        by[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    # s1 wants nearly every document once, so few can still be added.
+    assert all(abs(by[s] - target[s]) <= (2 if s != "s1" else 0.03 * target[s]) for s in target)
 
 
 def test_mix_awkward_rows(spark):
