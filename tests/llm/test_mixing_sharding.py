@@ -59,12 +59,12 @@ def test_mix_keeps_targets_bounds_and_reruns(spark):
 
 
 def test_rounding_is_unbiased(spark):
-    """Over many draws a document is taken as often as it should be, as far as a dozen documents let the root work off its rest."""
+    """Over many draws a document is taken as often as it should be; but for the shortest, which is left at the root and rounded to the nearer side."""
     items = spark.createDataFrame([(f"s{k}", 12 * k + i, 1000 + i, 12, 0.25 + i / 20) for k in range(100) for i in range(12)], "source string, doc_id long, size long, n_docs long, p double")
     total = Counter()
     for r in mixing.round_up(items, 3).collect():
         total[r["doc_id"] % 12] += r["up"]
-    assert all(abs(total[i] / 100 - (0.25 + i / 20)) < 0.25 for i in range(12))
+    assert all(abs(total[i] / 100 - (0.25 + i / 20)) < 0.17 for i in range(1, 12))
 
 
 def test_equal_rows_are_rounded_one_by_one(spark):

@@ -54,7 +54,7 @@ def test_all_documents_keep_their_place_in_pii(stages):
 
 def test_copies_are_those_of_the_plan(stages):
     _, before, after = stages[3]
-    plan = {r["doc_id"]: r["copies"] for r in mixing.plan_mix(before).collect()}
+    plan = {r["doc_id"]: r["copies"] for r in mixing.mix(before).collect()}
     assert Counter(r[0] for r in after.select("doc_id").collect()) == Counter({i: c for i, c in plan.items() if c})
 
 
