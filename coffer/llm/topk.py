@@ -46,8 +46,8 @@ def _narrow(values: np.ndarray) -> np.ndarray:
 
 
 def _most(dims: int) -> int:
-    """Components up to this size make sums that fit in 62 bits."""
-    return math.isqrt((1 << 60) // max(1, dims))
+    """Components up to this size make sums, and sums of impacts, below 2^53: exact in 64-bit floats too."""
+    return math.isqrt((1 << 50) // max(1, dims))
 
 
 def _is_wide(vectors: np.ndarray) -> np.ndarray:
@@ -56,15 +56,15 @@ def _is_wide(vectors: np.ndarray) -> np.ndarray:
 
 
 def build_index(rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS) -> dict:
-    """Index of int64 ``vectors`` (n, dims) with their row numbers and ids: for each dimension the places and values by level, where levels end, and each level's bounds. Vectors whose sums may need more than 64 bits are kept beside it."""
+    """Index of int64 ``vectors`` (n, dims) with their row numbers and ids: for each dimension the places and values by level, where levels end, and each level's bounds. Vectors with components that may make sums too large for it are kept beside it."""
     wide = _is_wide(vectors)
     beside = (rows[wide], ids[wide], vectors[wide])
     rows, ids, vectors = rows[~wide], ids[~wide], vectors[~wide]
     n, dims = vectors.shape
     low, high = (vectors.min(0), vectors.max(0)) if n else (np.zeros(dims, np.int64),) * 2
     level = (vectors - low) * levels // np.maximum(high - low + 1, 1)
-    places = np.argsort(level, axis=0, kind="stable").T.astype(np.int32)
-    values = np.take_along_axis(vectors.T, places, axis=1)
+    places = np.ascontiguousarray(np.argsort(level, axis=0, kind="stable").T, np.int32)
+    values = np.take_along_axis(np.ascontiguousarray(vectors.T), places, axis=1)
     ends = np.stack([np.searchsorted(level[places[d], d], np.arange(levels + 1)) for d in range(dims)]) if dims else np.zeros((0, levels + 1), np.int64)
     lo, hi = np.zeros((dims, levels), np.int64), np.zeros((dims, levels), np.int64)
     for d in range(dims):
@@ -75,10 +75,12 @@ def build_index(rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, levels:
     return {"rows": rows, "ids": ids, "vectors": _narrow(vectors), "places": places, "values": _narrow(values), "ends": ends, "lo": lo, "hi": hi, "low": low, "high": high, "beside": beside}
 
 
-def opened(blob: bytes) -> dict:
-    """A stored index, with the types that searching is fastest on."""
-    index = pickle.loads(blob)
-    return index | {"places": index["places"].astype(np.intp), "values": index["values"].astype(np.int64)}
+def opened(blob: bytes | dict) -> dict:
+    """A stored index, ready to be searched: values as distances from their dimension's least and largest (whole numbers below 2^53, see ``_most``), and room for what is read between two looks."""
+    index = pickle.loads(blob) if isinstance(blob, bytes) else blob
+    values, cells = index["values"].astype(np.float64), index["values"].size
+    rising, falling = values - index["low"][:, None], index["high"][:, None] - values
+    return index | {"places": index["places"].astype(np.intp), "rising": rising, "falling": falling, "room": (np.empty(cells, np.intp), np.empty(cells))}
 
 
 def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -89,7 +91,7 @@ def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 def _read(index: dict, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, int]:
     """Places of the vectors that can be among the k best for ``query``, and how many segments were read to know."""
-    places, values, ends = index["places"], index["values"], index["ends"]
+    places, ends, (where, adds) = index["places"], index["ends"], index["room"]
     dims, levels = index["lo"].shape
     n = len(index["ids"])
     floor = np.minimum(query * index["low"], query * index["high"])
@@ -103,20 +105,26 @@ def _read(index: dict, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray,
     order = order[: int((impact >= 0).sum())]
     left = int(falling[:, 0].sum()) - np.cumsum(drops.ravel()[order])
     alive = np.flatnonzero(index["rows"] != own)
-    sums, few, look, done = np.zeros(n, np.int64), max(8 * k, n // FEW), max(1, len(order) // LOOKS), 0
-    if alive.size <= few:
-        return alive, done
-    for done, at in enumerate(order.tolist(), 1):  # noqa: B007
-        d = at // levels
-        s = by_level[d, at % levels]
-        part = slice(ends[d, s], ends[d, s + 1])
-        sums[places[d, part]] += values[d, part] * query[d] - floor[d]
-        if done % look == 0 or done == len(order):
-            # Who can still reach the k-th largest sum with all that is unread? The others are out for good.
-            live = sums[alive]
-            alive = alive[live + left[done - 1] >= np.partition(live, live.size - k)[live.size - k]]
-            if alive.size <= few:
-                break
+    sums, few, done = np.zeros(n), max(8 * k, n // FEW), 0
+    look = max(1, len(order) // LOOKS)
+    dimension, level = order // levels, by_level.ravel()[order]
+    first, last = ends[dimension, level].tolist(), ends[dimension, level + 1].tolist()
+    distances = [index["rising"][d] if c > 0 else index["falling"][d] for d, c in enumerate(query.tolist())]
+    factor = np.abs(query).astype(np.float64).tolist()
+    dimension = dimension.tolist()
+    while alive.size > few and done < len(order):
+        # The next segments, up to the next look at the bounds.
+        at = 0
+        for i in range(done, min(done + look, len(order))):
+            d, a, z = dimension[i], first[i], last[i]
+            where[at : at + z - a] = places[d, a:z]
+            np.multiply(distances[d][a:z], factor[d], out=adds[at : at + z - a])
+            at += z - a
+        sums += np.bincount(where[:at], adds[:at], n)
+        done = min(done + look, len(order))
+        # Who can still reach the k-th largest sum with all that is unread? The others are out for good.
+        live = sums[alive]
+        alive = alive[live + left[done - 1] >= np.partition(live, live.size - k)[live.size - k]]
     return alive, done
 
 

@@ -112,7 +112,7 @@ def test_topk_stops_early_and_stays_exact():
 def test_topk_reads_by_each_querys_own_impact():
     rng = np.random.default_rng(9)
     vectors = rng.integers(-50, 50, (2000, 6))
-    index = topk.build_index(np.arange(2000), np.arange(2000), vectors)
+    index = topk.opened(topk.build_index(np.arange(2000), np.arange(2000), vectors))
     for d in range(6):
         query = np.ones(6, np.int64)
         query[d] = 1000
