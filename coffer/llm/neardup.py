@@ -17,7 +17,7 @@ a member and band and not one a pair. First each bucket's members are compared
 with its smallest. Then only members of one bucket that lie in different
 components are left. Of those, what passes the filters is joined to families,
 block against block of a bucket, and each family is compared block against
-block on full sets. Both steps give a spanning forest of what they find and
+block on full sets; blocks of one large component are not compared with each other. Both steps give a spanning forest of what they find and
 never the pairs; no pair that shares a bucket stays unsettled.
 """
 
@@ -30,7 +30,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coffer.llm.common import in_small_batches, materialise, text_bytes
@@ -50,6 +50,8 @@ GROUP = 64
 BROADCAST_ROWS = 200_000
 _MOST_WORDS = 200_000
 BITS = [f"s{i}" for i in range(WORDS)]
+#: A node is hot if it has more than one edge in so many, and LEAST_HOT at least.
+HOT_SHARE, LEAST_HOT = 50_000, 200
 #: Rows of a batch that are held as sets at once.
 PART_ROWS = 256
 
@@ -198,8 +200,10 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of ``links`` (a, b): node, component (the smallest node), for nodes other than that one.
 
     Turns of large-star and small-star, each over written tables, until no edge
-    changes: O(log^2 n) turns at most, two or three for stars. A node's edges are
-    joined with its minimum and never gathered in one task.
+    changes: O(log^2 n) turns at most, two or three for stars. Edges meet the
+    minimum of their node by a shuffle, but for the nodes with more than one in
+    HOT_SHARE of all edges: those are 2 * HOT_SHARE at most and are broadcast,
+    so no task gets the edges of one large node.
     """
     edges = materialise(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     state = None
@@ -209,15 +213,24 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        large = both.where("v > u").join(low, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count("*").alias("n"))
+        large = _with_low(both.where("v > u"), low, 2 * now[0], label).where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         large = materialise(large, label)
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select("u", "v", "low")
+        low = large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
+        small = _with_low(large, low, now[0], label)
         small = small.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v")))
         edges = materialise(small.where("u != v").distinct(), label)
 
 
+def _with_low(edges: DataFrame, low: DataFrame, n_edges: int, label: str) -> DataFrame:
+    """``edges`` (u, v) with ``low`` of their u, from ``low`` (u, low, n: its edges)."""
+    most = max(LEAST_HOT, n_edges // HOT_SHARE)
+    low = materialise(low, f"{label}-low")
+    hot = F.broadcast(low.where(F.col("n") > most).select("u", "low"))  # n_edges / most rows at most
+    rest = edges.join(hot.select("u"), "u", "left_anti").join(low.where(F.col("n") <= most).select("u", "low"), "u")
+    return edges.join(hot, "u").select("u", "v", "low").unionByName(rest.select("u", "v", "low"))
+
+
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     """For a symmetric boolean matrix: (first, other) for each node and the first of its component, if that is another."""
     out, seen = [], np.zeros(len(linked), bool)
@@ -236,10 +249,23 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _blocked(rows: DataFrame, group: str, size: int) -> DataFrame:
-    """``rows`` (``group``, node, ...; distinct) once for each pair of blocks that its block of the group is in: adds i <= j, the blocks, and ``block``."""
-    blocks = rows.groupBy(group).agg(F.expr(f"ceil(count(*) / {size}D)").alias("blocks"))
-    spread = rows.join(blocks, group).withColumn("block", F.expr("pmod(xxhash64(node, 3), blocks)"))
-    paired = spread.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    """``rows`` (``group``, node, component, ...; distinct) once for each pair of blocks that its block of the group is in: adds i <= j, the blocks, and ``block``.
+
+    A component with more than ``size`` rows has blocks of its own, which are not
+    paired with each other, as its members are joined already; the others
+    share blocks. So one stray row beside a large component costs one row for
+    each of its blocks, and the component's members are there once.
+    """
+    sizes = rows.groupBy(group, "component").agg(F.count("*").alias("n"))
+    own = sizes.where(F.col("n") > size).withColumn("own", F.expr(f"ceil(n / {size}D)"))  # few: one in ``size`` rows of a group at most
+    shared = sizes.groupBy(group).agg(F.expr(f"ceil(coalesce(sum(IF(n <= {size}, n, 0)), 0) / {size}D)").alias("shared"), F.expr(f"sum(IF(n > {size}, ceil(n / {size}D), 0))").alias("owned"))
+    before = F.sum("own").over(Window.partitionBy(group).orderBy("component").rowsBetween(Window.unboundedPreceding, -1))
+    own = own.select(F.col(group).alias("own_group"), F.col("component").alias("own_component"), "own", F.coalesce(before, F.lit(0)).alias("skipped"))
+    spread = rows.join(shared, group).join(own, (F.col(group) == F.col("own_group")) & (F.col("component") == F.col("own_component")), "left")
+    spread = spread.withColumn("start", F.expr("IF(own IS NULL, 0L, shared + skipped)")).withColumn("width", F.expr("coalesce(own, shared)")).withColumn("total", F.expr("shared + owned"))
+    spread = spread.withColumn("block", F.expr("start + pmod(xxhash64(node, 3), width)"))
+    others = F.expr("IF(own IS NULL, sequence(0L, total - 1), concat(IF(start > 0, sequence(0L, start - 1), array()), IF(start + width < total, sequence(start + width, total - 1), array())))")
+    paired = spread.withColumn("other", F.explode(others))
     return paired.select(*rows.columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import defaultdict
 
 import numpy as np
 from support import awkward, clashing, empty, frame, words
@@ -84,6 +85,33 @@ def test_small_blocks_change_nothing(spark, monkeypatch):
     assert result(frame(spark, rows), 4) == brute(rows, 4)
 
 
+def test_one_stray_beside_many_copies_costs_a_line(spark):
+    """The rows made for a component and a stray grow as the component, not as its square; pairs of two components all meet."""
+    for n in (500, 2000):
+        rows = spark.createDataFrame([(7, i, 0) for i in range(n)] + [(7, n, n), (7, n + 1, n + 1)], "family long, node long, component long")
+        made = neardup._blocked(rows, "family", 50)
+        assert made.count() <= n + 3 * (n // 50 + 2)
+    for seed, sizes in enumerate([(1, 1, 1), (30, 1), (30, 25, 3, 2), (5, 5, 5, 5), (40, 40)]):
+        rng, node, rows = random.Random(seed), 0, []
+        for c, size in enumerate(sizes):
+            rows += [(seed, node + i, 1000 + c) for i in range(size)]
+            node += size
+        rng.shuffle(rows)
+        meets = defaultdict(list)
+        for r in neardup._blocked(spark.createDataFrame(rows, "family long, node long, component long"), "family", 7).collect():
+            meets[r["i"], r["j"]].append(r)
+        met = {(a["node"], b["node"]) for (i, j), rs in meets.items() for a in rs for b in rs if a["component"] != b["component"] and (i == j or a["block"] != b["block"])}
+        assert met == {(a, b) for _, a, x in rows for _, b, y in rows if x != y}
+
+
+def test_components_of_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAST_HOT", 3)
+    monkeypatch.setattr(neardup, "HOT_SHARE", 10)
+    links = [(0, i) for i in range(1, 200)] + [(i, 5000 + i) for i in range(1, 50)] + [(900, 901), (901, 902)]
+    got = {r["node"]: r["component"] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(1, 200), *range(5001, 5050)]} | {901: 900, 902: 900}
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(3)
     common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (400, 50, 50))
