@@ -7,14 +7,19 @@ all its places, of the log-probability of the true word given both sides.
 
 The vocabulary comes from counts of all words of the corpus and grows with it:
 a word is known if it occurs at least a tenth of the square root of the number of
-words, and classes, words of a class and buckets follow. Other words fall
-into hash buckets, and a word of a bucket gets an equal share of it among the
-distinct words that the corpus has there. Training is distributed: each task
-trains a copy in numpy on windows of all its documents, and the copies are
-averaged by the number of windows, in whole numbers so that the order of the
-sum does not matter, over a tree of groups. What is gathered - word counts and
-a copy of the weights for each task - grows with the corpus; scoring
-needs the vocabulary and one copy.
+words, and classes, words of a class and buckets follow. Other words fall into
+hash cells, and cells into buckets; a word's share of its bucket is what its
+cell occurs among all words of the bucket, shared equally by the cell's words.
+Cells are twice the distinct words, up to MOST_CELLS.
+
+Documents are encoded once. Training deals them by a hash of the row into
+lanes; each lane trains a copy in numpy on windows of all its documents in the
+order of the hashes, and the copies are averaged by the number of windows, in
+whole numbers, over a tree of groups. So the result does not depend on how the
+rows are partitioned. Lanes are as many as the corpus has words for, each with
+LANE_WORDS of them or, if that is more, LANE_SHARE times the words that there are
+weights: so the copies stay a small part of the corpus. What is gathered - word
+counts and copies - grows with the corpus; scoring needs the vocabulary and one copy.
 """
 
 from __future__ import annotations
@@ -22,10 +27,11 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +56,14 @@ BATCH = 4096
 RATE = 0.15
 SEED = 4242
 #: Weights are averaged as multiples of 2^-20; a block has so many of them.
-UNIT, BLOCK, LANES = 1 << 20, 4096, 64
+UNIT, BLOCK = 1 << 20, 4096
+LANE_WORDS, LANE_SHARE = 1 << 22, 8
+#: Places whose class logits are held at once: few enough to stay in a cache.
+ROWS = 1024
+#: Words that a lane turns into one stream at once.
+PART_WORDS = 1 << 17
+#: Hash cells of words that are not known: 8 bytes each on the driver, 4 in a worker.
+LEAST_CELLS, MOST_CELLS = 1 << 10, 1 << 21
 _MOST_WORDS = 200_000
 
 _SPLIT = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -77,17 +90,17 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_SPLIT).split()
 
 
-class Ids(dict):
-    """Word -> id, filled as words are met and emptied when large."""
+class Codes(dict):
+    """Word -> code, filled as words are met and emptied when large: the id of a known word, or ``first`` and the word's cell."""
 
-    def __init__(self, known: dict[bytes, int], first: int = KNOWN, buckets: int = BUCKETS) -> None:
+    def __init__(self, known: dict[bytes, int], first: int = KNOWN, cells: int = LEAST_CELLS) -> None:
         super().__init__()
-        self.known, self.first, self.buckets = known, first, buckets
+        self.known, self.first, self.cells = known, first, cells
 
     def __missing__(self, word: bytes) -> int:
         i = self.known.get(word)
         if i is None:
-            i = self.first + zlib.crc32(word) % self.buckets
+            i = self.first + zlib.crc32(word) % self.cells
         if len(self) >= _MOST_WORDS:
             self.clear()
         if len(word) < 64:
@@ -165,15 +178,26 @@ class Network:
         classes_bounded, words_bounded = self._bounded()
         target = ids[places]
         kind, member = target // self.per_class, target % self.per_class
-        raised, sums = _exponentials(h @ self.w["class_out"] + self.w["class_bias"], classes_bounded)
-        out = np.log((raised[np.arange(len(places)), kind] / sums).astype(np.float64))
-        order = np.argsort(kind, kind="stable")
+        hit, every = np.empty(len(places), h.dtype), np.empty(len(places), h.dtype)
+        for a in range(0, len(places), ROWS):
+            part = slice(a, a + ROWS)
+            raised, every[part] = _exponentials(self._class_logits(h[part]), classes_bounded)
+            hit[part] = raised[np.arange(len(raised)), kind[part]]
+        out = np.log((hit / every).astype(np.float64))
+        order = np.argsort(kind.astype(np.int16 if self.classes < 1 << 15 else np.int32), kind="stable")
         ends = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        h, member = h[order], member[order]
         for c in range(self.classes):
-            at = order[ends[c] : ends[c + 1]]
-            if len(at):
-                raised, sums = _exponentials(h[at] @ self.w["word_out"][c] + self.w["word_bias"][c], words_bounded)
-                out[at] += np.log((raised[np.arange(len(at)), member[at]] / sums).astype(np.float64))
+            part = slice(ends[c], ends[c + 1])
+            if ends[c + 1] > ends[c]:
+                raised, every[part] = _exponentials(h[part] @ self.w["word_out"][c] + self.w["word_bias"][c], words_bounded)
+                hit[part] = raised[np.arange(len(raised)), member[part]]
+        out[order] += np.log((hit / every).astype(np.float64))
+        return out
+
+    def _class_logits(self, h: np.ndarray) -> np.ndarray:
+        out = h @ self.w["class_out"]
+        out += self.w["class_bias"]
         return out
 
     def gradient(self, ids: np.ndarray, places: np.ndarray) -> dict[str, np.ndarray]:
@@ -192,25 +216,37 @@ class Network:
         kind, member = target // self.per_class, target % self.per_class
         classes_bounded, words_bounded = self._bounded()
         g = {k: np.zeros(w.shape, np.float32) for k, w in self.w.items() if k.startswith("word")}
-        d = _softmax(h @ self.w["class_out"] + self.w["class_bias"], classes_bounded)
-        d[np.arange(n), kind] -= 1
-        g["class_out"], g["class_bias"] = h.T @ d / n, d.mean(0)
-        dh = d @ self.w["class_out"].T
-        order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        g["class_out"], g["class_bias"] = np.zeros_like(self.w["class_out"]), np.zeros_like(self.w["class_bias"])
+        dh, back = np.empty_like(h), np.ascontiguousarray(self.w["class_out"].T)
+        for a in range(0, n, ROWS):
+            part = slice(a, a + ROWS)
+            d = _softmax(self._class_logits(h[part]), classes_bounded)
+            d[np.arange(len(d)), kind[part]] -= 1
+            g["class_out"] += h[part].T @ d
+            g["class_bias"] += d.sum(0)
+            dh[part] = d @ back
+        g["class_out"] /= n
+        g["class_bias"] /= n
+        # The words of a class side by side.
+        order = np.argsort(kind.astype(np.int16 if self.classes < 1 << 15 else np.int32), kind="stable")
+        ends = np.searchsorted(kind[order], np.arange(self.classes + 1)).tolist()
+        sorted_h, sorted_dh, member = h[order], np.zeros_like(h), member[order]
         for c in range(self.classes):
-            at = order[ends[c] : ends[c + 1]]
-            if len(at):
-                d = _softmax(h[at] @ self.w["word_out"][c] + self.w["word_bias"][c], words_bounded)
-                d[np.arange(len(at)), member[at]] -= 1
-                g["word_out"][c], g["word_bias"][c] = h[at].T @ d / n, d.sum(0) / n
-                dh[at] += d @ self.w["word_out"][c].T
+            if ends[c + 1] > ends[c]:
+                part, out = slice(ends[c], ends[c + 1]), self.w["word_out"][c]
+                d = _softmax(sorted_h[part] @ out + self.w["word_bias"][c], words_bounded)
+                d[np.arange(len(d)), member[part]] -= 1
+                g["word_out"][c], g["word_bias"][c] = sorted_h[part].T @ d, d.sum(0)
+                sorted_dh[part] = d @ out.T
+        g["word_out"] /= n
+        g["word_bias"] /= n
+        dh[order] += sorted_dh
         dh *= (1 - h * h) / n
         g["bias"] = dh.sum(0)
         embed = []
         for o in OFFSETS:
             seen = ids[places + o]
-            order = np.argsort(seen, kind="stable")
+            order = np.argsort(seen.astype(np.int16) if len(self.w["embed"][0]) < 1 << 15 else seen, kind="stable")
             first = np.flatnonzero(np.diff(seen[order], prepend=PAD - 1))
             embed.append((seen[order][first], np.add.reduceat(dh[order], first, axis=0)))
         return g, embed
@@ -248,24 +284,28 @@ class Trainer:
 
 
 class Model:
-    """A vocabulary, the logarithm of the number of words in each bucket, and weights."""
+    """A vocabulary, each cell's log share of its bucket for one of its words, and weights."""
 
-    def __init__(self, known: list[bytes], spread: np.ndarray, weights: dict[str, np.ndarray]) -> None:
-        self.known, self.spread, self.weights = known, spread, weights
+    def __init__(self, known: list[bytes], buckets: int, shares: np.ndarray, weights: dict[str, np.ndarray]) -> None:
+        self.known, self.buckets, self.shares, self.weights = known, buckets, shares, weights
         #: The first bucket's id: the buckets are the last of the vocabulary.
-        self.first = weights["word_bias"].size - len(spread)
+        self.first = weights["word_bias"].size - buckets
+
+    def codes(self) -> Codes:
+        return Codes({w: i for i, w in enumerate(self.known)}, self.first, len(self.shares))
 
-    def ids(self) -> Ids:
-        return Ids({w: i for i, w in enumerate(self.known)}, self.first, len(self.spread))
+    def ids(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of known words as they are, and buckets of the others."""
+        return np.where(codes < self.first, codes, self.first + (codes - self.first) % self.buckets).astype(np.int32)
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Summed log-probability of each text's words."""
-        ids, places = stream(texts)
+        """Summed log-probability of each text's words, given as codes."""
+        ids, places = stream([self.ids(t) for t in texts])
         net = Network(self.weights)
-        logs = np.concatenate([net.log_probability(ids, places[a : a + 8192]) for a in range(0, len(places), 8192)]) if len(places) else np.empty(0)
-        target = ids[places]
-        rare = target >= self.first
-        logs[rare] -= self.spread[target[rare] - self.first]
+        logs = np.concatenate([net.log_probability(ids, places[a : a + 2 * BATCH]) for a in range(0, len(places), 2 * BATCH)]) if len(places) else np.empty(0)
+        codes = np.concatenate([np.empty(0, np.int32), *texts])
+        rare = codes >= self.first
+        logs[rare] += self.shares[codes[rare] - self.first]
         total = np.concatenate([[0.0], np.cumsum(logs)])
         return np.diff(total[np.cumsum([0, *[len(t) for t in texts]])])
 
@@ -277,8 +317,8 @@ def _parts(batches: Iterator[pa.RecordBatch], column: int, rows: int = 256) -> I
             yield part, part.column(column).to_pylist()
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[bytes], np.ndarray, int]:
-    """The known words of the corpus, most frequent first (ties by the word); for each bucket, the log of how many other words it has; the number of classes."""
+def vocabulary(docs: DataFrame) -> tuple[Model, int]:
+    """An untrained model with the known words of the corpus, most frequent first (ties by the word), and the shares of the others; and the number of words in all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -297,19 +337,42 @@ def vocabulary(docs: DataFrame) -> tuple[list[bytes], np.ndarray, int]:
 
     counts = in_small_batches(docs).select(text_bytes().alias("text")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "lm-words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_known, buckets, side = sizes(counts.where(F.col("n") >= max(2.0, math.sqrt(total) / COMMON)).count())
-    known = [bytes(r["word"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(n_known).collect()]
-    distinct = np.zeros(buckets, np.int64)
-    for r in counts.groupBy((F.crc32("word") % buckets).alias("bucket")).count().collect():
-        distinct[r["bucket"]] = r["count"]
-    for w in known:
-        distinct[zlib.crc32(w) % buckets] -= 1
-    return known, np.log(np.maximum(distinct, 1)), side
+    known = [(bytes(r["word"]), int(r["n"])) for r in counts.orderBy(F.col("n").desc(), "word").limit(n_known).collect()]
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (2 * distinct).bit_length()))
+    found = counts.groupBy((F.crc32("word") % cells).cast("int").alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
+    n, words = np.zeros(cells), np.zeros(cells)
+    at = found.column("cell").to_numpy()
+    n[at], words[at] = found.column("n").to_numpy(), found.column("words").to_numpy()
+    for w, times in known:
+        n[zlib.crc32(w) % cells] -= times
+        words[zlib.crc32(w) % cells] -= 1
+    # A cell without words counts as one with one word, seen once, for texts that were not in the corpus.
+    n, words = np.maximum(n, 1), np.maximum(words, 1)
+    bucket = np.arange(cells) % buckets
+    shares = np.log(n / words / np.bincount(bucket, n, buckets)[bucket])
+    return Model([w for w, _ in known], buckets, shares.astype(np.float32), initial(side)), int(total)
+
+
+def encoded(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, h (a hash of the row), n_words and codes (32-bit numbers) of each row of ``docs`` (doc_id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.first, len(model.shares)))
+    raw = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), text_bytes().alias("text"))
+    kind = raw.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, first, cells = shared.value
+        codes = Codes({w: i for i, w in enumerate(known)}, first, cells)
+        for part, texts in _parts(batches, 2):
+            found = [codes.of(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["doc_id", "h", "n_words", "codes"])
+
+    return in_small_batches(raw).mapInArrow(run, f"doc_id {kind}, h bigint, n_words bigint, codes binary")
 
 
-def _averaged(copies: DataFrame, size: int) -> np.ndarray:
-    """The mean of weight blocks (block, lane, windows, moved: int32 bytes), by two levels of groups."""
+def _averaged(copies: DataFrame, size: int, lanes: int) -> np.ndarray:
+    """The mean of weight blocks (block, lane, windows, moved: int32 bytes), by two levels of groups of the square root of the lanes."""
 
     def weigh(table: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
@@ -327,7 +390,7 @@ def _averaged(copies: DataFrame, size: int) -> np.ndarray:
         return pa.table({"block": table.column("block").slice(0, 1), "windows": pa.array([sum(table.column("windows").to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block int, windows bigint, sums binary"
-    level = copies.groupBy("block", "lane").applyInArrow(weigh, schema).groupBy("block").applyInArrow(add, schema)
+    level = copies.withColumn("lane", F.col("lane") % (math.isqrt(lanes) + 1)).groupBy("block", "lane").applyInArrow(weigh, schema).groupBy("block").applyInArrow(add, schema)
     out, windows = np.zeros(-(-size // BLOCK) * BLOCK, np.float64), 0
     for r in level.collect():
         windows = r["windows"]
@@ -335,57 +398,76 @@ def _averaged(copies: DataFrame, size: int) -> np.ndarray:
     return out[:size] / UNIT / max(windows, 1) if windows else np.empty(0)
 
 
-def train(docs: DataFrame) -> Model:
-    """Fit the network to all ``docs`` (text). Without words the weights stay as they start."""
-    known, spread, side = vocabulary(docs)
-    model = Model(known, spread, initial(side))
-    session = docs.sparkSession.sparkContext
-    for r in range(ROUNDS):
-        shared, shift = session.broadcast(model), r
-
-        def fit(batches: Iterator[pa.RecordBatch], shared=shared, shift=shift) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            ids, trainer, start = m.ids(), Trainer(m.weights), flat(m.weights)
-            lane = 0
-            for _, texts in _parts(batches, 0):
-                lane = zlib.crc32(texts[0]) % LANES if not trainer.windows else lane
-                trainer.texts([ids.of(t) for t in texts], shift)
-            if trainer.windows:
-                # Differences from the start are small, so whole multiples fit in 32 bits and their sums times the windows in 64.
-                moved = np.rint((flat(trainer.net.w).astype(np.float64) - start) * UNIT).astype(np.int32)
-                moved = np.concatenate([moved, np.zeros(-len(moved) % BLOCK, np.int32)]).reshape(-1, BLOCK)
-                n = len(moved)
-                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([lane] * n, pa.int32()), pa.array([trainer.windows] * n, pa.int64()), pa.array([b.tobytes() for b in moved], pa.binary())], names=["block", "lane", "windows", "moved"])
-
-        copies = in_small_batches(docs).select(text_bytes().alias("text")).mapInArrow(fit, "block int, lane int, windows bigint, moved binary")
-        moved = _averaged(copies, len(flat(model.weights)))
+def trained(rows: DataFrame, model: Model, total: int) -> Model:
+    """``model`` fitted to all ``rows`` (``encoded``, written) with ``total`` words. Without words the weights stay as they start."""
+    session, size = rows.sparkSession.sparkContext, len(flat(model.weights))
+    lanes = max(1, -(-total // max(LANE_WORDS, LANE_SHARE * size)))
+    dealt = rows.where("n_words > 0").select(F.pmod("h", F.lit(lanes)).cast("int").alias("lane"), "h", "codes")
+    for r in range(ROUNDS if total else 0):
+        copies = dealt.groupBy("lane").applyInArrow(_fitter(session.broadcast(model), r), "block int, lane int, windows bigint, moved binary")
+        moved = _averaged(copies, size, lanes)
         if not len(moved):
             break
-        model = Model(known, spread, shaped(flat(model.weights) + moved, side))
+        model = Model(model.known, model.buckets, model.shares, shaped(flat(model.weights) + moved, len(model.weights["class_bias"])))
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words, log_likelihood (sum) and mean_log_likelihood of each row of ``docs`` (doc_id, text).
+def _fitter(shared: Broadcast, shift: int) -> Callable[[pa.Table], pa.Table]:
+    """Trains a copy of the shared model on a lane (lane, h, codes), and returns by how much its weights moved."""
 
-    Null and empty texts: no words, sum 0, mean null. Null or repeated doc_ids
-    stay as they are.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    raw = docs.select("doc_id", text_bytes().alias("text"))
-    kind = raw.schema["doc_id"].dataType.simpleString()
+    def fit(table: pa.Table) -> pa.Table:
+        m = shared.value
+        trainer, start = Trainer(m.weights), flat(m.weights)
+        # Rows with equal hashes are equal, so the order of the hashes is the same in each run.
+        held, words, codes = [], 0, table.column("codes")
+        for i in np.argsort(table.column("h").to_numpy(), kind="stable").tolist():
+            held.append(m.ids(np.frombuffer(codes[i].as_py(), np.int32)))
+            words += len(held[-1])
+            if words >= PART_WORDS:
+                trainer.texts(held, shift)
+                held, words = [], 0
+        if held:
+            trainer.texts(held, shift)
+        # Differences from the start are small, so whole multiples fit in 32 bits and their sums times the windows in 64.
+        moved = np.rint((flat(trainer.net.w).astype(np.float64) - start) * UNIT).astype(np.int32)
+        moved = np.concatenate([moved, np.zeros(-len(moved) % BLOCK, np.int32)]).reshape(-1, BLOCK)
+        n, lane = len(moved), table.column("lane")[0].as_py()
+        return pa.table({"block": pa.array(range(n), pa.int32()), "lane": pa.array([lane] * n, pa.int32()), "windows": pa.array([trainer.windows] * n, pa.int64()), "moved": pa.array([b.tobytes() for b in moved], pa.binary())})
+
+    return fit
+
+
+def train(docs: DataFrame) -> Model:
+    """Fit the network to all ``docs`` (doc_id, text)."""
+    model, total = vocabulary(docs)
+    return trained(materialise(encoded(docs, model), "lm-codes", "zstd"), model, total)
+
+
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_words, log_likelihood (sum) and mean_log_likelihood of each of ``rows`` (``encoded`` with the vocabulary of ``model``)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        ids = m.ids()
-        for part, texts in _parts(batches, 1, 64):
-            found = [ids.of(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(m.scores(found))], names=["doc_id", "n_words", "log_likelihood"])
+        for part, codes in _parts(batches, 2, 64):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(m.scores([np.frombuffer(c, np.int32) for c in codes]))], names=["doc_id", "n_words", "log_likelihood"])
 
-    out = in_small_batches(raw).mapInArrow(run, f"doc_id {kind}, n_words bigint, log_likelihood double")
+    out = in_small_batches(rows.select("doc_id", "n_words", "codes")).mapInArrow(run, f"doc_id {kind}, n_words bigint, log_likelihood double")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """The scores of each row of ``docs`` (doc_id, text; other columns are ignored), see ``scored``.
+
+    Null and empty texts: no words, sum 0, mean null. Null or repeated doc_ids
+    stay as they are.
+    """
+    return scored(encoded(docs, model), model)
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
-    """Train on ``docs`` and score each of its rows."""
-    return score(docs, train(docs))
+    """Train on ``docs`` and score each of its rows: see ``score``. Each text is cut into words twice, to count and to encode."""
+    model, total = vocabulary(docs)
+    rows = materialise(encoded(docs, model), "lm-codes", "zstd")
+    return scored(rows, trained(rows, model, total))

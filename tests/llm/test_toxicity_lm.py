@@ -172,12 +172,12 @@ def test_probabilities_sum_to_one():
 
 def test_scores_equal_each_place_alone():
     rng = np.random.default_rng(2)
-    model = lmscore.Model([b"a", b"b"], np.log(np.arange(1, lmscore.BUCKETS + 1)), lmscore.initial())
-    texts = [rng.integers(0, lmscore.VOCABULARY, n).astype(np.int32) for n in (0, 1, 2, 40, 0)]
+    model = lmscore.Model([b"a", b"b"], lmscore.BUCKETS, np.log(rng.random(1024)), lmscore.initial())
+    texts = [rng.integers(0, lmscore.KNOWN + 1024, n).astype(np.int32) for n in (0, 1, 2, 40, 0)]
     net, want = lmscore.Network(model.weights), []
     for t in texts:
-        ids, places = lmscore.stream([t])
-        one = [net.log_probability(ids, places[i : i + 1])[0] - (model.spread[t[i] - lmscore.KNOWN] if t[i] >= lmscore.KNOWN else 0) for i in range(len(t))]
+        ids, places = lmscore.stream([model.ids(t)])
+        one = [net.log_probability(ids, places[i : i + 1])[0] + (model.shares[t[i] - lmscore.KNOWN] if t[i] >= lmscore.KNOWN else 0) for i in range(len(t))]
         want.append(sum(one))
     assert np.allclose(model.scores(texts), want, atol=1e-4)
 
@@ -185,11 +185,11 @@ def test_scores_equal_each_place_alone():
 def test_training_learns_order():
     rng = random.Random(3)
     texts = [small_text(rng, 120).encode() for _ in range(900)]
-    ids = lmscore.Ids({w.encode(): i for i, w in enumerate("abcdef")})
+    ids = lmscore.Codes({w.encode(): i for i, w in enumerate("abcdef")})
     trainer = lmscore.Trainer(lmscore.initial())
     for shift in range(lmscore.STRIDE):
         trainer.texts([ids.of(t) for t in texts[100:]], shift)
-    model = lmscore.Model([], np.zeros(lmscore.BUCKETS), trainer.net.w)
+    model = lmscore.Model([], lmscore.BUCKETS, np.zeros(1024), trainer.net.w)
     held = [ids.of(t) for t in texts[:100]]
     real = model.scores(held).sum() / sum(map(len, held))
     mixed = model.scores([rng.permutation(t) for t, rng in zip(held, map(np.random.default_rng, range(100)), strict=True)]).sum() / sum(map(len, held))
@@ -201,13 +201,40 @@ def test_distributed_training_helps_and_reruns_agree(spark):
     df = frame(spark, [(i, small_text(rng, 120), "en", "s", 0) for i in range(1200)]).repartition(4).cache()
     model = lmscore.train(df)
     assert sorted(model.known) == [c.encode() for c in "abcdef"]
-    start = lmscore.Model(model.known, model.spread, lmscore.initial())
+    start = lmscore.Model(model.known, model.buckets, model.shares, lmscore.initial())
     mean = lambda m: np.mean([r["mean_log_likelihood"] for r in lmscore.score(df.limit(50), m).collect()])
     assert mean(model) > mean(start) + 2
     again = lmscore.train(df)
     assert all((model.weights[k] == again.weights[k]).all() for k in lmscore.SHAPES)
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """With several lanes, and rows in another order and other partitions."""
+    monkeypatch.setattr(lmscore, "LANE_WORDS", 3000)
+    monkeypatch.setattr(lmscore, "LANE_SHARE", 0)
+    rng = random.Random(6)
+    rows = [(i, small_text(rng, rng.randint(0, 150)), "en", "s", 0) for i in range(400)]
+    one, other = ({r["doc_id"]: r["log_likelihood"] for r in lmscore.score_documents(frame(spark, x).repartition(n)).collect()} for x, n in ((rows, 2), (rows[::-1], 7)))
+    assert one.keys() == other.keys() and all(abs(one[i] - other[i]) < 1e-3 for i in one)
+
+
+def test_shares_sum_to_one_and_follow_the_counts(spark):
+    """A word that occurs twice gets twice the share of one that occurs once, and so do documents with such words."""
+    rows = [(i, " ".join(f"r{i}x{j}" for j in range(30)), "en", "s", 0) for i in range(200)]
+    rows += [(1000 + i, rows[i][1], "en", "s", 0) for i in range(20)]
+    known = [(2000 + i, "the of and " * 40, "en", "s", 0) for i in range(100)]
+    df = frame(spark, rows + known).cache()
+    model, total = lmscore.vocabulary(df)
+    assert total == 220 * 30 + 100 * 120
+    bucket = np.arange(len(model.shares)) % model.buckets
+    codes = {r[1].split()[0]: model.codes().of(r[1].encode())[0] - model.first for r in rows if r[1].encode().split()[0] not in model.known}
+    cells = np.bincount(list(codes.values()), minlength=len(model.shares))
+    assert (np.bincount(bucket, np.exp(model.shares), model.buckets) <= 1 + 1e-4).all() and (cells <= 4).all()
+    found = {r["doc_id"]: r["mean_log_likelihood"] for r in lmscore.score_documents(df).collect()}
+    twice, once = [found[i] for i in range(20)], [found[i] for i in range(20, 200)]
+    assert np.mean(twice) > np.mean(once) + 0.3
+
+
 def test_training_uses_every_place(spark):
     """Texts of period 4 and of two words show a model each word only if all places are trained on."""
     rows = [(i, "a b c d " * 30 if i % 2 else "y z", "en", "s", 0) for i in range(1200)]
@@ -222,9 +249,10 @@ def test_vocabulary_grows_with_the_corpus(spark):
     words = [f"w{i}" for i in range(2000)]
     df = frame(spark, [(i, " ".join(rng.sample(words, 500)), "en", "s", 0) for i in range(320)]).repartition(4).cache()
     model = lmscore.train(df)
-    ids = model.ids()
-    assert sorted(model.known) == sorted(w.encode() for w in words) and len({ids[w.encode()] for w in words}) == 2000
-    assert max(ids[w.encode()] for w in words) < model.first <= ids[b"unseen"] < model.first + len(model.spread)
+    codes = model.codes()
+    assert sorted(model.known) == sorted(w.encode() for w in words) and len({codes[w.encode()] for w in words}) == 2000
+    assert max(codes[w.encode()] for w in words) < model.first <= codes[b"unseen"] < model.first + len(model.shares)
+    assert model.first <= model.ids(codes.of(b"unseen"))[0] < model.first + model.buckets
     assert all(np.isfinite(r["log_likelihood"]) for r in lmscore.score(df, model).collect())
 
 
