@@ -18,10 +18,12 @@ _local_scratch: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, one of our own if all runs on one machine, as in tests; else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
         _local_scratch[app] = tempfile.mkdtemp(prefix="coffer-scratch-")
@@ -67,6 +69,25 @@ def global_rank(df: DataFrame, keys: list[str], label: str, rows_per_part: int =
     return ranked.drop("rank_part", "rank_place", "rank_start"), n
 
 
+#: Rows of a lookup table up to which it is broadcast, and the keys that count as frequent at most.
+LOOKUP_ROWS, FREQUENT_KEYS = 100_000, 50_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``table``, one row a key; both written, keys never null.
+
+    A short table is broadcast. Of a longer one only what frequent keys need is:
+    keys with more than one row in FREQUENT_KEYS, so fewer than that many. The
+    other rows meet the table by a shuffle, in which no key is frequent.
+    """
+    if table.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
+        return rows.join(F.broadcast(table), keys)
+    most = max(1000, rows.count() // FREQUENT_KEYS)
+    often = materialise(rows.groupBy(*keys).count().where(F.col("count") > most).select(*keys), "lookup-often")
+    held = F.broadcast(materialise(table.join(F.broadcast(often), keys), "lookup-held"))
+    return rows.join(held, keys).unionByName(rows.join(F.broadcast(often), keys, "left_anti").join(table, keys))
+
+
 #: Bytes of an Arrow batch between the JVM and a Python worker. Spark's own limit is 64 MB, which both hold several times over.
 BATCH_BYTES = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -4,15 +4,17 @@ One pattern finds all entities of a text. Each distinct entity of the corpus
 gets a replacement from a keyed hash: of its own kind, script, gender and
 format, the same wherever the entity is named, however it is written there.
 Replacements that meet another replacement or an original are drawn again, in
-rounds over the table of distinct entities, until all differ. Texts are cut by
+rounds over the table of distinct entities, until all differ; a kind whose space
+is too small for that gets longer replacements (addresses other networks), so
+rounds end. Texts are cut by
 the same pattern and joined with the replacements between the cuts; texts
 without entities stay as they are.
 
 Kept of an entity: an address's top-level domain, a phone number's country
 code, a card's first digit (and a valid check digit if it had one), an IBAN's
 country (with valid check digits), the network class of an IP address, a
-secret's name and quotes, a person's title. Domains and surnames are replaced
-on their own, so two addresses at one domain stay at one domain and "Frau
+secret's name and quotes, a person's title. Domains and surnames are entities
+of their own, so two addresses at one domain stay at one domain and "Frau
 Weber" stays the "Anna Weber" of before.
 """
 
@@ -23,12 +25,12 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import materialise
+from coffer.llm.common import looked_up, materialise
 
 KEY = "coffer-surrogates-1"
-#: Rounds of drawing again before the kind's space counts as used up.
-ROUNDS = 64
-#: Rows up to which the table of replacements is broadcast (some 200 bytes each).
+#: Rounds of drawing again; from WIDEN on replacements get longer with each, so no space is too small.
+ROUNDS, WIDEN = 64, 6
+#: Texts with entities, and mentions in them, up to which the table of replacements is broadcast (some 100 bytes each).
 BROADCAST_ROWS = 100_000
 
 # Given names by script and gender, fixed values. A name is replaced by another of its list.
@@ -59,6 +61,14 @@ _TITLE = "(?:" + "|".join(TITLES) + ")"
 _INITIAL = r"(?:\p{Lu}\.)+"
 _PARTICLE = r"(?:von (?:der|dem|den)|von|van (?:der|den|de)|van|de (?:la|las|los)|del|della|de|di|da|dos|du|zur|zum|zu|ter|ten|bin|ibn)"
 _INNER = rf"(?:(?:{_INITIAL}|{_PARTICLE})\s{{1,3}})*"
+# A name by its shape: two to four capitalised words, and the first no function word.
+_CAPITAL = r"\p{Lu}\p{Ll}[\p{L}'’\-]*"
+# Words that begin sentences and no names, fixed values.
+_NO_NAME = "A|After|All|An|And|As|At|Aus|Bei|But|By|Das|De|Del|Dem|Den|Der|Des|Die|Ein|Eine|El|En|Er|Es|For|From|Für|He|Her|His|How|If|Im|In|It|La|Las|Le|Les|Los|Mit|My|New|No|Of|On|Or|Our|Para|Por|Pour|Que|San|She|Sie|So|That|The|Their|Then|There|These|They|This|To|Un|Una|Und|Une|Von|Was|We|Wenn|What|When|Where|Wie|With|You|Your|Zu"
+_WHOLE = rf"(?!(?:{_NO_NAME})\b){_CAPITAL}(?:\s(?:{_INITIAL}|{_PARTICLE}|{_CAPITAL})){{0,2}}\s{_CAPITAL}(?![\p{{L}}\p{{N}}])"
+# What stands before or after a person's name, fixed values.
+_CUES = "met|named|called|Dear|Hi|Hello|signed|Sincerely,|Regards,|Name:|name is|I am|I'm|Contact:|Author:|Patient:|heiße|heißt|traf|Liebe|Lieber|Ich bin|m'appelle|Cher|Chère|rencontré|me llamo|se llama|Querido|Querida|Estimado|Estimada"
+_DOES = "called|calls|said|says|asked|asks|told|wrote|writes|met|lives|lived|works|worked|replied|answered|phoned|emailed|was born|sagte|sagt|fragte|schrieb|traf|wohnt|arbeitet|rief|a dit|dit|demande|écrit|habite|travaille|appelle|dijo|dice|escribió|vive|trabaja|llamó"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 # A word of these, alone or as part of a longer name: access_token, db.password, AWS_SECRET_ACCESS_KEY, clientSecret; not secretary.
@@ -77,6 +87,7 @@ PATTERNS = [
     ("key", r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])"),
     ("secret", rf"{_SECRET_NAME}[\"']?\s{{0,3}}[=:]\s{{0,3}}(?:\"[^\"\s]{{8,}}\"|'[^'\s]{{8,}}'|{_SECRET_VALUE})"),
     ("name", rf"(?:{_TITLE}\s{{1,3}})?(?:{_GIVEN_ANY})\s{{1,3}}(?:(?:{_GIVEN_ANY}|{_INITIAL}|{_PARTICLE})\s{{1,3}})*{_SURNAME}|{_TITLE}\s{{1,3}}{_INNER}{_SURNAME}(?:\s{{1,3}}{_INNER}{_SURNAME})?"),
+    ("name", rf"(?<=\b(?:{_CUES})\s){_WHOLE}|{_WHOLE}(?=\s(?:{_DOES})\b|\s?[<(][A-Za-z0-9._+\-]++@)|{_WHOLE}(?=\s(?:and|und|et|y|&)\s{_WHOLE})"),
 ]
 #: All of them, where no word, number or address goes on.
 ANY = r"(?<![\p{L}\p{N}._+\-@])(?:" + "|".join(p for _, p in PATTERNS) + ")"
@@ -92,6 +103,8 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+#: Kinds that are left as they are: numbers that no card can have, and a word said twice.
+NO_KINDS = ("number", "words")
 _KIND = "CASE " + " ".join(f"WHEN m RLIKE {_sql('^(?:' + p + ')$')} THEN '{k}'" for k, p in PATTERNS) + " ELSE 'name' END"
 _DIGITS = "regexp_replace(m, '[^0-9]', '')"
 _SECRET_HEAD = r"^(.*?[=:]\s{0,3}[\"']?)(.*?)([\"']?)$"
@@ -118,18 +131,30 @@ def _byte(i: str) -> str:
     return f"CAST(conv(substring(ks, 2 * ({i}) - 1, 2), 16, 10) AS int)"
 
 
-def _like(text: str) -> str:
-    """SQL: ``text`` with each ASCII letter and digit replaced by one of its class from the stream ks; hex stays hex."""
-    pick = lambda chars: f"substring('{chars}', 1 + {_byte('i')} % {len(chars)}, 1)"
+def _pick(chars: str, i: str) -> str:
+    return f"substring('{chars}', 1 + {_byte(i)} % {len(chars)}, 1)"
+
+
+def _like(text: str, may_be_hex: bool = False) -> str:
+    """SQL: ``text`` with each ASCII letter and digit replaced by one of its class from the stream ks. ``may_be_hex``: hex digits stay hex digits."""
     c = f"substring({text}, i, 1)"
-    return f"""array_join(transform(sequence(1, length({text})), i -> CASE
-      WHEN {text} RLIKE '^[0-9a-f]+$' AND {text} RLIKE '[a-f]' THEN {pick("0123456789abcdef")}
-      WHEN {c} RLIKE '[0-9]' THEN {pick("0123456789")}
-      WHEN {c} RLIKE '[a-z]' THEN {pick("abcdefghijklmnopqrstuvwxyz")}
-      WHEN {c} RLIKE '[A-Z]' THEN {pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
+    hexes = f"WHEN {text} RLIKE '^[0-9a-f]{{8,}}$' AND {text} RLIKE '[a-f]' THEN {_pick('0123456789abcdef', 'i')}" if may_be_hex else ""
+    return f"""array_join(transform(sequence(1, length({text})), i -> CASE {hexes}
+      WHEN {c} RLIKE '[0-9]' THEN {_pick("0123456789", "i")}
+      WHEN {c} RLIKE '[a-z]' THEN {_pick("abcdefghijklmnopqrstuvwxyz", "i")}
+      WHEN {c} RLIKE '[A-Z]' THEN {_pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "i")}
       ELSE {c} END), '')"""
 
 
+#: By how much a replacement is longer than a first draw.
+_MORE = f"greatest(0, attempt - {WIDEN - 1})"
+
+
+def _more(pick: str) -> str:
+    """SQL: as many as _MORE of ``pick``, an expression of the place i in the stream, past what the entity itself uses."""
+    return f"IF({_MORE} > 0, array_join(transform(sequence(length(canon) + 1, length(canon) + {_MORE}), i -> {pick}), ''), '')"
+
+
 def _luhn(digits: str, shift: int) -> str:
     """SQL of the Luhn sum; ``shift`` 1 if the check digit is still to come."""
     d = f"CAST(substring({digits}, length({digits}) - i, 1) AS int)"
@@ -147,23 +172,38 @@ def _iban(body: str) -> str:
 def _surname(script: str) -> str:
     body, ends = SYLLABLES[script]
     array = lambda words: "array(" + ", ".join(f"'{w}'" for w in words) + ")"
-    return f"concat({array(body)}[{_byte('1')} % {len(body)}], {array(body)}[{_byte('2')} % {len(body)}], IF({_byte('4')} % 2 = 0, {array(body)}[{_byte('5')} % {len(body)}], ''), {array(ends)}[{_byte('3')} % {len(ends)}])"
+    syllable = lambda i: f"{array(body)}[{_byte(i)} % {len(body)}]"
+    return f"concat({syllable('1')}, {syllable('2')}, IF({_byte('4')} % 2 = 0, {syllable('5')}, ''), {_more(syllable('i'))}, {array(ends)}[{_byte('3')} % {len(ends)}])"
+
+
+def _address() -> str:
+    """SQL: an IPv4 address of the network class of canon; where draws went on, of 10/8, then any, then an IPv6 address for local use."""
+    host = f"1 + {_byte('2')} % 254, 1 + {_byte('3')} % 254, 1 + {_byte('4')} % 254"
+    return f"""CASE WHEN attempt >= {3 * WIDEN} THEN concat('fd', array_join(transform(sequence(1, 7), i -> lower(substring(ks, 4 * i, 4))), ':'))
+      WHEN attempt >= {2 * WIDEN} THEN concat_ws('.', 20 + {_byte('1')} % 80, {host})
+      WHEN attempt >= {WIDEN} AND canon RLIKE '^(10|127|192[.]168|172[.](1[6-9]|2[0-9]|3[01]))[.]' THEN concat_ws('.', '10', {host})
+      WHEN canon RLIKE '^(10|127)[.]' THEN concat_ws('.', substring_index(canon, '.', 1), {host})
+      WHEN canon RLIKE '^192[.]168[.]' THEN concat_ws('.', '192.168', 1 + {_byte('3')} % 254, 1 + {_byte('4')} % 254)
+      WHEN canon RLIKE '^172[.](1[6-9]|2[0-9]|3[01])[.]' THEN concat_ws('.', concat('172.', 16 + {_byte('1')} % 16), 1 + {_byte('3')} % 254, 1 + {_byte('4')} % 254)
+      ELSE concat_ws('.', 20 + {_byte('1')} % 80, {host}) END"""
 
 
 def _surrogate(key: str) -> str:
-    """SQL of the replacement of an entity (kind, script, canon) at an attempt."""
-    ks = _stream("kind, canon, attempt", "length(canon)")
-    domain = "substring_index(canon, '@', -1)"
-    stem = f"regexp_replace({domain}, '[.][a-z]+$', '')"
+    """SQL of the replacement of an entity (kind, script, canon, and for an address its domain's replacement ``home``) at an attempt."""
+    ks = _stream("kind, canon, attempt", f"length(canon) + {_MORE}")
+    digit, letter = _pick("0123456789", "i"), _pick("abcdefghijklmnopqrstuvwxyz", "i")
+    either = _pick("abcdefghijklmnopqrstuvwxyz0123456789", "i")
+    stem = "regexp_replace(canon, '[.][a-z0-9-]+$', '')"
     by_kind = {
-        "email": f"concat({_like("substring_index(canon, '@', 1)")}, '@', {_let(_stream(f"'domain', {domain}, 0", f'length({domain})'), 'ks', _like(stem))}, regexp_extract({domain}, '[.][a-z]+$', 0))",
-        "phone": f"concat(CAST(2 + {_byte('1')} % 8 AS string), substring({_like('canon')}, 2))",
-        "card": f"concat(substring(canon, 1, 1), substring({_like('canon')}, 2, length(canon) - 2))",
-        "ssn": f"concat(CAST(1 + {_byte('1')} % 5 AS string), substring({_like('canon')}, 2))",
-        "ip": f"concat_ws('.', CASE WHEN canon RLIKE '^(10|127)[.]' THEN substring_index(canon, '.', 1) WHEN canon RLIKE '^192[.]168[.]' THEN '192.168' WHEN canon RLIKE '^172[.](1[6-9]|2[0-9]|3[01])[.]' THEN concat('172.', 16 + {_byte('1')} % 16) ELSE CAST(20 + {_byte('1')} % 80 AS string) END, IF(canon RLIKE '^(192[.]168|172[.](1[6-9]|2[0-9]|3[01]))[.]', NULL, 1 + {_byte('2')} % 254), 1 + {_byte('3')} % 254, 1 + {_byte('4')} % 254)",
-        "iban": _let(f"concat(substring(canon, 1, 2), substring({_like('canon')}, 5))", "body", _iban("body")),
-        "key": f"concat(substring(canon, 1, 4), substring({_like('canon')}, 5))",
-        "secret": _like("canon"),
+        "domain": f"concat({_like(stem)}, {_more(letter)}, substring(canon, length({stem}) + 1))",
+        "email": f"concat({_like("substring_index(canon, '@', 1)")}, {_more(letter)}, '@', home)",
+        "phone": f"concat(CAST(2 + {_byte('1')} % 8 AS string), substring({_like('canon')}, 2), {_more(digit)})",
+        "card": f"concat(substring(canon, 1, 1), substring({_like('canon')}, 2, length(canon) - 2), {_more(digit)})",
+        "ssn": f"concat(CAST(1 + {_byte('1')} % 5 AS string), substring({_like('canon')}, 2), {_more(digit)})",
+        "ip": _address(),
+        "iban": _let(f"concat(substring(canon, 1, 2), substring({_like('canon')}, 5), {_more(digit)})", "body", _iban("body")),
+        "key": f"concat(substring(canon, 1, 4), substring({_like('canon')}, 5), {_more(_pick('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'i'))})",
+        "secret": f"concat({_like('canon', True)}, {_more(either)})",
         "name": "CASE script " + " ".join(f"WHEN '{s}' THEN {_surname(s)}" for s in SYLLABLES) + " END",
     }
     made = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in by_kind.items()) + " END"
@@ -181,9 +221,11 @@ def given_names(key: str) -> dict[str, str]:
 
 
 def _pour(chars: str, skip: str = "0") -> str:
-    """SQL: the characters of ``sur`` in the places that ``chars`` has in the mention m, after ``skip`` of them."""
+    """SQL: the characters of ``sur`` in the places that ``chars`` has in the mention m, after ``skip`` of them; those of a longer ``sur`` at the end."""
     at = f"length(regexp_replace(substring(m, 1, i), '[^{chars}]', ''))"
-    return f"array_join(transform(sequence(1, length(m)), i -> CASE WHEN substring(m, i, 1) RLIKE '[{chars}]' AND {at} > {skip} THEN substring(sur, {at} - ({skip}), 1) ELSE substring(m, i, 1) END), '')"
+    all_ = f"length(regexp_replace(m, '[^{chars}]', '')) - ({skip})"
+    poured = f"array_join(transform(sequence(1, length(m)), i -> CASE WHEN substring(m, i, 1) RLIKE '[{chars}]' AND {at} > {skip} THEN substring(sur, {at} - ({skip}), 1) ELSE substring(m, i, 1) END), '')"
+    return f"concat({poured}, substring(sur, {all_} + 1))"
 
 
 def _render(key: str) -> str:
@@ -207,6 +249,8 @@ def _render(key: str) -> str:
       WHEN 'email' THEN IF(m = upper(m), upper(sur), sur)
       WHEN 'secret' THEN concat(regexp_extract(m, {_sql(_SECRET_HEAD)}, 1), sur, regexp_extract(m, {_sql(_SECRET_HEAD)}, 3))
       WHEN 'name' THEN concat({words}, IF({last} = upper({last}), upper(sur), initcap(sur)))
+      WHEN 'number' THEN m
+      WHEN 'words' THEN m
       ELSE sur END"""
 
 
@@ -217,36 +261,52 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 
 def _named(found: DataFrame) -> DataFrame:
-    """One row for each mention: text_key, place, m, kind, script, canon."""
+    """One row for each mention: text_key, place, m, kind, script, canon, home_of (an address's domain). Kinds of NO_KINDS have the canon ''."""
     rows = found.select("text_key", F.posexplode("found").alias("place", "m")).withColumn("kind", F.expr(_KIND))
+    no_card = f"kind = 'card' AND ({_DIGITS} NOT RLIKE '^[2-6]' OR {_luhn(_DIGITS, 0)} % 10 <> 0)"
+    rows = rows.withColumn("kind", F.expr(f"CASE WHEN {no_card} THEN 'number' WHEN kind = 'name' AND m RLIKE '^(\\\\p{{L}}+)(\\\\s+\\\\1)+$' THEN 'words' ELSE kind END"))
     rows = rows.withColumn("w", F.expr(f"IF(kind = 'name', regexp_extract(m, {_sql(_LAST_WORD)}, 1), '')"))
-    return rows.withColumns({"script": F.expr(f"IF(kind = 'name', {_SCRIPT}, '')"), "canon": F.expr(_CANON)}).drop("w")
+    rows = rows.withColumns({"script": F.expr(f"IF(kind = 'name', {_SCRIPT}, '')"), "canon": F.when(F.col("kind").isin(*NO_KINDS), F.lit("")).otherwise(F.expr(_CANON))}).drop("w")
+    return rows.withColumn("home_of", F.when(F.col("kind") == "email", F.substring_index("canon", "@", -1)))
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """A replacement ``sur`` for each row of ``entities`` (kind, script, canon; distinct).
+    """A replacement ``sur`` for each row of ``entities`` (kind, script, canon; distinct; for addresses also home).
 
     No two of a kind are alike and none is an entity of that kind. Of those that
     meet, the smallest keeps its draw and the others draw again.
     """
     draw = F.expr(_surrogate(key))
-    drawn = materialise(entities.withColumn("attempt", F.lit(0)).withColumn("sur", draw), "pii-draw")
+    if "home" not in entities.columns:
+        entities = entities.withColumn("home", F.lit(None).cast("string"))
+    drawn = materialise(entities.select("kind", "script", "canon", "home").withColumn("attempt", F.lit(0)).withColumn("sur", draw), "pii-draw")
     for attempt in range(1, ROUNDS + 1):
         owners = drawn.groupBy("kind", "sur").agg(F.min("canon").alias("owner"), F.count("*").alias("n"))
         taken = drawn.select("kind", F.col("canon").alias("sur"), F.lit(True).alias("taken"))
         bad = owners.join(taken, ["kind", "sur"], "left").where("n > 1 OR taken").distinct()
         bad = materialise(bad, "pii-met")
         if not bad.take(1):
-            return drawn.drop("attempt")
+            return drawn.drop("attempt", "home")
         # A draw that meets an original is never kept, not even by its owner.
         met = drawn.join(bad, ["kind", "sur"], "left")
         met = met.withColumn("again", F.col("owner").isNotNull() & (F.coalesce("taken", F.lit(False)) | (F.col("canon") != F.col("owner"))))
         redrawn = met.withColumn("attempt", F.when(F.col("again"), F.lit(attempt)).otherwise(F.col("attempt")))
         redrawn = redrawn.withColumn("new", F.when(F.col("again"), draw).otherwise(F.col("sur")))
-        drawn = materialise(redrawn.select("kind", "script", "canon", "attempt", F.col("new").alias("sur")), "pii-draw")
+        drawn = materialise(redrawn.select("kind", "script", "canon", "home", "attempt", F.col("new").alias("sur")), "pii-draw")
     raise RuntimeError(f"replacements still meet after {ROUNDS} draws")
 
 
+def _made(named: DataFrame, key: str) -> DataFrame:
+    """kind, script, canon, sur for each entity of ``named``: domains first, then all that may lie in one."""
+    entities = materialise(named.where(~F.col("kind").isin(*NO_KINDS)).select("kind", "script", "canon", "home_of").distinct(), "pii-entities")
+    domains = entities.where(F.col("home_of").isNotNull()).select(F.lit("domain").alias("kind"), F.lit("").alias("script"), F.col("home_of").alias("canon")).distinct()
+    homes = materialise(surrogates(domains, key).select(F.col("canon").alias("home_of"), F.col("sur").alias("home")), "pii-homes")
+    addresses = looked_up(entities.where(F.col("home_of").isNotNull()), homes, ["home_of"])
+    rest = entities.where(F.col("home_of").isNull()).withColumn("home", F.lit(None).cast("string"))
+    columns = ["kind", "script", "canon", "home"]
+    return materialise(surrogates(addresses.select(*columns).unionByName(rest.select(*columns)), key), "pii-made")
+
+
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with the entities in ``text`` replaced; columns and rows as they were, and ``pii`` added: an array of (kind, surrogate) in the order of the text.
 
@@ -257,11 +317,15 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     found = materialise(mentions(docs), "pii-mentions")
     named = materialise(_named(found), "pii-named")
-    made = surrogates(named.select("kind", "script", "canon").distinct(), key)
-    spoken = named.join(made, ["kind", "script", "canon"]).select("text_key", F.struct("place", "kind", F.expr(_render(key)).alias("surrogate")).alias("p"))
+    made = _made(named, key)
+    plain = named.where(F.col("kind").isin(*NO_KINDS)).withColumn("sur", F.lit(""))
+    named = named.where(~F.col("kind").isin(*NO_KINDS))
+    spoken = looked_up(named, made, ["kind", "script", "canon"]).select(*plain.columns).unionByName(plain)
+    spoken = spoken.select("text_key", F.struct("place", "kind", F.expr(_render(key)).alias("surrogate")).alias("p"))
     by_text = spoken.groupBy("text_key").agg(F.sort_array(F.collect_list("p")).alias("spoken"))  # the mentions of one text
-    by_text = materialise(by_text, "pii-by-text")
-    if by_text.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    by_text = materialise(by_text.where(F.exists("spoken", lambda p: ~p["kind"].isin(*NO_KINDS))), "pii-by-text")
+    size = by_text.agg(F.count("*"), F.sum(F.size("spoken"))).first()
+    if max(size[0], size[1] or 0) <= BROADCAST_ROWS:
         by_text = F.broadcast(by_text)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "pii"]).alias("row"), F.col("text").cast("string").alias("old"))
     joined = whole.withColumn("key", F.md5("old")).join(by_text, F.col("key") == F.col("text_key"), "left")
@@ -270,8 +334,8 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     fitting = F.when(F.size(gaps) == F.size("spoken") + 1, woven).otherwise(F.raise_error(F.lit("mentions and replacements differ in number")))
     joined = joined.withColumn("new", F.when(F.col("spoken").isNull(), F.col("old")).otherwise(fitting))
     kept = [F.col("new").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "pii"]
-    pii = F.transform(F.coalesce("spoken", F.array()), lambda p: F.struct(p["kind"].alias("kind"), p["surrogate"].alias("surrogate")))
-    return joined.select(*kept, pii.alias("pii"))
+    entities = F.filter(F.coalesce("spoken", F.array()), lambda p: ~p["kind"].isin(*NO_KINDS))
+    return joined.select(*kept, F.transform(entities, lambda p: F.struct(p["kind"].alias("kind"), p["surrogate"].alias("surrogate"))).alias("pii"))
 
 
 def replaced_documents(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -65,6 +65,83 @@ def test_names_keep_gender_script_and_person(spark):
         assert sorted(turned[n] for n in listed) == sorted(listed) and all(turned[n] != n for n in listed), (script, gender)
 
 
+def test_names_by_shape_and_context(spark):
+    """Names that no list has, by what stands before and after them."""
+    text = "Priya Patel and William Smith met Kenji Tanaka. Then Rosa Martínez called. Dear Oluwaseun Adeyemi, we wrote to Linh Nguyen <linh@x.example.org>."
+    (new, found), = replaced(spark, text)
+    assert [k for k, _ in found] == ["name"] * 6 + ["email"]
+    assert not any(w in new for w in "Priya Patel William Smith Kenji Tanaka Rosa Martínez Oluwaseun Adeyemi Linh Nguyen".split())
+    assert re.sub(r"[^\W\d_]+", "", new) == re.sub(r"[^\W\d_]+", "", text)
+    clean = ["The Dog called", "the The The called for Of Of", "In Paris and Rome", "New York called", "a Nice Day went by", "Reanwh Reanwh met Of Of"]
+    assert [t for t, _ in replaced(spark, *clean)] == clean
+
+
+def test_numbers_that_no_card_has_stay(spark):
+    clean = ["4111 1111 1111 1112 is no card", "nor is 9807915762804490, nor 0000000000000000"]
+    got = replaced(spark, *clean, "card 4111 1111 1111 1111 and 4111111111111112 and me@x.example.org")
+    assert [t for t, _ in got[:2]] == clean and got[0][1] == got[1][1] == []
+    assert [k for k, _ in got[2][1]] == ["card", "email"] and "4111111111111112" in got[2][0] and "4111 1111 1111 1111" not in got[2][0]
+
+
+def test_domains_stay_apart_and_hex_is_for_secrets(spark):
+    """Short domains, which a single draw cannot keep apart, and names that only look like hex."""
+    got = [s for _, found in replaced(spark, *[f"me@{c}.co" for c in "abcdefghijklmnopqrstuvwxyz"], "abe@acme.com dad@acme.com") for _, s in found]
+    domains = [s.split("@")[1] for s in got[:26]]
+    assert len(set(domains)) == 26 and not set(domains) & {f"{c}.co" for c in "abcdefghijklmnopqrstuvwxyz"} and all(d.endswith(".co") for d in domains)
+    assert all(re.fullmatch("[a-z]{3}@[a-z]{4}[.]com", s) for s in got[26:]) and got[26].split("@")[1] == got[27].split("@")[1]
+
+
+def test_a_used_up_space_widens(spark):
+    """As many private addresses as their networks hardly hold: all differ, and none is an original."""
+    n = 60_000
+    private = spark.range(n).select(F.lit("ip").alias("kind"), F.lit("").alias("script"), F.expr("concat('192.168.', id div 256, '.', id % 256)").alias("canon"))
+    wide = spark.range(40_000).select(F.lit("ip").alias("kind"), F.lit("").alias("script"), F.expr("concat('10.', id div 65536, '.', (id div 256) % 256, '.', id % 256)").alias("canon"))
+    rows = pii.surrogates(private.unionByName(wide)).collect()
+    made = {r["sur"] for r in rows}
+    assert len(rows) == len(made) == 100_000 and not made & {r["canon"] for r in rows}
+    assert all(re.fullmatch(r"(10|192\.168|[2-9][0-9])(\.[0-9]{1,3}){2,3}", s) for s in made)
+    few = spark.range(10).select(F.lit("domain").alias("kind"), F.lit("").alias("script"), F.expr("concat(id, '.co')").alias("canon"))
+    assert len({r["sur"] for r in pii.surrogates(few).collect()}) == 10
+
+
+def test_replaced_texts_equal_a_plain_weaving(spark):
+    """Brute force: the same pattern, run by another engine, with the operator's own replacements in the order of the text."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out = {r["doc_id"]: r for r in pii.replace_pii(docs).collect()}
+    pattern, kinds = regex.compile(pii.ANY), [(k, regex.compile(f"(?:{p})")) for k, p in pii.PATTERNS]
+    changed, seen = 0, {}
+    for r in docs.collect():
+        new, made = [], iter(out[r["doc_id"]]["pii"])
+        at, text = 0, r["text"] or ""
+        for m in pattern.finditer(text):
+            kind = next((k for k, p in kinds if p.fullmatch(m[0])), "name")
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "card" and (digits[0] not in "23456" or not luhn(digits)) or regex.fullmatch(r"(\p{L}+)(\s+\1)+", m[0]):
+                continue
+            p = next(made)
+            assert p["kind"] == kind and p["surrogate"] != m[0]
+            if kind in ("email", "ip", "secret"):
+                assert seen.setdefault((kind, m[0]), p["surrogate"]) == p["surrogate"]
+            new += [text[at : m.start()], p["surrogate"]]
+            at = m.end()
+        assert next(made, None) is None and "".join([*new, text[at:]]) == (out[r["doc_id"]]["text"] or "")
+        changed += bool(new)
+    assert changed > 20 and len(set(seen.values())) == len(seen)
+
+
+def test_frequent_entities_and_many_in_one_text(spark, monkeypatch):
+    """The shuffled lookup with a frequent address gives what the broadcast gives; one text may hold thousands of mentions."""
+    from coffer.llm import common
+
+    texts = ["hot@x.example.org " * 3000 + "a@x.example.org", *[f"hot@x.example.org and p{i}@y.example.org" for i in range(50)]]
+    want = replaced(spark, *texts)
+    monkeypatch.setattr(common, "LOOKUP_ROWS", 3)
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 1)
+    assert replaced(spark, *texts) == want and len(want[0][1]) == 3001
+
+
 def test_whole_names_go(spark):
     """Several given names, unlisted ones after a title, particles and initials; the surname is the same person's everywhere."""
     texts = ["Frau Weber,", "Anna Maria Weber,", "Dr. Zoe Weber,", "Anna von Weber,", "John Q. Weber,", "Mr. J. Weber,"]
