@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coffer.functions import scalars
+from coffer.functions import currency, scalars
 from coffer.operators import accounts, ingest, lookup, merchants, rates, search, triggers
 from coffer.operators.lineage import cut
 from coffer.operators.store import Store, shown
@@ -30,7 +30,7 @@ def _rows(spark: SparkSession, args: argparse.Namespace, names: str) -> DataFram
 
 
 def _add(table: str, names: str) -> Command:
-    return lambda spark, store, args: store.insert(table, _rows(spark, args, names), F.lit(0), [F.lit(0)])
+    return lambda spark, store, args: store.insert(table, _rows(spark, args, names), [F.lit(0)])
 
 
 def _list(table: str, order: str = "id") -> Command:
@@ -61,16 +61,20 @@ def _accounts(store: Store, args: argparse.Namespace) -> DataFrame:
 
 def _fetch(spark: SparkSession, store: Store, args: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
     if args.landed:
-        return bank.read_transactions(spark, args.landed), spark.createDataFrame([], "account_id long, error string")
+        return bank.read_transactions(spark, args.landed, date_to=args.date_to), spark.createDataFrame([], "account_id long, error string")
     held = _accounts(store, args)
-    return bank.fetch(spark, held, ingest.lookback(held, store.read("transactions")), args.bank)
+    return bank.fetch(spark, held, ingest.lookback(held, store.read("transactions")), args.bank, args.date_to)
 
 
 def transactions_import(spark: SparkSession, store: Store, args: argparse.Namespace) -> DataFrame:
     wire, errors = _fetch(spark, store, args)
     done = ingest.import_batch(store, wire, errors)
-    rows = merchants.enrich(store, done.rows, enrichment.client_enricher(args.enricher)) if args.enricher else done.rows
-    triggers.dispatch(store, rows, _sinks(args))
+
+    def finish(rows: DataFrame) -> None:
+        known = merchants.enrich(store, rows, enrichment.client_enricher(args.enricher)) if args.enricher else rows
+        triggers.dispatch(store, known, _sinks(args))
+
+    ingest.deliver(store, finish)
     return done.status.orderBy("account_id")
 
 
@@ -109,7 +113,8 @@ def triggers_run(spark: SparkSession, store: Store, args: argparse.Namespace) ->
 
 
 def update_balances(spark: SparkSession, store: Store, args: argparse.Namespace) -> DataFrame:
-    return accounts.refresh_balances(store, bank.read_balances(spark, args.landed))
+    answers = bank.fetch_balances(_accounts(store, args), args.bank)[0] if args.bank else bank.read_balances(spark, args.landed)
+    return accounts.refresh_balances(store, answers)
 
 
 def _landed_details(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -119,7 +124,8 @@ def _landed_details(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 
 def populate_details(spark: SparkSession, store: Store, args: argparse.Namespace) -> None:
-    accounts.populate_details(store, bank.read_details(spark, args.landed))
+    answers = bank.fetch_details(_accounts(store, args), args.bank)[0] if args.bank else bank.read_details(spark, args.landed)
+    accounts.populate_details(store, answers)
 
 
 def accounts_add(spark: SparkSession, store: Store, args: argparse.Namespace) -> DataFrame:
@@ -132,11 +138,18 @@ def accounts_relink(spark: SparkSession, store: Store, args: argparse.Namespace)
 
 
 def institutions(spark: SparkSession, store: Store, args: argparse.Namespace) -> DataFrame:
+    if args.bank:
+        rows = bank.fetch_institutions(spark.createDataFrame([(args.country, "{}")], "key string, config string"), args.bank)[0]
+        return rows.where(F.col("id") == args.institution) if args.institution else rows
     return bank.read_institutions(spark, args.landed, args.country, args.institution)
 
 
 def rates_update(spark: SparkSession, store: Store, args: argparse.Namespace) -> None:
-    rates.refresh(store, bank.read_rates(spark, args.landed, args.base))
+    if args.client:
+        answers = bank.fetch_rates(spark.createDataFrame([(args.base or currency.DEFAULT, "{}")], "key string, config string"), args.client)[0]
+    else:
+        answers = bank.read_rates(spark, args.landed, args.base)
+    rates.refresh(store, answers)
 
 
 #: Command words, what they do, and their options.
@@ -145,11 +158,11 @@ COMMANDS: dict[str, tuple[Command, str]] = {
     "users add": (_add("users", "name email"), "name! email!"),
     "accounts list": (_list("accounts"), ""),
     "accounts add": (accounts_add, "landed! institution! user_id#!"),
-    "accounts fetch": (transactions_fetch, "account_id# bank landed"),
-    "accounts populate-details": (populate_details, "landed!"),
-    "accounts update-balances": (update_balances, "landed!"),
+    "accounts fetch": (transactions_fetch, "account_id# bank landed date_to"),
+    "accounts populate-details": (populate_details, "account_id# bank landed"),
+    "accounts update-balances": (update_balances, "account_id# bank landed"),
     "accounts relink": (accounts_relink, "landed! institution! user_id#!"),
-    "institutions list": (institutions, "landed! country institution"),
+    "institutions list": (institutions, "bank landed country institution"),
     "functions list": (_list("functions"), ""),
     "functions add": (_add("functions", "name function_type source user_id"), "name! function_type! source! user_id#!"),
     "triggers list": (_list("triggers"), ""),
@@ -157,12 +170,12 @@ COMMANDS: dict[str, tuple[Command, str]] = {
     "triggers log": (_list("trigger_log"), ""),
     "triggers run": (triggers_run, "trigger_id#! transaction_id# client! limit=50"),
     "transactions list": (transactions_list, "account_id# search limit=100"),
-    "transactions import": (transactions_import, "account_id# bank landed enricher client"),
+    "transactions import": (transactions_import, "account_id# bank landed date_to enricher client"),
     "transactions create-trigger": (transactions_create_trigger, "transaction_id#! client"),
     "transactions enrich": (transactions_enrich, "transaction_id#! enricher!"),
     "transactions assign-merchants": (assign_merchants, "enricher! limit=100"),
     "merchants list": (_list("merchants"), ""),
-    "rates update": (rates_update, "landed! base"),
+    "rates update": (rates_update, "client landed base"),
     "rates list": (lambda spark, store, args: rates.listed(store.read("exchange_rates")).orderBy("base_code", "code"), ""),
 }
 
@@ -172,6 +185,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="coffer")
     top.add_argument("--store", required=True)
     top.add_argument("--json", action="store_true")
+    top.add_argument("--rows", type=int, default=10_000, help="print so many rows at most; 0: all")
     groups: dict[str, argparse._SubParsersAction] = {}
     first = top.add_subparsers(required=True)
     for words, (run, options) in COMMANDS.items():
@@ -196,6 +210,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     found = args.run(spark, Store(spark, args.store), args)
     if found is None:
         return []
+    if args.rows:
+        found = found.limit(args.rows)
     if args.json:
         lines = [json.dumps(json.loads(line), ensure_ascii=False) for line in found.toJSON().collect()]
     else:

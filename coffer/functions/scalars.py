@@ -67,8 +67,8 @@ def parse_number(text: Column, kind: str = "float") -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast(kind))
 
 
-def amount_or_zero(text: Column) -> Column:
-    return F.coalesce(parse_number(text), F.lit(0.0).cast("float"))
+def amount_or_zero(text: Column, kind: str = "float") -> Column:
+    return F.coalesce(parse_number(text, kind), F.lit(0.0).cast(kind))
 
 
 def direction(amount: Column) -> Column:

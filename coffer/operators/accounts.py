@@ -50,15 +50,16 @@ def populate_details(store: Store, details: DataFrame) -> int:
 def add_accounts(store: Store, details: DataFrame, account_type: str) -> DataFrame:
     """Store the accounts of a consent. Type and config are set, so that an import can find their source."""
     rows = from_details(details).withColumns({"account_type": F.lit(account_type), "config": F.to_json(F.struct(F.col("source_id").alias("account_id")))})
-    return store.insert("accounts", rows.drop("account_id"), F.col("user_id"), [F.col("source_id")])
+    return store.insert("accounts", rows.drop("account_id"), [F.col("user_id"), F.col("source_id")])
 
 
 def relink(store: Store, details: DataFrame) -> DataFrame:
     """Point stored accounts at a new consent, matched by number, institution and user; returns what matched none."""
     found = from_details(details)
     keys = ["number", "institution_name", "user_id"]
-    matched = store.read("accounts").select("id", *keys).join(found.select(*keys, "source_id").dropDuplicates(keys), keys)
-    store.patch("accounts", matched.select("id", "source_id", F.to_json(F.struct(F.col("source_id").alias("account_id"))).alias("config")))
+    base = store.version("accounts")
+    matched = store.read("accounts", base).select("id", *keys).join(found.select(*keys, "source_id").dropDuplicates(keys), keys)
+    store.patch("accounts", matched.select("id", "source_id", F.to_json(F.struct(F.col("source_id").alias("account_id"))).alias("config")), base=base)
     return found.join(matched.select(*keys), keys, "left_anti")
 
 

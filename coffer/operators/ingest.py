@@ -6,12 +6,14 @@ them together over a store.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coffer.functions import currency, scalars
+from coffer.operators.lineage import cut
 from coffer.operators.store import Store
 
 LOOKBACK_DAYS = 7
@@ -106,13 +108,50 @@ def account_status(accounts: DataFrame, sources: DataFrame | None, stored: DataF
 def import_batch(store: Store, wire: DataFrame, errors: DataFrame | None = None) -> Imported:
     """Import wire rows of any number of accounts.
 
+    Rows of accounts that the store lacks are set aside too.
+
     A source that failed is a row of ``errors`` (account_id, error) and does not
     stop the others. Importing the same rows again stores nothing.
     """
-    accounts, stored = store.read("accounts"), store.read("transactions")
+    base = store.version("transactions")
+    accounts, stored = store.read("accounts"), store.read("transactions", base)
+    start_deliveries(store, base)
     good, bad = usable(canonical(wire))
+    strange = good.join(accounts.select(F.col("id").alias("account_id")), "account_id", "left_anti")
+    bad = bad.unionByName(strange.withColumn("reason", F.lit("unknown account")))
     fresh = new_rows(one_a_key(since(good, lookback(accounts, stored))), stored)
     rows = stamped(fresh, accounts)
-    order = [F.col(c) for c in ("account_id", "seq", "external_id") if c in rows.columns]
-    kept = store.insert("transactions", rows, F.col("booking_date"), order)
+    order = [F.col(c) for c in ("booking_date", "account_id", "seq", "external_id") if c in rows.columns]
+    kept = store.insert("transactions", rows, order, base)
     return Imported(kept, bad, account_status(accounts, errors, kept))
+
+
+def start_deliveries(store: Store, version: int) -> None:
+    """In a store without deliveries: what it has so far counts as delivered."""
+    if not store.version("deliveries"):
+        delivered(store, store.next_id("transactions", version) - 1)
+
+
+def undelivered(store: Store) -> DataFrame:
+    """The stored transactions whose triggers have not been run to the end: those with ids above the last delivery, as ids follow the imports.
+
+    An import that ended before its triggers had run leaves its rows here, so the
+    next one takes them along.
+    """
+    last = store.read("deliveries").agg(F.max("id")).first()[0] or 0  # one row for each import
+    return store.read("transactions").where(F.col("id") > last)
+
+
+def delivered(store: Store, last_id: int) -> None:
+    """Note that triggers have been run for all transactions up to ``last_id``."""
+    store.append("deliveries", store.spark.createDataFrame([(last_id,)], "id long").withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")))
+
+
+def deliver(store: Store, run: Callable[[DataFrame], object]) -> DataFrame:
+    """``run`` over all undelivered transactions, and note them as delivered; returns them."""
+    rows = cut(undelivered(store))
+    run(rows)
+    last = rows.agg(F.max("id")).first()[0]
+    if last is not None:
+        delivered(store, last)
+    return rows

@@ -73,19 +73,25 @@ def resolve(candidates: DataFrame, merchants: DataFrame) -> DataFrame:
             return settled
 
 
+def by_external_id(candidates: DataFrame, merchants: DataFrame) -> DataFrame:
+    """The older rule: seq and merchant_id, the smallest stored id of the candidate's external id, or null; name and website do not count."""
+    return match_store(candidates, merchants).select("seq", F.col("by_id").alias("merchant_id"))
+
+
 def create_or_fetch(store: Store, candidates: DataFrame) -> DataFrame:
     """Resolve ``candidates`` (seq and the columns of ``schemas.NEW_MERCHANT``), insert what is new, and return seq and merchant_id."""
-    outcome = resolve(candidates, store.read("merchants"))
+    base = store.version("merchants")
+    outcome = resolve(candidates, store.read("merchants", base))
     new = candidates.join(outcome.where("insert_seq = seq").select("seq"), "seq", "left_semi").withColumn("location_structured", F.coalesce(F.to_json("location_structured"), F.lit("null")))
-    stored = _insert_in_order(store, new)
+    stored = _insert_in_order(store, new, base)
     found = outcome.join(stored, outcome["insert_seq"] == stored["new_seq"], "left")
     return found.select("seq", F.coalesce("merchant_id", "new_id").alias("merchant_id"))
 
 
-def _insert_in_order(store: Store, new: DataFrame) -> DataFrame:
-    """Insert merchants by seq; new_seq and new_id of each."""
-    ranked = cut(numbered(new, F.expr("seq div 100000"), [F.col("seq")], store.next_id("merchants")))
-    store.append("merchants", ranked.drop("seq").withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")))
+def _insert_in_order(store: Store, new: DataFrame, base: int) -> DataFrame:
+    """Insert merchants by seq; new_seq and new_id of each. Raises Conflict if the table is not at version ``base``."""
+    ranked = cut(numbered(new, [F.col("seq")], store.next_id("merchants", base)))
+    store.append("merchants", ranked.drop("seq").withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")), base)
     return ranked.select(F.col("seq").alias("new_seq"), F.col("id").alias("new_id"))
 
 

@@ -5,20 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coffer.operators.lineage import cut
 
-def numbered(df: DataFrame, coarse: Column, order: list[Column], start: int, name: str = "id") -> DataFrame:
-    """Add ``name``: start, start + 1, ... in the order of (coarse, *order).
 
-    ``coarse`` cuts the rows into groups that fit a task, such as days or ranges
-    of a sequence; only the groups' sizes are summed in one task. ``order`` must
-    be unique within a group for the same result in each run.
+#: Rows that a task ranks at once.
+ROWS = 200_000
+
+
+def numbered(df: DataFrame, order: list[Column], start: int, name: str = "id") -> DataFrame:
+    """Add ``name``: start, start + 1, ... in ``order``, which must be unique for the same result in each run.
+
+    One range shuffle sorts the rows, so no key is too large for a task; the
+    sorted rows are checkpointed, so their places and the sizes of the
+    partitions, of which there are few, come from the same partitions.
     """
-    df = df.withColumn("_group", coarse)
-    before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy("_group").agg(F.count("*").alias("_rows")).select(F.col("_group").alias("_of"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
-    ranked = df.withColumn("_place", place).join(starts, F.col("_group").eqNullSafe(F.col("_of")))
-    return ranked.withColumn(name, (F.lit(start - 1) + F.col("_before") + F.col("_place")).cast("long")).drop("_group", "_of", "_rows", "_before", "_place")
+    df = cut(df)
+    n = df.count()
+    keys = {f"_key{i}": c for i, c in enumerate(order)}
+    ordered = df.withColumns(keys)
+    if n:
+        ordered = ordered.repartitionByRange(-(-n // ROWS), *keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id()
+    ordered = cut(ordered.drop(*keys).withColumns({"_part": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    ranked = ordered.join(F.broadcast(starts), "_part")  # one row for each ROWS rows
+    return ranked.withColumn(name, (F.lit(start) + F.col("_before") + F.col("_place")).cast("long")).drop("_part", "_place", "_before")
 
 
 def newest(df: DataFrame, by: str, n: int, offset: int = 0) -> DataFrame:

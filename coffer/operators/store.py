@@ -2,7 +2,11 @@
 
 A version is a manifest: the list of the segments that make up the table. A
 change writes new segments and then one manifest with the next number; creating
-that file is the commit, and it fails if another writer was first. An append
+that file is the commit, and it fails if another writer was first: the file
+system must refuse to create a file that is there (HDFS, local disks and object
+stores with conditional writes do; on others only one writer at a time is safe).
+What is computed from a version and then written passes that version as
+``base``, so a change in between is a Conflict and never lost. An append
 writes only new rows. An update or delete rewrites only the segments that hold
 a changed key. Readers keep the version they began with. All files go through
 Spark's file systems, so a store can be anywhere Spark can write.
@@ -81,29 +85,29 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*self._folders(table, names))
 
-    def append(self, table: str, rows: DataFrame) -> int:
+    def append(self, table: str, rows: DataFrame, base: int | None = None) -> int:
         """Add rows as one new segment."""
-        base = self.version(table)
+        base = self.version(table) if base is None else base
         held = self.segments(table, base)
         return self._commit(table, base, [*held, self._write(table, rows)])
 
-    def next_id(self, table: str) -> int:
+    def next_id(self, table: str, version: int | None = None) -> int:
         """One above the largest id: read from the columns' statistics, not the rows."""
-        return (self.read(table).agg(F.max("id")).first()[0] or 0) + 1
+        return (self.read(table, version).agg(F.max("id")).first()[0] or 0) + 1
 
-    def insert(self, table: str, rows: DataFrame, coarse: Column, order: list[Column]) -> DataFrame:
-        """Append ``rows`` with fresh ids and both times set; returns the rows as stored."""
+    def insert(self, table: str, rows: DataFrame, order: list[Column], base: int | None = None) -> DataFrame:
+        """Append ``rows`` with fresh ids in ``order`` and both times set; returns the rows as stored."""
         now = F.current_timestamp().cast("timestamp_ntz")
         stamps = {c: now for c in ("created_at", "updated_at") if c in schemas.TABLES[table].fieldNames()}
-        base = self.version(table)
+        base = self.version(table) if base is None else base
         held = self.segments(table, base)
-        segment = self._write(table, numbered(rows.withColumns(stamps), coarse, order, self.next_id(table)))
+        segment = self._write(table, numbered(rows.withColumns(stamps), order, self.next_id(table, base)))
         self._commit(table, base, [*held, segment])
         return self.spark.read.schema(schemas.TABLES[table]).parquet(*self._folders(table, [segment]))
 
-    def _rewrite(self, table: str, keys: DataFrame, key: str, changed: DataFrame | None, also: DataFrame | None = None) -> int:
-        """Take the rows with ``keys`` out of the segments that have any, and put ``changed`` and ``also`` in."""
-        base = self.version(table)
+    def _rewrite(self, table: str, keys: DataFrame, key: str, changed: DataFrame | None, base: int | None = None) -> int:
+        """Take the rows with ``keys`` out of the segments that have any, and put ``changed`` in."""
+        base = self.version(table) if base is None else base
         held = self.segments(table, base)
         if held:
             rows = self.spark.read.schema(schemas.TABLES[table]).parquet(*self._folders(table, held))
@@ -112,7 +116,7 @@ class Store:
         else:
             hit = set()
         new = [s for s in held if s not in hit]
-        parts = [p for p in (changed, also) if p is not None]
+        parts = [] if changed is None else [changed]
         if hit:
             touched = self.spark.read.schema(schemas.TABLES[table]).parquet(*self._folders(table, sorted(hit)))
             parts.append(touched.join(keys.select(key), key, "left_anti"))
@@ -134,14 +138,15 @@ class Store:
         """Remove the rows whose key is in ``keys``."""
         return self._rewrite(table, keys, key, None)
 
-    def upsert(self, table: str, rows: DataFrame, key: str = "id") -> int:
+    def upsert(self, table: str, rows: DataFrame, key: str = "id", base: int | None = None) -> int:
         """Replace rows by key, and add those whose key is new."""
-        return self._rewrite(table, rows, key, rows)
+        return self._rewrite(table, rows, key, rows, base)
 
-    def patch(self, table: str, changes: DataFrame, key: str = "id") -> int:
+    def patch(self, table: str, changes: DataFrame, key: str = "id", base: int | None = None) -> int:
         """Set the columns of ``changes`` where they are not null; columns that are null or missing there stay as stored. Keys that the table lacks are ignored."""
-        stored = self.read(table)
-        return self._rewrite(table, changes, key, patched(stored.join(changes.select(key), key, "left_semi"), changes, key))
+        base = self.version(table) if base is None else base
+        stored = self.read(table, base)
+        return self._rewrite(table, changes, key, patched(stored.join(changes.select(key), key, "left_semi"), changes, key), base)
 
 
 def patched(stored: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:

@@ -32,7 +32,7 @@ def add_trigger(store: Store, rows: DataFrame) -> DataFrame:
     bad = checked(rows)[1].select("name", "reason").first()
     if bad is not None:
         raise InvalidTrigger(f"{bad['name']}: {bad['reason']}")
-    return store.insert("triggers", rows, F.col("user_id"), [F.col("name"), F.col("filter"), F.col("params")])
+    return store.insert("triggers", rows, [F.col("user_id"), F.col("name"), F.col("filter"), F.col("params")])
 
 
 def matched(transactions: DataFrame, triggers: DataFrame, event: str = CREATED) -> DataFrame:
@@ -85,4 +85,4 @@ def dispatch(store: Store, transactions: DataFrame, sinks: Mapping[str, Sink], e
     for p in parts:
         p = p.select("payload", F.to_json("console").alias("console"), "status", F.col("transaction.user_id").alias("user_id"), "trigger_id")
         rows = p if rows is None else rows.unionByName(p)
-    return store.insert("trigger_log", cut(rows), F.col("trigger_id"), [F.col("payload")])
+    return store.insert("trigger_log", cut(rows), [F.col("trigger_id"), F.col("payload")])

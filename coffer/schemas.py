@@ -37,8 +37,10 @@ FUNCTION = struct("id:long name:text function_type:text source:text user_id:long
 TRIGGER_LOG = struct("id:long payload:text console?:text status:text user_id:long trigger_id:long created_at?:time updated_at?:time")
 USER = struct("id:long name:text email:text password?:text created_at?:time updated_at?:time")
 EXCHANGE_RATE = struct("base_code:text conversion_rates:rates last_update:time")
+#: Up to which transaction triggers have been run.
+DELIVERY = struct("id:long created_at?:time")
 
-TABLES = {"accounts": ACCOUNT, "transactions": TRANSACTION, "merchants": MERCHANT, "triggers": TRIGGER, "functions": FUNCTION, "trigger_log": TRIGGER_LOG, "users": USER, "exchange_rates": EXCHANGE_RATE}
+TABLES = {"accounts": ACCOUNT, "transactions": TRANSACTION, "merchants": MERCHANT, "triggers": TRIGGER, "functions": FUNCTION, "trigger_log": TRIGGER_LOG, "users": USER, "exchange_rates": EXCHANGE_RATE, "deliveries": DELIVERY}
 #: Columns that no output to a user shows.
 HIDDEN = {"users": ("password",), "accounts": ("source_id", "user_id"), "transactions": ("user_id",)}
 

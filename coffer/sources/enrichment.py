@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coffer import schemas
-from coffer.functions import scalars
+from coffer.functions import currency, scalars
 from coffer.operators.merchants import Enricher
 from coffer.sources.bank import load
 
@@ -24,14 +24,16 @@ CONCURRENCY = 10
 
 
 def requests(transactions: DataFrame) -> DataFrame:
-    """What a service is asked for each transaction: description, absolute amount, direction, currency, date and a country hint."""
-    amount = scalars.amount_or_zero(F.col("transaction_amount"))
+    """What a service is asked for each transaction: description, the amount as the bank wrote it and as an absolute number, direction, currency, its first country ('' if none uses it) and date."""
+    amount = scalars.amount_or_zero(F.col("transaction_amount"), "double")
     return transactions.select(
         F.col("id").alias("transaction_id"),
         scalars.description(F.col("creditor_name"), F.col("debtor_name"), F.col("remittance_information")).alias("description"),
+        F.col("transaction_amount").alias("amount_text"),
         F.abs(amount).alias("amount"),
         scalars.direction(amount).alias("entry_type"),
         F.col("transaction_amount_currency").alias("iso_currency_code"),
+        F.coalesce(currency.first_country(F.col("transaction_amount_currency")), F.lit("")).alias("country"),
         F.date_format("booking_date", "yyyy-MM-dd").alias("date"),
         F.col("user_id").cast("string").alias("account_holder_id"),
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,7 @@ from coffer.sources.bank import load
 #: Parameters of the budget sink: name, is it required, what it is. Keys are the same for users and for the parser.
 BUDGET_PARAMS = (("api_key", True, "key of the budget service"), ("account_id", True, "number of the budget account"), ("category_key", False, "key of a service that picks a category"))
 #: Sent with each draft.
-BUDGET_FLAGS = {"apply_rules": True, "check_for_recurring": True, "debit_as_negative": True, "skip_duplicates": False}
+BUDGET_FLAGS = {"apply_rules": True, "check_for_recurring": True, "debit_as_negative": True, "skip_balance_update": False}
 
 
 def missing_params(settings: Column) -> Column:
@@ -52,6 +52,48 @@ def with_category(calls: DataFrame, choices: DataFrame, categories: DataFrame) -
     return calls.join(chosen, F.col("transaction.external_id") == F.col("_external"), "left").drop("_external")
 
 
+#: From calls to (external_id, category): the name that was chosen for each; calls without an answer are missing.
+Chooser = Callable[[DataFrame], DataFrame]
+
+
+def choosing_sink(sink: Sink, chooser: Chooser, categories: DataFrame) -> Sink:
+    """``sink``, with a category for the calls whose settings have a ``category_key``: the one of ``categories`` (id, name) that ``chooser`` names."""
+
+    def run(calls: DataFrame) -> DataFrame:
+        asked = calls.where(F.coalesce(F.try_element_at("settings", F.lit("category_key")), F.lit("")) != "")
+        choices = cut(chooser(asked).dropDuplicates(["external_id"]))
+        return sink(with_category(calls, choices, categories))
+
+    return run
+
+
+def client_chooser(client: str, categories: list[str]) -> Chooser:
+    """A chooser that asks ``client`` (module:factory; an object whose ``category(names, transaction)`` gives one of the names). A request that fails has no answer."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        service = load(client)()
+        for pdf in batches:
+            names = []
+            for text in pdf["transaction"]:
+                try:
+                    names.append(service.category(categories, json.loads(text)))
+                except Exception:  # noqa: BLE001  a service's failure is no answer
+                    names.append(None)
+            yield pd.DataFrame({"external_id": pdf["external_id"], "category": names})
+
+    def run(calls: DataFrame) -> DataFrame:
+        rows = calls.select(F.col("transaction.external_id").alias("external_id"), F.to_json("transaction").alias("transaction")).dropDuplicates(["external_id"])
+        return rows.mapInPandas(ask, "external_id string, category string").where("category IS NOT NULL")
+
+    return run
+
+
+def request_body(calls: DataFrame) -> Column:
+    """The body that is posted for a call: its draft and the flags."""
+    category = F.col("category_id") if "category_id" in calls.columns else None
+    return F.struct(F.array(draft(F.col("transaction"), F.col("settings"), category)).alias("transactions"), *[F.lit(v).alias(k) for k, v in BUDGET_FLAGS.items()])
+
+
 def client_sink(client: str) -> Sink:
     """A sink that posts each draft with ``client`` (module:factory; takes the call's settings and gives an object whose ``post(body)`` returns a list of errors)."""
 
@@ -69,9 +111,7 @@ def client_sink(client: str) -> Sink:
             yield pdf[["payload"]].assign(status=status, console=console)
 
     def run(calls: DataFrame) -> DataFrame:
-        category = F.col("category_id") if "category_id" in calls.columns else None
-        body = F.struct(F.array(draft(F.col("transaction"), F.col("settings"), category)).alias("transactions"), *[F.lit(v).alias(k) for k, v in BUDGET_FLAGS.items()])
-        asked = calls.select("payload", F.to_json("settings").alias("settings_json"), F.to_json(body).alias("body"), missing_params(F.col("settings")).alias("missing"))
+        asked = calls.select("payload", F.to_json("settings").alias("settings_json"), F.to_json(request_body(calls)).alias("body"), missing_params(F.col("settings")).alias("missing"))
         return calls.join(asked.mapInPandas(send, "payload string, status string, console array<string>"), "payload")
 
     return run

@@ -2,7 +2,8 @@
 
 The lookback is per account and reads the store, so it needs no watermark: a
 global one would drop rows of a quiet account. A micro-batch that is repeated
-stores nothing twice (the anti-join) and calls no sink twice (the log).
+stores nothing twice (the anti-join), calls no sink twice (the log), and runs the
+triggers of rows that an interrupted one had stored (the deliveries).
 """
 
 from __future__ import annotations
@@ -19,24 +20,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from coffer import schemas
 from coffer.operators import ingest, merchants, triggers
 from coffer.operators.store import Store
+from coffer.sources import bank
 
 
 def answers(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """Stream of landed answers: account_id, seq and wire fields, ``files_per_batch`` files at a time."""
     schema = T.StructType([T.StructField("transactions", T.StructType([T.StructField("booked", T.ArrayType(schemas.WIRE_TRANSACTION))]))])
     raw = spark.readStream.schema(schema).option("multiLine", True).option("maxFilesPerTrigger", files_per_batch).json(path)
-    account = F.regexp_extract(F.input_file_name(), r"([0-9]+)[^/]*\.json$", 1).try_cast("long")
-    return raw.select(account.alias("account_id"), F.posexplode("transactions.booked").alias("seq", "t")).select("account_id", F.col("seq").cast("long").alias("seq"), "t.*")
+    return raw.select(bank.account_of_file().alias("account_id"), F.posexplode("transactions.booked").alias("seq", "t")).select("account_id", F.col("seq").cast("long").alias("seq"), "t.*")
 
 
 def importer(store: Store, enricher: merchants.Enricher | None = None, sinks: Mapping[str, triggers.Sink] | None = None) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: import, attach merchants, run triggers."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = ingest.import_batch(store, batch).rows
-        if enricher is not None:
-            rows = merchants.enrich(store, rows, enricher)
-        triggers.dispatch(store, rows, sinks or {})
+        ingest.import_batch(store, batch)
+        ingest.deliver(store, finish)
+
+    def finish(rows: DataFrame) -> None:
+        known = merchants.enrich(store, rows, enricher) if enricher is not None else rows
+        triggers.dispatch(store, known, sinks or {})
 
     return run
 

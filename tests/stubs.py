@@ -17,6 +17,30 @@ class Bank:
         return {"transactions": {"booked": [r for r in rows if not date_from or r["bookingDate"] >= date_from], "pending": [{}]}}
 
 
+    def _checked(self) -> None:
+        if self.config.get("broken"):
+            raise ConnectionError("no answer")
+
+    def details(self, key: str) -> dict:
+        self._checked()
+        return {"account": {"resourceId": f"r{key}", "iban": f"DE{key}", "currency": "EUR"}}
+
+    def balances(self, key: str) -> dict:
+        self._checked()
+        return {"balances": [{"balanceAmount": {"amount": "5.5", "currency": "EUR"}}]}
+
+    def institutions(self, country: str) -> list[dict]:
+        return [{"id": f"b-{country}", "name": "B", "countries": [country]}, {"id": "both", "name": "B", "countries": ["DE", "FR"]}]
+
+    def rates(self, base: str) -> dict:
+        return {"base_code": base, "conversion_rates": {"EUR": 0.9}}
+
+
+class Categories:
+    def category(self, names: list[str], transaction: dict) -> str:
+        return {"C0": "food", "C1": "rent"}.get(transaction["creditor_name"], "unheard of")
+
+
 class Enrichment:
     def merchant(self, request: dict) -> dict | None:
         if "boom" in request["description"]:

@@ -107,6 +107,84 @@ def test_manual_run_covers_all_named_accounts(spark):
     assert triggers.manual_run(rows, trigger("[]"), 2).count() == 0
 
 
+def test_the_whole_body_that_is_posted(spark):
+    t = F.struct(F.lit(dt.date(2024, 1, 2)).alias("booking_date"), F.lit("3.10").alias("transaction_amount"), F.lit("EUR").alias("transaction_amount_currency"), F.lit("C").alias("creditor_name"), F.lit("D").alias("debtor_name"), F.lit("n").alias("remittance_information"), F.lit("e").alias("external_id"))
+    calls = spark.range(1).select(F.create_map(F.lit("account_id"), F.lit("7")).alias("settings"), t.alias("transaction"), F.lit(5).cast("long").alias("category_id"))
+    body = json.loads(calls.select(F.to_json(sinks.request_body(calls))).first()[0])
+    row = {"category_id": 5, "asset_id": 7, "date": "2024-01-02", "amount": "3.10", "currency": "eur", "payee": "C", "notes": "n", "status": "cleared", "external_id": "e"}
+    assert body == {"transactions": [row], "apply_rules": True, "check_for_recurring": True, "debit_as_negative": True, "skip_balance_update": False}
+
+
+def test_a_chooser_picks_categories_where_a_key_is_set(spark):
+    t = lambda i: F.struct(F.lit(f"e{i}").alias("external_id"), F.lit(f"C{i}").alias("creditor_name"))
+    keyed = F.create_map(F.lit("category_key"), F.lit("k"))
+    calls = spark.range(4).select("id", F.when(F.col("id") < 3, keyed).otherwise(F.create_map(F.lit("x"), F.lit("y"))).alias("settings"), F.when(F.col("id") == 0, t(0)).when(F.col("id") == 1, t(1)).when(F.col("id") == 2, t(2)).otherwise(t(3)).alias("transaction"))
+    categories = spark.createDataFrame([(9, "food"), (4, "food"), (5, "rent")], "id long, name string")
+    run = sinks.choosing_sink(lambda c: c, sinks.client_chooser("stubs:Categories", ["food", "rent"]), categories)
+    assert {r["id"]: r["category_id"] for r in run(calls).select("id", "category_id").collect()} == {0: 4, 1: 5, 2: None, 3: None}
+
+
+def test_triggers_of_an_interrupted_import_run_later(spark, store, tmp_path):
+    """Rows are stored, and then the process dies before the triggers: the next import runs them, and nothing twice."""
+    import_two(spark, store, tmp_path)
+    add_triggers(spark, store)
+    run = imports.importer(store, sinks=sinks.registry(budget=sinks.client_sink("stubs:Budget")))
+    wire = bank.read_transactions(spark, str(tmp_path / "in"))
+    run(wire, 1)
+    done = lambda: sorted(json.loads(r["payload"])["external_id"] for r in store.read("trigger_log").where("status = 'ok'").collect())
+    assert done() == ["t1", "t2"]
+    run(wire, 2)
+    assert done() == ["t1", "t2"] and ingest.undelivered(store).count() == 0
+
+
+def test_what_was_stored_before_deliveries_is_not_run(spark, store):
+    store.append("transactions", spark.createDataFrame([(3, "old", 1, 11, "2024-01-01")], "id long, external_id string, account_id long, user_id long, booking_date string"))
+    ingest.start_deliveries(store, store.version("transactions"))
+    assert ingest.undelivered(store).count() == 0
+
+
+def test_rows_of_unknown_accounts_are_set_aside(spark, store, tmp_path):
+    land(tmp_path / "in", 99, [booked("2024-03-10", "-1.00", "A", "x1")])
+    done = ingest.import_batch(store, bank.read_transactions(spark, str(tmp_path / "in")))
+    assert done.rows.count() == 0 and [r["reason"] for r in done.quarantine.collect()] == ["unknown account"]
+
+
+def test_file_names_mean_the_same_in_batch_and_stream(spark, store, tmp_path):
+    land(tmp_path / "in", 1, [booked("2024-03-10", "-1.00", "A", "x1")])
+    (tmp_path / "in" / "1.json").rename(tmp_path / "in" / "1_2026-01.json")
+    assert [r["account_id"] for r in bank.read_transactions(spark, str(tmp_path / "in")).collect()] == [1]
+    imports.start(spark, store, str(tmp_path / "in"), str(tmp_path / "check")).awaitTermination()
+    assert [r["account_id"] for r in store.read("transactions").collect()] == [1]
+
+
+def test_clients_for_details_balances_institutions_and_rates(spark):
+    held = spark.createDataFrame([(1, "{}"), (2, '{"broken": "1"}')], "id long, config string")
+    for fetch, want in ((bank.fetch_details, "DE1"), (bank.fetch_balances, "5.5")):
+        good, bad = fetch(held, "stubs:Bank")
+        assert want in str(good.collect()) and [r["account_id"] for r in good.collect()] == [1]
+        assert [(r["account_id"], r["error"]) for r in bad.collect()] == [(2, "ConnectionError: no answer")]
+    keys = lambda *k: spark.createDataFrame([(x, "{}") for x in k], "key string, config string")
+    assert sorted(r["id"] for r in bank.fetch_institutions(keys("DE", "FR"), "stubs:Bank")[0].collect()) == ["b-DE", "b-FR", "both"]
+    assert [(r["base_code"], r["conversion_rates"]) for r in bank.fetch_rates(keys("USD"), "stubs:Bank")[0].collect()] == [("USD", {"EUR": 0.9})]
+
+
+def test_fetch_up_to_a_date(spark):
+    held = spark.createDataFrame([(1, None)], "id long, config string")
+    start = spark.createDataFrame([(1, None)], "account_id long, from_date date")
+    wire, errors = bank.fetch(spark, held, start, "stubs:Bank", date_to="2024-03-01")
+    assert [r["transactionId"] for r in wire.collect()] == ["a1"] and errors.count() == 0
+    listed = json.dumps([{"account_id": 1, "date_to": "2024-03-01"}])
+    spark.dataSource.register(bank.BankSource)
+    assert spark.read.format("coffer-bank").option("client", "stubs:Bank").option("accounts", listed).load().count() == 1
+
+
+def test_requests_have_country_and_both_amounts(spark):
+    rows = spark.createDataFrame([(1, "-1234567.89", "CHF"), (2, "x", "XXQ")], "id long, transaction_amount string, transaction_amount_currency string")
+    rows = rows.withColumns({"creditor_name": F.lit("C"), "debtor_name": F.lit(None).cast("string"), "remittance_information": F.lit("r"), "booking_date": F.lit("2024-01-02").cast("date"), "user_id": F.lit(1)})
+    got = {r["transaction_id"]: (r["amount_text"], r["amount"], r["country"]) for r in enrichment.requests(rows).collect()}
+    assert got == {1: ("-1234567.89", 1234567.89, "CH"), 2: ("x", 0.0, "")}
+
+
 def test_landing_sink(spark, tmp_path):
     t = F.struct(F.lit(dt.date(2024, 1, 2)).alias("booking_date"), F.lit("3").alias("transaction_amount"), F.lit("EUR").alias("transaction_amount_currency"), F.lit(None).cast("string").alias("creditor_name"), F.lit("D").alias("debtor_name"), F.lit(None).cast("string").alias("remittance_information"), F.lit("e").alias("external_id"))
     calls = spark.range(2).select(F.when(F.col("id") == 0, F.create_map(F.lit("api_key"), F.lit("k"), F.lit("account_id"), F.lit("7"))).otherwise(F.create_map(F.lit("api_key"), F.lit("k"))).alias("settings"), t.alias("transaction"))

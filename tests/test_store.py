@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coffer import schemas
-from coffer.operators import lookup
+from coffer.operators import lookup, ranking
 from coffer.operators.store import Conflict, Store, shown
 
 
@@ -17,7 +17,7 @@ def store(spark, tmp_path):
 
 def add_users(spark, store, *names: str):
     rows = spark.createDataFrame([(n, f"{n}@example.com") for n in names], "name string, email string")
-    return store.insert("users", rows, F.lit(0), [F.col("name")])
+    return store.insert("users", rows, [F.col("name")])
 
 
 def test_ids_versions_and_segments(spark, store):
@@ -61,6 +61,26 @@ def test_second_writer_fails(spark, store):
         store._commit("users", 1, [])
 
 
+def test_a_change_between_read_and_write_is_a_conflict(spark, store):
+    """Patches, inserts and what is computed from a version: none of them overwrites another writer's change."""
+    add_users(spark, store, "a", "b")
+    base = store.version("users")
+    store.patch("users", spark.createDataFrame([(1, "first")], "id long, name string"))
+    change = spark.createDataFrame([(1, "second")], "id long, name string")
+    for act in (lambda: store.patch("users", change, base=base), lambda: store.upsert("users", change, base=base), lambda: store.insert("users", change.drop("id"), [F.col("name")], base=base), lambda: store.append("users", change, base)):
+        with pytest.raises(Conflict):
+            act()
+    assert {r["id"]: r["name"] for r in store.read("users").collect()} == {1: "first", 2: "b"}
+
+
+def test_numbers_follow_the_order_over_partitions(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS", 50)
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), F.lit("one day").alias("day")).repartition(6)
+    got = {r["k"]: r["id"] for r in ranking.numbered(rows, [F.col("day"), F.col("k")], 11).collect()}
+    assert got == {k: 11 + k for k in range(500)}
+    assert ranking.numbered(rows.limit(0), [F.col("k")], 1).count() == 0
+
+
 def test_lookups(spark, store):
     add_users(spark, store, "a", "b")
     users = store.read("users")
