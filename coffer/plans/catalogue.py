@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coffer import schemas
 from coffer.functions import currency, scalars
 from coffer.operators import accounts as account_ops
-from coffer.operators import ingest, lookup, merchants, ranking, rates, search, store, triggers
+from coffer.operators import ingest, lineage, lookup, merchants, ranking, rates, search, store, triggers
 from coffer.plans import views
 from coffer.sources import enrichment, sinks
+from coffer.streaming import imports
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -206,7 +209,8 @@ def tx_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events")
 def event_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    """The flat JSON objects of events, read as a trigger's parameters are."""
+    return views.table(spark, sf_dir, "events").select("event_id", "event_type", F.try_element_at(scalars.parse_params(F.col("props")), F.lit("k")).alias("k"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")
@@ -288,10 +292,10 @@ def enrich_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merchants.attach(rows, found).select("id", "merchant_id")
 
 
-@query("SELECT id AS transaction_id, concat(coalesce(creditor_name, ''), ' ', coalesce(debtor_name, ''), ' ', external_id) AS description, 'incoming' AS entry_type, CAST(7.25 AS FLOAT) AS amount, strftime(booking_date, '%Y-%m-%d') AS date FROM transactions")
+@query("SELECT id AS transaction_id, concat(coalesce(creditor_name, ''), ' ', coalesce(debtor_name, ''), ' ', external_id) AS description, 'incoming' AS entry_type, '7.25' AS amount_text, CAST(7.25 AS DOUBLE) AS amount, 'AD' AS country, strftime(booking_date, '%Y-%m-%d') AS date FROM transactions")
 def enrichment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.transactions(spark, sf_dir).withColumns({"remittance_information": F.col("external_id"), "transaction_amount": F.lit("7.25"), "transaction_amount_currency": F.lit("EUR")})
-    return enrichment.requests(rows).select("transaction_id", "description", "entry_type", "amount", "date")
+    return enrichment.requests(rows).select("transaction_id", "description", "entry_type", "amount_text", "amount", "country", "date")
 
 
 # Triggers and sinks
@@ -319,10 +323,37 @@ def sink_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Rates, balances and changes to stored rows
 
 
-@query("SELECT base_code, code, rate FROM (VALUES ('USD', 'EUR', CAST(0.9 AS DOUBLE)), ('USD', 'JPY', CAST(150.5 AS DOUBLE))) v(base_code, code, rate)")
+_RATES_SQL = "SELECT CASE id % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' ELSE 'CHF' END AS base_code, u.code, CAST(CASE u.code WHEN 'EUR' THEN id + 0.5 ELSE id * 2 END AS DOUBLE) AS rate FROM accounts, (VALUES ('EUR'), ('JPY')) u(code)"
+
+
+def _rate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer for each account: a known base, and for every fourth an unknown one too; two known codes and an unknown one."""
+    number = F.col("id").cast("double")
+    base = F.when(F.col("id") % 3 == 0, "EUR").when(F.col("id") % 3 == 1, "USD").otherwise("CHF")
+    rates_ = F.create_map(F.lit("EUR"), number + 0.5, F.lit("XXQ"), F.lit(1.0), F.lit("JPY"), number * 2)
+    good = views.accounts(spark, sf_dir).select("id", base.alias("base_code"), rates_.alias("conversion_rates"))
+    return good.unionByName(good.where("id % 4 = 0").withColumn("base_code", F.lit("QQQ")))
+
+
+@query(_RATES_SQL)
 def rate_map_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = spark.createDataFrame([("USD", {"EUR": 0.9, "XXQ": 1.2, "JPY": 150.5}), ("QQQ", {"EUR": 1.0})], "base_code string, conversion_rates map<string,double>")
-    return rates.listed(rates.known_rates(answers)).select("base_code", "code", "rate")
+    return rates.listed(rates.known_rates(_rate_answers(spark, sf_dir))).select("base_code", "code", "rate")
+
+
+@query(f"SELECT base_code, code, max(rate) AS rate FROM ({_RATES_SQL}) r WHERE base_code = 'USD' GROUP BY base_code, code")
+def rates_of_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest of many rates of a base; here the later is the larger."""
+    held = rates.known_rates(_rate_answers(spark, sf_dir)).withColumn("last_update", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, conversion_rates['EUR'])"))
+    return rates.listed(lookup.rates_of(held, "USD")).select("base_code", "code", "rate")
+
+
+@query("SELECT base_code, code, rate FROM (VALUES ('EUR', 'EUR', 9.5), ('EUR', 'JPY', 18.0), ('USD', 'EUR', 10.5), ('USD', 'JPY', 20.0)) v(base_code, code, rate) WHERE EXISTS (SELECT 1 FROM accounts WHERE id = 10)")
+def rates_refresh_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of two bases inserted and then replaced in a store."""
+    held, answers = _store(spark), _rate_answers(spark, sf_dir)
+    for ids in ((6, 7), (9, 10)):
+        rates.refresh(held, answers.where(F.col("id").isin(*ids)))
+    return rates.listed(held.read("exchange_rates")).select("base_code", "code", F.col("rate").cast("decimal(3,1)").alias("rate"))
 
 
 @query("SELECT id AS account_id, CAST(CASE WHEN id % 5 <> 0 AND id % 7 <> 0 THEN id % 100 + 0.5 END AS FLOAT) AS balance, CASE WHEN id % 7 = 0 THEN 'no balance' WHEN id % 5 = 0 THEN 'not a number: n/a' END AS reason FROM accounts")
@@ -335,10 +366,38 @@ def balance_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad, allowMissingColumns=True)
 
 
-@query("SELECT id, external_id FROM transactions WHERE id NOT IN (3, 5)")
+@query("SELECT id, external_id FROM transactions WHERE id % 3 <> 0")
 def delete_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = spark.createDataFrame([(3,), (5,)], "id long")
-    return views.transactions(spark, sf_dir).select("id", "external_id").join(gone, "id", "left_anti")
+    """Every third transaction deleted from a store."""
+    held, rows = _stored(spark, sf_dir)
+    held.delete("transactions", rows.where("id % 3 = 0").select("id"))
+    return held.read("transactions").select("id", "external_id")
+
+
+@query("SELECT id, CASE WHEN id % 5 = 0 THEN 'new' ELSE external_id END AS external_id FROM transactions UNION ALL SELECT -id, 'added' FROM transactions WHERE id % 7 = 0")
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth row replaced and every seventh added under a new key."""
+    held, rows = _stored(spark, sf_dir)
+    changed = rows.where("id % 5 = 0").withColumn("external_id", F.lit("new")).unionByName(rows.where("id % 7 = 0").withColumns({"id": -F.col("id"), "external_id": F.lit("added")}))
+    held.upsert("transactions", changed)
+    return held.read("transactions").select("id", "external_id")
+
+
+@query("SELECT id, CASE WHEN id % 5 = 0 THEN 'patched' ELSE debtor_name END AS debtor_name, creditor_name FROM transactions")
+def store_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls of a patch change nothing."""
+    held, rows = _stored(spark, sf_dir)
+    held.patch("transactions", rows.where("id % 5 = 0").select("id", F.lit("patched").alias("debtor_name"), F.lit(None).cast("string").alias("creditor_name")))
+    return held.read("transactions").select("id", "debtor_name", "creditor_name")
+
+
+@query("SELECT row_number() OVER (ORDER BY booking_date, t.id) AS id, external_id FROM transactions t")
+def store_insert_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two inserts, the earlier days first: ids go on where the first ended."""
+    held, rows = _store(spark), _canonical(spark, sf_dir)
+    for part in (rows.where("booking_date < date'1996-01-01'"), rows.where("booking_date >= date'1996-01-01'")):
+        held.insert("transactions", part.drop("id"), [F.col("booking_date"), F.substring("external_id", 3, 20).cast("long")])
+    return held.read("transactions").select("id", "external_id")
 
 
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN 'P' || CAST(id AS VARCHAR) ELSE institution_name END AS institution_name, number FROM accounts")
@@ -352,7 +411,7 @@ def patch_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT id, 1000 + row_number() OVER (ORDER BY booking_date, id) - 1 AS new_id FROM transactions")
 def id_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.transactions(spark, sf_dir).select("id", "booking_date")
-    return ranking.numbered(rows, F.col("booking_date"), [F.col("id")], 1000, "new_id").select("id", "new_id")
+    return ranking.numbered(rows, [F.col("booking_date"), F.col("id")], 1000, "new_id").select("id", "new_id")
 
 
 @query("SELECT user_id, event_id AS transaction_id, CAST(g.id AS BIGINT) AS trigger_id FROM events e JOIN (SELECT id, user_id AS u FROM triggers WHERE filter = '[]' AND event = 'transaction_created') g ON e.user_id = g.u WHERE e.event_type = 'purchase'")
@@ -362,6 +421,350 @@ def event_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triggers.matched(events, views.triggers(spark)).select(F.col("transaction.user_id").alias("user_id"), F.col("transaction.id").alias("transaction_id"), "trigger_id")
 
 
-@query("SELECT code, n_countries FROM (VALUES ('EUR', 24), ('USD', 9), ('CHF', 2)) v(code, n_countries)")
+@query("SELECT id, CASE id % 4 WHEN 0 THEN 'AD' WHEN 1 THEN 'US' WHEN 2 THEN 'CH' END AS country FROM transactions")
 def currency_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return currency.currency_table(spark).where(F.col("code").isin("EUR", "USD", "CHF")).select("code", F.size("countries").alias("n_countries"))
+    """The first country that uses each row's currency."""
+    code = F.when(F.col("id") % 4 == 0, "EUR").when(F.col("id") % 4 == 1, "USD").when(F.col("id") % 4 == 2, "CHF").otherwise("XXQ")
+    return views.transactions(spark, sf_dir).select("id", currency.first_country(code).alias("country"))
+
+
+# Stores: what commands do to stored tables, read back
+
+
+def _store(spark: SparkSession) -> store.Store:
+    """An empty store in the shared folder."""
+    return store.Store(spark, f"{lineage.folder(spark)}/store-{uuid.uuid4().hex}")
+
+
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.transactions(spark, sf_dir)
+    return rows.withColumns({"transaction_amount": F.lit("7.25"), "transaction_amount_currency": F.lit("EUR"), "remittance_information": F.col("external_id")}).drop("amount")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[store.Store, DataFrame]:
+    """A store with all transactions, in two segments, and its rows."""
+    held, rows = _store(spark), _canonical(spark, sf_dir)
+    held.append("transactions", rows.where("id % 2 = 0"))
+    held.append("transactions", rows.where("id % 2 = 1"))
+    return held, held.read("transactions")
+
+
+def _with_accounts(spark: SparkSession, sf_dir: str) -> store.Store:
+    """A store with all accounts; none has a config."""
+    held = _store(spark)
+    rows = views.accounts(spark, sf_dir).select("id", "user_id", "institution_name", "number", F.lit("bank").alias("account_type"), F.lit("old").alias("name"), F.lit("EUR").alias("currency"), F.lit("active").alias("status"), F.lit("").alias("details"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source_id"))
+    held.append("accounts", rows)
+    return held
+
+
+def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bank's details of every account: every other one has a new name, all have their number."""
+    rows = views.accounts(spark, sf_dir)
+    fields = {"resourceId": F.concat(F.lit("n"), F.col("id").cast("string")), "displayName": F.when(F.col("id") % 2 == 0, F.concat(F.lit("N"), F.col("id").cast("string"))), "iban": F.when(F.col("id") % 3 == 0, F.col("number")), "bban": F.when(F.col("id") % 3 != 0, F.col("number"))}
+    made = F.struct(*[(fields.get(f.name, F.lit(None)).cast(f.dataType)).alias(f.name) for f in schemas.WIRE_DETAILS.fields])
+    return rows.select(F.col("id").alias("account_id"), "institution_name", "user_id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("source_id"), made.alias("details"))
+
+
+@query(f"SELECT {_TX} FROM transactions")
+def tx_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows as a store gives them back."""
+    return _stored(spark, sf_dir)[1].select(*_TX_COLUMNS[:7], "merchant_id").join(views.transactions(spark, sf_dir).select("id", "amount"), "id").select(*_TX_COLUMNS)
+
+
+@query("SELECT id, name, concat(lower(name), '@x.example') AS email FROM users WHERE name = 'CHINA'")
+def user_by_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = views.users(spark, sf_dir).withColumn("email", F.concat(F.lower("name"), F.lit("@x.example")))
+    return lookup.user_by_email(users, "china@x.example")
+
+
+@query("SELECT id, external_id FROM transactions WHERE id = 6 AND user_id = (SELECT user_id FROM transactions WHERE id = 6)")
+def tx_by_id_and_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.transactions(spark, sf_dir)
+    owner = lookup.require(rows, id=6)["user_id"]
+    return lookup.transaction_of_user(rows, 6, owner).select("id", "external_id")
+
+
+def _named_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merchants with websites and external ids that two share."""
+    pair = F.expr("CAST(id div 2 AS string)")
+    return views.merchants(spark, sf_dir).select("id", F.concat(F.lit("m"), pair).alias("name"), F.concat(F.lit("w"), pair).alias("website"), F.concat(F.lit("e"), pair).alias("external_id"))
+
+
+@query("SELECT min(id) AS id, 'm3' AS name FROM merchants WHERE id // 2 = 3")
+def merchant_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.merchant_by_name(_named_merchants(spark, sf_dir), "m3", "w3").select("id", "name")
+
+
+@query("SELECT min(id) AS id, 'e4' AS external_id FROM merchants WHERE id // 2 = 4")
+def merchant_by_external_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.merchant_by_external_id(_named_merchants(spark, sf_dir), "e4").select("id", "external_id")
+
+
+@query("SELECT id AS seq, CASE WHEN id % 3 = 0 THEN (SELECT min(m.id) FROM merchants m WHERE m.id // 2 = t.account_id % 50) END AS merchant_id FROM transactions t")
+def merchant_resolve_older(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older rule, by external id alone: names and websites that are stored do not count."""
+    key = (F.col("account_id") % 50).cast("string")
+    wanted = views.transactions(spark, sf_dir).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("e"), key)).alias("external_id"), F.concat(F.lit("m"), key).alias("name"), F.concat(F.lit("w"), key).alias("website"))
+    return merchants.by_external_id(wanted, _named_merchants(spark, sf_dir))
+
+
+_FUNCTIONS = "(SELECT id AS id, name, CASE WHEN id % 2 = 0 THEN 'budget' ELSE 'other' END AS function_type, id % 5 AS user_id FROM users) f"
+
+
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.users(spark, sf_dir).select("id", "name", F.when(F.col("id") % 2 == 0, "budget").otherwise("other").alias("function_type"), F.lit("").alias("source"), (F.col("id") % 5).alias("user_id"))
+
+
+@query(f"SELECT id, name, function_type, user_id FROM {_FUNCTIONS} WHERE user_id = 3")
+def functions_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.functions_of_user(_functions(spark, sf_dir), 3).select("id", "name", "function_type", "user_id")
+
+
+@query(f"SELECT id, name, function_type, user_id FROM {_FUNCTIONS} WHERE id = 4")
+def function_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.one(_functions(spark, sf_dir), id=4).select("id", "name", "function_type", "user_id")
+
+
+@query(f"SELECT id, CASE WHEN id = 2 THEN 'renamed' ELSE name END AS name FROM {_FUNCTIONS} WHERE id <> 3")
+def functions_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function deleted and another renamed."""
+    held = _store(spark)
+    held.append("functions", _functions(spark, sf_dir))
+    held.delete("functions", spark.createDataFrame([(3,)], "id long"))
+    held.patch("functions", spark.createDataFrame([(2, "renamed")], "id long, name string"))
+    return held.read("functions").select("id", "name")
+
+
+@query("SELECT id, user_id, event, CASE WHEN id = 2 THEN '[]' ELSE filter END AS filter FROM triggers WHERE id <> 4")
+def triggers_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triggers added in order, one deleted, one given another filter."""
+    held = _store(spark)
+    triggers.add_trigger(held, views.triggers(spark).drop("id"))
+    held.delete("triggers", held.read("triggers").where("event = 'other'").select("id"))
+    held.patch("triggers", held.read("triggers").where("filter = '[{\"Account\":[17,57]}]'").select("id", F.lit("[]").alias("filter")))
+    return held.read("triggers").select("id", "user_id", "event", "filter")
+
+
+@query("SELECT id, user_id, event, filter FROM triggers WHERE id = 2 AND user_id = 3")
+def trigger_by_id_and_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.one(views.triggers(spark), id=2, user_id=3).select("id", "user_id", "event", "filter")
+
+
+_IMPORT_SQL = "SELECT external_id, t.account_id, t.user_id, booking_date FROM transactions t JOIN accounts a ON a.id = t.account_id"
+
+
+def _wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transactions as a bank's answer, with seq."""
+    rows = views.transactions(spark, sf_dir)
+    fields = {"transactionId": F.col("external_id"), "bookingDate": F.col("booking_date"), "creditorName": F.col("creditor_name"), "debtorName": F.col("debtor_name"), "remittanceInformationUnstructured": F.col("external_id"), "transactionAmount": F.struct(F.lit("-7.25").alias("amount"), F.lit("EUR").alias("currency"))}
+    return rows.select("account_id", F.col("id").alias("seq"), *[(fields[f.name] if f.name in fields else F.lit(None).cast(f.dataType)).alias(f.name) for f in schemas.WIRE_TRANSACTION.fields])
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> store.Store:
+    held = _with_accounts(spark, sf_dir)
+    ingest.import_batch(held, _wire(spark, sf_dir))
+    return held
+
+
+@query(_IMPORT_SQL)
+def import_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An import of all rows, and the same again, which stores nothing."""
+    held = _imported(spark, sf_dir)
+    ingest.import_batch(held, _wire(spark, sf_dir))
+    return held.read("transactions").select("external_id", "account_id", "user_id", "booking_date")
+
+
+@query("SELECT 'unknown account' AS reason, external_id FROM transactions WHERE account_id % 10 = 7")
+def import_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of accounts that a store lacks are set aside."""
+    held = _store(spark)
+    held.append("accounts", views.accounts(spark, sf_dir).where("id % 10 <> 7").select("id", "user_id", "institution_name", "number"))
+    return ingest.import_batch(held, _wire(spark, sf_dir)).quarantine.select("reason", "external_id")
+
+
+@query("SELECT row_number() OVER (ORDER BY booking_date, account_id, id) AS id, external_id FROM transactions")
+def import_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of imported rows follow day, account and the order of the answer."""
+    return _imported(spark, sf_dir).read("transactions").select("id", "external_id")
+
+
+@query("SELECT external_id FROM transactions WHERE booking_date >= DATE '1998-01-01'")
+def import_undelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second import stored and no trigger was run for, as after a crash."""
+    held, wire = _with_accounts(spark, sf_dir), _wire(spark, sf_dir)
+    held.append("transactions", _canonical(spark, sf_dir).where("booking_date < date'1998-01-01'"))
+    ingest.import_batch(held, wire.where("bookingDate >= date'1998-01-01'").withColumn("bookingDate", F.lit("1999-01-01").cast("date")))
+    return ingest.undelivered(held).select("external_id")
+
+
+@query("SELECT id, 'n' || CAST(id AS VARCHAR) AS source_id, '{\"account_id\":\"n' || CAST(id AS VARCHAR) || '\"}' AS config FROM accounts")
+def accounts_relink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All accounts pointed at a new consent, matched by number, institution and user."""
+    held = _with_accounts(spark, sf_dir)
+    account_ops.relink(held, _details(spark, sf_dir))
+    return held.read("accounts").select("id", "source_id", "config")
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'N' || CAST(id AS VARCHAR) ELSE 'old' END AS name, number, institution_name FROM accounts")
+def accounts_populate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details filled in; what the bank does not say stays."""
+    held = _with_accounts(spark, sf_dir)
+    account_ops.populate_details(held, _details(spark, sf_dir).drop("source_id"))
+    return held.read("accounts").select("id", "name", "number", "institution_name")
+
+
+@query("SELECT row_number() OVER (ORDER BY user_id, 'n' || CAST(id AS VARCHAR)) AS id, number, user_id, 'bank' AS account_type, '{\"account_id\":\"n' || CAST(id AS VARCHAR) || '\"}' AS config FROM accounts")
+def accounts_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All accounts of a consent stored with type and config."""
+    held = _store(spark)
+    account_ops.add_accounts(held, _details(spark, sf_dir), "bank")
+    return held.read("accounts").select("id", "number", "user_id", "account_type", "config")
+
+
+@query("SELECT id, CAST(CASE WHEN id % 5 <> 0 THEN id % 100 + 0.5 END AS FLOAT) AS balance FROM accounts")
+def accounts_balances_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances stored where they can be read, the others left alone."""
+    held = _with_accounts(spark, sf_dir)
+    text = F.when(F.col("id") % 5 == 0, F.lit("n/a")).otherwise(F.concat((F.col("id") % 100).cast("string"), F.lit(".5")))
+    account_ops.refresh_balances(held, views.accounts(spark, sf_dir).select(F.col("id").alias("account_id"), F.array(F.struct(F.struct(text.alias("amount")).alias("balanceAmount"))).alias("balances")))
+    return held.read("accounts").select("id", "balance")
+
+
+_MERCHANT_OF = "'M' || CAST(account_id % 20 AS VARCHAR)"
+
+
+def _enricher(rows: DataFrame) -> DataFrame:
+    """Knows the rows with a creditor; twenty merchants by account."""
+    name = F.concat(F.lit("M"), (F.col("account_id") % 20).cast("string"))
+    fields = {"name": name, "website": F.lower(name)}
+    made = F.struct(*[(fields[f.name] if f.name in fields else F.lit(None).cast(f.dataType)).alias(f.name) for f in schemas.NEW_MERCHANT.fields])
+    return rows.where("creditor_name IS NOT NULL").select(F.col("id").alias("transaction_id"), made.alias("merchant"))
+
+
+@query(f"SELECT t.id, CASE WHEN creditor_name IS NOT NULL THEN {_MERCHANT_OF} END AS name FROM transactions t")
+def enrich_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows enriched in a store: merchants are inserted once and attached, rows that are not recognised stay."""
+    held, rows = _store(spark), _canonical(spark, sf_dir).withColumn("merchant_id", F.lit(None).cast("long"))
+    held.append("transactions", rows)
+    merchants.enrich(held, held.read("transactions"), _enricher)
+    return held.read("transactions").join(held.read("merchants").select(F.col("id").alias("merchant_id"), "name"), "merchant_id", "left").select("id", "name")
+
+
+@query("SELECT DISTINCT 'M' || CAST(account_id % 20 AS VARCHAR) AS name FROM transactions WHERE creditor_name IS NOT NULL")
+def merchants_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _store(spark)
+    found = _enricher(views.transactions(spark, sf_dir))
+    merchants.create_or_fetch(held, found.select(F.col("transaction_id").alias("seq"), "merchant.*"))
+    return held.read("merchants").select("name")
+
+
+@query(f"SELECT id, CASE WHEN creditor_name IS NOT NULL THEN {_MERCHANT_OF} END AS name FROM (SELECT * FROM transactions WHERE merchant_id IS NULL ORDER BY booking_date DESC, id DESC LIMIT 100) n")
+def backfill_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the newest hundred rows without a merchant."""
+    held = _stored(spark, sf_dir)[0]
+    done = merchants.backfill(held, _enricher, 100).select("id", "merchant_id")
+    return done.join(held.read("merchants").select(F.col("id").alias("merchant_id"), "name"), "merchant_id", "left").select("id", "name")
+
+
+_CALLS_SQL = """SELECT g.id AS trigger_id, t.external_id, 'ok' AS status FROM triggers g JOIN transactions t ON g.user_id = t.user_id
+WHERE g.event = 'transaction_created' AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(from_json(g.filter, '[{"Account":["BIGINT"]}]')) AS p) z WHERE NOT list_contains(p.Account, t.account_id))"""
+
+
+@query(_CALLS_SQL)
+def dispatch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after all rows were dispatched twice to a sink that always succeeds: each call once."""
+    held, rows = _stored(spark, sf_dir)
+    held.append("triggers", views.triggers(spark))
+    held.append("functions", spark.createDataFrame([(1, "f", "fine", "", 1)], "id long, name string, function_type string, source string, user_id long"))
+    fine = lambda calls: calls.withColumns({"status": F.lit("ok"), "console": F.array().cast("array<string>")})
+    for _ in range(2):
+        triggers.dispatch(held, rows, sinks.registry(fine=fine))
+    return held.read("trigger_log").select("trigger_id", F.get_json_object("payload", "$.external_id").alias("external_id"), "status")
+
+
+@query(f"SELECT trigger_id, external_id FROM ({_CALLS_SQL}) c WHERE trigger_id IN (SELECT id FROM triggers WHERE user_id = 7)")
+def trigger_log_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = triggers.matched(views.transactions(spark, sf_dir), views.triggers(spark))
+    log = found.select("trigger_id", F.col("transaction.external_id").alias("external_id"), F.col("transaction.user_id").alias("user_id"))
+    return lookup.log_of_user(log, 7).select("trigger_id", "external_id")
+
+
+@query("SELECT id, CASE WHEN creditor_name = '1-URGENT' THEN CAST(11 AS BIGINT) WHEN creditor_name = '5-LOW' THEN CAST(12 AS BIGINT) END AS category_id FROM transactions")
+def sink_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories chosen by name; of two with one name the smaller id, unknown names and rows without a choice none."""
+    rows = views.transactions(spark, sf_dir)
+    calls = rows.select("id", F.struct("external_id", "creditor_name").alias("transaction"), F.create_map(F.lit("category_key"), F.lit("k")).alias("settings"))
+    categories = spark.createDataFrame([(11, "1-URGENT"), (13, "1-URGENT"), (12, "5-LOW")], "id long, name string")
+    chooser = lambda c: c.select(F.col("transaction.external_id").alias("external_id"), F.col("transaction.creditor_name").alias("category"))
+    return sinks.choosing_sink(lambda c: c, chooser, categories)(calls).select("id", "category_id")
+
+
+@query("""SELECT id, '{"transactions":[{"asset_id":42,"date":"' || strftime(booking_date, '%Y-%m-%d') || '","amount":"7.25","currency":"eur","payee":"' || coalesce(creditor_name, debtor_name, '') || '","notes":"' || coalesce(debtor_name, '') || '","status":"cleared","external_id":"' || external_id || '"}],"apply_rules":true,"check_for_recurring":true,"debit_as_negative":true,"skip_balance_update":false}' AS body FROM transactions""")
+def sink_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole body that is posted for each row."""
+    rows = views.transactions(spark, sf_dir).withColumns({"remittance_information": F.col("debtor_name"), "transaction_amount": F.lit("7.25"), "transaction_amount_currency": F.lit("EUR")})
+    calls = rows.select("id", F.struct(*rows.columns).alias("transaction"), F.create_map(F.lit("account_id"), F.lit("42")).alias("settings"))
+    return calls.select("id", F.to_json(sinks.request_body(calls)).alias("body"))
+
+
+@query("SELECT id, '7.25EUR' AS amount, 'EUR -> USD ' || CAST(id AS VARCHAR) AS exchange, '7.25' AS amount_text, CASE id % 2 WHEN 0 THEN 'AD' ELSE 'CH' END AS country FROM transactions")
+def amount_and_exchange_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.when(F.col("id") % 2 == 0, "EUR").otherwise("CHF")
+    rows = views.transactions(spark, sf_dir).withColumns({"remittance_information": F.lit(""), "transaction_amount": F.lit("7.25"), "transaction_amount_currency": code})
+    asked = enrichment.requests(rows).select(F.col("transaction_id").alias("id"), "amount_text", "country")
+    shown = rows.select("id", scalars.amount_text(F.col("transaction_amount"), F.lit("EUR")).alias("amount"), scalars.exchange_text(F.col("id").cast("string"), F.lit("EUR"), F.lit("USD")).alias("exchange"))
+    return shown.join(asked, "id").select("id", "amount", "exchange", "amount_text", "country")
+
+
+@query("SELECT id, CAST(booking_date AS TIMESTAMP) + INTERVAL 90 MINUTE AS at FROM transactions")
+def naive_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times with a zone as UTC without one."""
+    at = F.to_timestamp(F.concat(F.date_format("booking_date", "yyyy-MM-dd"), F.lit("T03:30:00+02:00")))
+    return views.transactions(spark, sf_dir).select("id", scalars.naive_utc(at).alias("at"))
+
+
+# Streams
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a stream of transactions: all files there are, in one micro-batch or more."""
+    schema = views.table(spark, sf_dir, "orders").schema
+    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    return orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("account_id"), F.col("o_orderdate").cast("date").alias("booking_date"))
+
+
+def _ran(stream: DataFrame, mode: str) -> DataFrame:
+    """What ``stream`` gives until all input is read, each micro-batch written to the shared folder."""
+    root = f"{lineage.folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{root}/out")
+
+
+@query("SELECT account_id, max(booking_date) AS newest FROM transactions GROUP BY account_id")
+def stream_newest_by_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest day of each account, kept as the state of a stream."""
+    found = _ran(imports.newest_by_account(_streamed(spark, sf_dir).select("account_id", "booking_date")), "update")
+    return found.groupBy("account_id").agg(F.max_by("newest", "batch").alias("newest"))
+
+
+@query("""SELECT g.id AS trigger_id, t.id AS transaction_id FROM triggers g JOIN (SELECT id, account_id, account_id % 25 AS user_id FROM transactions) t ON g.user_id = t.user_id
+WHERE g.event = 'transaction_created' AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(from_json(g.filter, '[{"Account":["BIGINT"]}]')) AS p) z WHERE NOT list_contains(p.Account, t.account_id))""")
+def stream_trigger_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of transactions against the static trigger table."""
+    rows = _streamed(spark, sf_dir).withColumn("user_id", F.col("account_id") % 25)
+    found = _ran(imports.matched_stream(rows, views.triggers(spark)).select("trigger_id", F.col("transaction.id").alias("transaction_id")), "append")
+    return found.drop("batch")
+
+
+@query("SELECT external_id, account_id FROM transactions")
+def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows imported micro-batch by micro-batch, each of them twice."""
+    held, wire = _with_accounts(spark, sf_dir), _wire(spark, sf_dir)
+    run = imports.importer(held)
+    for batch_id, part in enumerate((wire.where("bookingDate < date'1996-01-01'"), wire.where("bookingDate < date'1996-01-01'"), wire, wire)):
+        run(part, batch_id)
+    return held.read("transactions").select("external_id", "account_id")
