@@ -57,7 +57,7 @@ RATE = 0.15
 SEED = 4242
 #: Weights are averaged as multiples of 2^-20; a block has so many of them.
 UNIT, BLOCK = 1 << 20, 4096
-LANE_WORDS, LANE_SHARE = 1 << 22, 8
+LANE_WORDS, LANE_SHARE = 1 << 21, 4
 #: Places whose class logits are held at once: few enough to stay in a cache.
 ROWS = 1024
 #: Words that a lane turns into one stream at once.
@@ -156,6 +156,20 @@ def _is_bounded(out: np.ndarray, bias: np.ndarray) -> bool:
     return bool(np.abs(out).sum(-2).max() + np.abs(bias).max() < 60)
 
 
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """``h`` with a column of ones, which biases are the weights of."""
+    return np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
+
+
+def _flat(values: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Places of one column in each row, in the rows laid end to end."""
+    return np.arange(len(values)) * values.shape[1] + column
+
+
+def _at(values: np.ndarray, column: np.ndarray) -> np.ndarray:
+    return values.ravel()[_flat(values, column)]
+
+
 class Network:
     """The window network."""
 
@@ -172,32 +186,40 @@ class Network:
             h += self.w["embed"][i][ids[places + o]]
         return np.tanh(h, out=h)
 
+    def _outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Output weights of classes and of the words of each class, with their biases as one row more."""
+        return np.concatenate([self.w["class_out"], self.w["class_bias"][None]]), np.concatenate([self.w["word_out"], self.w["word_bias"][:, None]], axis=1)
+
+    def _by_class(self, kind: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+        """The order that puts the places of a class side by side, and where those of each class lie then."""
+        order = np.argsort(kind.astype(np.int16 if self.classes < 1 << 15 else np.int32), kind="stable")
+        ends = np.searchsorted(kind[order], np.arange(self.classes + 1)).tolist()
+        return order, [slice(a, z) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _word_logits(self, h: np.ndarray, words: np.ndarray, parts: list[slice]) -> np.ndarray:
+        """Logits of the words of each place's class; places side by side by class."""
+        out = np.empty((len(h), self.per_class), h.dtype)
+        for c, part in enumerate(parts):
+            if part.stop > part.start:
+                np.matmul(h[part], words[c], out=out[part])
+        return out
+
     def log_probability(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Log-probability of the id at each place, given the ids around it."""
-        h = self.hidden(ids, places)
+        h = _with_one(self.hidden(ids, places))
+        classes, words = self._outputs()
         classes_bounded, words_bounded = self._bounded()
         target = ids[places]
         kind, member = target // self.per_class, target % self.per_class
         hit, every = np.empty(len(places), h.dtype), np.empty(len(places), h.dtype)
         for a in range(0, len(places), ROWS):
             part = slice(a, a + ROWS)
-            raised, every[part] = _exponentials(self._class_logits(h[part]), classes_bounded)
-            hit[part] = raised[np.arange(len(raised)), kind[part]]
+            raised, every[part] = _exponentials(h[part] @ classes, classes_bounded)
+            hit[part] = _at(raised, kind[part])
         out = np.log((hit / every).astype(np.float64))
-        order = np.argsort(kind.astype(np.int16 if self.classes < 1 << 15 else np.int32), kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        h, member = h[order], member[order]
-        for c in range(self.classes):
-            part = slice(ends[c], ends[c + 1])
-            if ends[c + 1] > ends[c]:
-                raised, every[part] = _exponentials(h[part] @ self.w["word_out"][c] + self.w["word_bias"][c], words_bounded)
-                hit[part] = raised[np.arange(len(raised)), member[part]]
-        out[order] += np.log((hit / every).astype(np.float64))
-        return out
-
-    def _class_logits(self, h: np.ndarray) -> np.ndarray:
-        out = h @ self.w["class_out"]
-        out += self.w["class_bias"]
+        order, parts = self._by_class(kind)
+        raised, every = _exponentials(self._word_logits(h[order], words, parts), words_bounded)
+        out[order] += np.log((_at(raised, member[order]) / every).astype(np.float64))
         return out
 
     def gradient(self, ids: np.ndarray, places: np.ndarray) -> dict[str, np.ndarray]:
@@ -215,31 +237,27 @@ class Network:
         target = ids[places]
         kind, member = target // self.per_class, target % self.per_class
         classes_bounded, words_bounded = self._bounded()
-        g = {k: np.zeros(w.shape, np.float32) for k, w in self.w.items() if k.startswith("word")}
-        g["class_out"], g["class_bias"] = np.zeros_like(self.w["class_out"]), np.zeros_like(self.w["class_bias"])
+        classes, words = self._outputs()
+        h1 = _with_one(h)
+        to_classes, to_words = np.zeros_like(classes), np.zeros_like(words)
         dh, back = np.empty_like(h), np.ascontiguousarray(self.w["class_out"].T)
         for a in range(0, n, ROWS):
             part = slice(a, a + ROWS)
-            d = _softmax(self._class_logits(h[part]), classes_bounded)
-            d[np.arange(len(d)), kind[part]] -= 1
-            g["class_out"] += h[part].T @ d
-            g["class_bias"] += d.sum(0)
+            d = _softmax(h1[part] @ classes, classes_bounded)
+            d.ravel()[_flat(d, kind[part])] -= 1
+            to_classes += h1[part].T @ d
             dh[part] = d @ back
-        g["class_out"] /= n
-        g["class_bias"] /= n
-        # The words of a class side by side.
-        order = np.argsort(kind.astype(np.int16 if self.classes < 1 << 15 else np.int32), kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(self.classes + 1)).tolist()
-        sorted_h, sorted_dh, member = h[order], np.zeros_like(h), member[order]
-        for c in range(self.classes):
-            if ends[c + 1] > ends[c]:
-                part, out = slice(ends[c], ends[c + 1]), self.w["word_out"][c]
-                d = _softmax(sorted_h[part] @ out + self.w["word_bias"][c], words_bounded)
-                d[np.arange(len(d)), member[part]] -= 1
-                g["word_out"][c], g["word_bias"][c] = sorted_h[part].T @ d, d.sum(0)
-                sorted_dh[part] = d @ out.T
-        g["word_out"] /= n
-        g["word_bias"] /= n
+        order, parts = self._by_class(kind)
+        sorted_h, sorted_dh = h1[order], np.empty_like(h)
+        d = _softmax(self._word_logits(sorted_h, words, parts), words_bounded)
+        d.ravel()[_flat(d, member[order])] -= 1
+        for c, part in enumerate(parts):
+            if part.stop > part.start:
+                np.matmul(sorted_h[part].T, d[part], out=to_words[c])
+                np.matmul(d[part], self.w["word_out"][c].T, out=sorted_dh[part])
+        to_classes /= n
+        to_words /= n
+        g = {"class_out": to_classes[:-1], "class_bias": to_classes[-1], "word_out": to_words[:, :-1], "word_bias": to_words[:, -1]}
         dh[order] += sorted_dh
         dh *= (1 - h * h) / n
         g["bias"] = dh.sum(0)
@@ -283,6 +301,11 @@ class Trainer:
             self.step(ids, chosen[a : a + BATCH])
 
 
+def folded(codes: np.ndarray, first: int, buckets: int) -> np.ndarray:
+    """Codes as ids: cells become buckets."""
+    return np.where(codes < first, codes, first + (codes - first) % buckets).astype(np.int32)
+
+
 class Model:
     """A vocabulary, each cell's log share of its bucket for one of its words, and weights."""
 
@@ -296,7 +319,7 @@ class Model:
 
     def ids(self, codes: np.ndarray) -> np.ndarray:
         """Ids of known words as they are, and buckets of the others."""
-        return np.where(codes < self.first, codes, self.first + (codes - self.first) % self.buckets).astype(np.int32)
+        return folded(codes, self.first, self.buckets)
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Summed log-probability of each text's words, given as codes."""
@@ -355,20 +378,27 @@ def vocabulary(docs: DataFrame) -> tuple[Model, int]:
     return Model([w for w, _ in known], buckets, shares.astype(np.float32), initial(side)), int(total)
 
 
+def _id_type(model: Model) -> type:
+    return np.uint16 if model.weights["word_bias"].size < 1 << 16 else np.int32
+
+
 def encoded(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, h (a hash of the row), n_words and codes (32-bit numbers) of each row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.first, len(model.shares)))
+    """doc_id, h (a hash of the row), n_words, codes (32-bit numbers) and ids (numbers of 16 bits, or 32 if the vocabulary needs them) of each row of ``docs`` (doc_id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.first, len(model.shares), model.buckets))
     raw = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), text_bytes().alias("text"))
     kind = raw.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, first, cells = shared.value
+        known, first, cells, buckets = shared.value
         codes = Codes({w: i for i, w in enumerate(known)}, first, cells)
         for part, texts in _parts(batches, 2):
             found = [codes.of(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["doc_id", "h", "n_words", "codes"])
+            ids = [folded(f, first, buckets) for f in found]
+            columns = [part.column(0), part.column(1), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([f.astype(small).tobytes() for f in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n_words", "codes", "ids"])
 
-    return in_small_batches(raw).mapInArrow(run, f"doc_id {kind}, h bigint, n_words bigint, codes binary")
+    small = _id_type(model)
+    return in_small_batches(raw).mapInArrow(run, f"doc_id {kind}, h bigint, n_words bigint, codes binary, ids binary")
 
 
 def _averaged(copies: DataFrame, size: int, lanes: int) -> np.ndarray:
@@ -402,7 +432,7 @@ def trained(rows: DataFrame, model: Model, total: int) -> Model:
     """``model`` fitted to all ``rows`` (``encoded``, written) with ``total`` words. Without words the weights stay as they start."""
     session, size = rows.sparkSession.sparkContext, len(flat(model.weights))
     lanes = max(1, -(-total // max(LANE_WORDS, LANE_SHARE * size)))
-    dealt = rows.where("n_words > 0").select(F.pmod("h", F.lit(lanes)).cast("int").alias("lane"), "h", "codes")
+    dealt = rows.where("n_words > 0").select(F.pmod("h", F.lit(lanes)).cast("int").alias("lane"), "h", "ids")
     for r in range(ROUNDS if total else 0):
         copies = dealt.groupBy("lane").applyInArrow(_fitter(session.broadcast(model), r), "block int, lane int, windows bigint, moved binary")
         moved = _averaged(copies, size, lanes)
@@ -413,15 +443,15 @@ def trained(rows: DataFrame, model: Model, total: int) -> Model:
 
 
 def _fitter(shared: Broadcast, shift: int) -> Callable[[pa.Table], pa.Table]:
-    """Trains a copy of the shared model on a lane (lane, h, codes), and returns by how much its weights moved."""
+    """Trains a copy of the shared model on a lane (lane, h, ids), and returns by how much its weights moved."""
 
     def fit(table: pa.Table) -> pa.Table:
         m = shared.value
         trainer, start = Trainer(m.weights), flat(m.weights)
         # Rows with equal hashes are equal, so the order of the hashes is the same in each run.
-        held, words, codes = [], 0, table.column("codes")
+        held, words, ids, small = [], 0, table.column("ids"), _id_type(m)
         for i in np.argsort(table.column("h").to_numpy(), kind="stable").tolist():
-            held.append(m.ids(np.frombuffer(codes[i].as_py(), np.int32)))
+            held.append(np.frombuffer(ids[i].as_py(), small).astype(np.int32))
             words += len(held[-1])
             if words >= PART_WORDS:
                 trainer.texts(held, shift)
