@@ -214,21 +214,22 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         state = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count("*").alias("n"))
-        large = _with_low(both.where("v > u"), low, 2 * now[0], label).where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        large = _met(both.where("v > u"), low, "u", 2 * now[0], f"{label}-low").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         large = materialise(large, label)
         low = large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
-        small = _with_low(large, low, now[0], label)
+        small = _met(large, low, "u", now[0], f"{label}-low")
         small = small.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v")))
         edges = materialise(small.where("u != v").distinct(), label)
 
 
-def _with_low(edges: DataFrame, low: DataFrame, n_edges: int, label: str) -> DataFrame:
-    """``edges`` (u, v) with ``low`` of their u, from ``low`` (u, low, n: its edges)."""
-    most = max(LEAST_HOT, n_edges // HOT_SHARE)
-    low = materialise(low, f"{label}-low")
-    hot = F.broadcast(low.where(F.col("n") > most).select("u", "low"))  # n_edges / most rows at most
-    rest = edges.join(hot.select("u"), "u", "left_anti").join(low.where(F.col("n") <= most).select("u", "low"), "u")
-    return edges.join(hot, "u").select("u", "v", "low").unionByName(rest.select("u", "v", "low"))
+def _met(rows: DataFrame, table: DataFrame, key: str, n_rows: int, label: str) -> DataFrame:
+    """``rows``, ``n_rows`` at most, joined with ``table``: one row a key, with n, the rows of the key. Keys with very many are broadcast."""
+    most = max(LEAST_HOT, n_rows // HOT_SHARE)
+    table = materialise(table, label)
+    hot = F.broadcast(table.where(F.col("n") > most).drop("n"))  # n_rows / most rows at most
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("n") <= most).drop("n"), key)
+    met = rows.join(hot, key)
+    return met.unionByName(rest.select(*met.columns))
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -342,8 +343,8 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def links_between(docs: DataFrame, classes: DataFrame, members: DataFrame, joined: DataFrame, k: int, similarity: int) -> DataFrame | None:
     """Links, enough to join what they join, between members of one bucket (bucket, b) that ``joined`` (node, component) has in different components; None if there are no candidates."""
     placed = members.select("bucket", F.col("b").alias("node")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_ = materialise(placed.join(split, "bucket").join(classes.select("node", "n_shingles", *BITS), "node"), "dup-open")
+    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
+    open_ = materialise(_met(placed, split, "bucket", members.count(), "dup-split").join(classes.select("node", "n_shingles", *BITS), "node"), "dup-open")
     if not open_.take(1):
         return None
     in_family = materialise(families(open_, similarity), "dup-family")
@@ -393,8 +394,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
     sets = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", *BITS, "bands")])
     classes = materialise(sets, "dup-classes")
     banded = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("bucket", "a")
-    members = materialise(banded.join(shared, "bucket").select("bucket", "a", F.col("node").alias("b")), "dup-members")
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.count("*").alias("n")).where("a < last").select("bucket", "a", "n")
+    members = _met(banded, shared, "bucket", BANDS * classes.count(), "dup-shared")
+    members = materialise(members.select("bucket", "a", F.col("node").alias("b")), "dup-members")
 
     pairs = members.where("a != b").select("a", "b").distinct().join(_end(classes, "a"), "a").join(_end(classes, "b"), "b").where(_can_link(similarity)).select("a", "b").distinct()
     links = verified(docs, materialise(pairs, "dup-pairs"), k, similarity, "dup-first")
