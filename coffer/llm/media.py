@@ -7,8 +7,10 @@ PGM image 64 samples wide.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import in_small_batches, text_bytes
+from coffer.llm.common import in_small_batches, parts, text_bytes
 
 WIDTH = 64
 TILE = 16
@@ -133,6 +135,10 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
+#: Samples that are held as 64-bit numbers at once: a strip of an image's rows.
+STRIP = 1 << 18
+
+
 def grey(pixels: np.ndarray) -> np.ndarray:
     """Samples 0 to 255 as float64 (height, width); colour by the weights 299, 587, 114 of a thousand."""
     values = pixels.astype(np.float64)
@@ -141,19 +147,35 @@ def grey(pixels: np.ndarray) -> np.ndarray:
     return values @ np.array([0.299, 0.587, 0.114]) if values.ndim == 3 else values
 
 
-def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of ``image`` over each cell of a height x width grid, parts of samples counted by area.
+def integral_rows(pixels: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows ``at`` (ascending, from 0 to the height) of the integral image of ``pixels`` in grey: sums of all above and left of each corner.
+
+    Rows between are summed strip by strip, so an image of any height takes
+    STRIP numbers and the rows asked for.
+    """
+    step = max(1, STRIP // max(1, pixels[0].size))
+    out, total, done = np.zeros((len(at), pixels.shape[1] + 1)), np.zeros(pixels.shape[1]), 0
+    for i, row in enumerate(at.tolist()):
+        for first in range(done, row, step):
+            total += grey(pixels[first : min(first + step, row)]).sum(0)
+        done = row
+        out[i, 1:] = total.cumsum()
+    return out
+
+
+def resize_area(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean of ``pixels`` in grey over each cell of a height x width grid, parts of samples counted by area.
 
-    The integral image has the sum of all above and left of each corner; between
-    corners it is bilinear, so four lookups give the sum of any cell.
+    Between its corners the integral image is bilinear, so four lookups give the
+    sum of any cell, and only its rows at the cells' edges are needed.
     """
-    rows, cols = image.shape
-    integral = np.zeros((rows + 1, cols + 1))
-    integral[1:, 1:] = image.cumsum(0).cumsum(1)
+    rows, cols = pixels.shape[:2]
     y, x = np.arange(height + 1) * (rows / height), np.arange(width + 1) * (cols / width)
     top, left = np.minimum(y.astype(np.int64), rows - 1), np.minimum(x.astype(np.int64), cols - 1)
     fy, fx = (y - top)[:, None], (x - left)[None, :]
-    at_rows = integral[top] * (1 - fy) + integral[top + 1] * fy
+    needed = np.unique(np.concatenate([top, top + 1]))
+    integral = integral_rows(pixels, needed)
+    at_rows = integral[np.searchsorted(needed, top)] * (1 - fy) + integral[np.searchsorted(needed, top + 1)] * fy
     corners = at_rows[:, left] * (1 - fx) + at_rows[:, left + 1] * fx
     return np.diff(np.diff(corners, axis=0), axis=1) / ((rows / height) * (cols / width))
 
@@ -182,8 +204,7 @@ def describe(data: bytes | None, side: int = TILE) -> tuple:
         pixels = decode(data)
     except MediaError as e:
         return None, None, None, None, None, str(e)
-    image = grey(pixels)
-    return pixels.shape[0], pixels.shape[1], pixels.tobytes(), npy_tile(image, side), difference_hash(image), None
+    return pixels.shape[0], pixels.shape[1], pixels.tobytes(), npy_tile(pixels, side), difference_hash(pixels), None
 
 
 def process_media(df: DataFrame, media: str, keep: list[str], side: int = TILE) -> DataFrame:
@@ -227,16 +248,27 @@ def media_features(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
     media_bytes, media_sha256, feature (difference hash and CRC-32 of the NPY
     tile). Null and empty texts: 64 zero bytes. Null or repeated doc_ids: kept.
+    A worker holds one image at a time beside its batch, and of that its bytes,
+    its samples and STRIP numbers.
     """
     stored = text_media(docs).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    read = process_media(stored, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
-    return read.select(
-        "doc_id",
-        "n_bytes",
-        F.octet_length("samples").cast("long").alias("payload_bytes"),
-        F.sha2("samples", 256).alias("payload_sha256"),
-        F.crc32(F.substring("samples", -WIDTH, WIDTH)).alias("tail_crc32"),
-        "media_bytes",
-        "media_sha256",
-        F.concat("dhash", F.lit("-"), F.lpad(F.lower(F.hex(F.crc32("tile"))), 8, "0")).alias("feature"),
-    )
+    keep = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields if f.name in keep)
+    kinds += ", payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            made = [_digests(data.as_py()) for data in batch.column(len(keep))]
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+
+    read = in_small_batches(stored.select(*keep, "media")).mapInArrow(run, kinds)
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def _digests(stored: bytes) -> tuple[int, str, int, str]:
+    """Of what is read back from an image: its samples' number, SHA-256 and the CRC-32 of the last WIDTH; its difference hash and its tile's CRC-32. Only these leave the worker."""
+    _, _, samples, tile, dhash, error = describe(stored)
+    if error is not None:
+        raise MediaError(error)
+    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), f"{dhash}-{zlib.crc32(tile):08x}"
