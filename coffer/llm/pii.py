@@ -86,8 +86,8 @@ PATTERNS = [
     ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("key", r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])"),
     ("secret", rf"{_SECRET_NAME}[\"']?\s{{0,3}}[=:]\s{{0,3}}(?:\"[^\"\s]{{8,}}\"|'[^'\s]{{8,}}'|{_SECRET_VALUE})"),
-    ("name", rf"(?:{_TITLE}\s{{1,3}})?(?:{_GIVEN_ANY})\s{{1,3}}(?:(?:{_GIVEN_ANY}|{_INITIAL}|{_PARTICLE})\s{{1,3}})*{_SURNAME}|{_TITLE}\s{{1,3}}{_INNER}{_SURNAME}(?:\s{{1,3}}{_INNER}{_SURNAME})?"),
-    ("name", rf"(?<=\b(?:{_CUES})\s){_WHOLE}|{_WHOLE}(?=\s(?:{_DOES})\b|\s?[<(][A-Za-z0-9._+\-]++@)|{_WHOLE}(?=\s(?:and|und|et|y|&)\s{_WHOLE})"),
+    ("name", rf"(?=\p{{Lu}})(?:(?:{_TITLE}\s{{1,3}})?(?:{_GIVEN_ANY})\s{{1,3}}(?:(?:{_GIVEN_ANY}|{_INITIAL}|{_PARTICLE})\s{{1,3}})*{_SURNAME}|{_TITLE}\s{{1,3}}{_INNER}{_SURNAME}(?:\s{{1,3}}{_INNER}{_SURNAME})?)"),
+    ("name", rf"(?=\p{{Lu}}\p{{Ll}}[\p{{L}}'’\-]*+\s[\p{{Lu}}vdztbi])(?:(?<=\b(?:{_CUES})\s){_WHOLE}|{_WHOLE}(?:(?=\s(?:{_DOES})\b)|(?=\s?[<(][A-Za-z0-9._+\-]++@)|(?=\s(?:and|und|et|y|&)\s{_WHOLE})))"),
 ]
 #: All of them, where no word, number or address goes on.
 ANY = r"(?<![\p{L}\p{N}._+\-@])(?:" + "|".join(p for _, p in PATTERNS) + ")"
