@@ -70,10 +70,11 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def encode_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False, small: bool = False) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32 and, if asked for, ids, or small_ids: the same as bytes, two for an id if none of the piece needs four.
 
-    A document's ids end with id 2; null text has only that. ids_crc32 is over
+    A document's ids end with id 2; null text has only that; bytes that are no UTF-8
+    count as U+FFFD. ids_crc32 is over
     the ids as little-endian unsigned 32-bit numbers.
     """
-    raw = docs.select("doc_id", text_bytes().cast("string").alias("text"))
+    raw = docs.select("doc_id", text_bytes().alias("text"))
     kind = raw.schema["doc_id"].dataType
     fields = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["small_ids"] * small
 
@@ -84,7 +85,7 @@ def encode_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, wi
                 rows: list[list] = [[] for _ in fields]
                 source, held, tight = [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    ids = np.append(encode(text, vocabulary).astype("<u4"), np.array([END_ID], "<u4"))
+                    ids = np.append(encode(text.decode("utf-8", "replace"), vocabulary).astype("<u4"), np.array([END_ID], "<u4"))
                     data = ids.tobytes()
                     held.append(ids)
                     for k, (start, length) in enumerate(cut(len(ids), capacity)):

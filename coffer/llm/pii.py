@@ -307,10 +307,10 @@ def _made(named: DataFrame, key: str) -> DataFrame:
     return materialise(surrogates(addresses.select(*columns).unionByName(rest.select(*columns)), key), "pii-made")
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with the entities in ``text`` replaced; columns and rows as they were, and ``pii`` added: an array of (kind, surrogate) in the order of the text.
+def replace_pii(docs: DataFrame, key: str = KEY, report: str = "pii") -> DataFrame:
+    """``docs`` with the entities in ``text`` replaced; columns and rows as they were, and ``report`` added: an array of (kind, surrogate) in the order of the text.
 
-    A column ``pii`` of the input is replaced. Null and empty texts, and texts
+    A column of that name in the input is replaced. Null and empty texts, and texts
     without entities, stay as they are, with an empty array. Equal texts become
     equal texts. Rows are not matched by doc_id, so null or repeated ids do no
     harm. The same key gives the same replacements for the same corpus.
@@ -327,15 +327,15 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     size = by_text.agg(F.count("*"), F.sum(F.size("spoken"))).first()
     if max(size[0], size[1] or 0) <= BROADCAST_ROWS:
         by_text = F.broadcast(by_text)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "pii"]).alias("row"), F.col("text").cast("string").alias("old"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != report]).alias("row"), F.col("text").cast("string").alias("old"))
     joined = whole.withColumn("key", F.md5("old")).join(by_text, F.col("key") == F.col("text_key"), "left")
     gaps = F.split("old", F.lit(ANY), -1)
     woven = F.array_join(F.zip_with(gaps, F.transform("spoken", lambda p: p["surrogate"]), lambda g, s: F.concat(F.coalesce(g, F.lit("")), F.coalesce(s, F.lit("")))), "")
     fitting = F.when(F.size(gaps) == F.size("spoken") + 1, woven).otherwise(F.raise_error(F.lit("mentions and replacements differ in number")))
     joined = joined.withColumn("new", F.when(F.col("spoken").isNull(), F.col("old")).otherwise(fitting))
-    kept = [F.col("new").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "pii"]
+    kept = [F.col("new").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != report]
     entities = F.filter(F.coalesce("spoken", F.array()), lambda p: ~p["kind"].isin(*NO_KINDS))
-    return joined.select(*kept, F.transform(entities, lambda p: F.struct(p["kind"].alias("kind"), p["surrogate"].alias("surrogate"))).alias("pii"))
+    return joined.select(*kept, F.transform(entities, lambda p: F.struct(p["kind"].alias("kind"), p["surrogate"].alias("surrogate"))).alias(report))
 
 
 def replaced_documents(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -340,20 +340,21 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     """Tokens of each row of ``docs`` (doc_id, text; other columns are ignored).
 
     ``vocabulary``: path of a byte-level BPE ``tokenizers`` file on each executor. Returns doc_id, n_bytes, n_tokens,
-    over_limit (n_tokens > limit). Null texts count as empty: no tokens. Null or
+    over_limit (n_tokens > limit). Null texts count as empty: no tokens. Bytes that
+    are no UTF-8 count as U+FFFD in tokens and as themselves in n_bytes. Null or
     repeated doc_ids: one row out for each row in.
     """
-    raw = docs.select("doc_id", text_bytes().cast("string").alias("text"))
+    raw = docs.select("doc_id", text_bytes().alias("text"))
     kind = raw.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)
         for batch in batches:
             done = 0
-            texts = batch.column(1).to_pylist()
-            for part in in_parts(texts):
+            raw_texts = batch.column(1).to_pylist()
+            for part in in_parts([t.decode("utf-8", "replace") for t in raw_texts]):
                 tokens = count.count(part)
-                n_bytes = [len(t.encode()) for t in part]
+                n_bytes = [len(t) for t in raw_texts[done : done + len(part)]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.array(n_bytes, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
                 done += len(part)
 

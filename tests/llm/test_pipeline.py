@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from support import awkward, clashing, empty
 
 import corpus_pipeline
 from coffer.llm import mixing, neardup, pii, toxicity
@@ -64,6 +65,17 @@ def test_packing_holds_every_row(stages):
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
 
 
+@pytest.mark.parametrize("make", [empty, awkward, lambda spark: clashing(awkward(spark))])
+def test_stages_take_awkward_tables(spark, make, tmp_path):
+    """Each stage takes empty tables, nulls, repeated rows and clashing names, and all but the last keep the columns."""
+    spark.createDataFrame([(i, 1, i % 2) for i in range(1, 9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = make(spark)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() >= 0 and (n == 4 or out.columns == docs.columns)
+        docs = out if n < 4 else docs
+
+
 def test_run_and_registry(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 11))

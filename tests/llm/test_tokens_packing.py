@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from support import awkward, clashing, empty, frame
 from tokenizers import Tokenizer
 
@@ -94,6 +95,13 @@ def test_count_documents(spark, library):
     assert tokencount.count_tokens(empty(spark), vocabulary_path()).count() == 0
 
 
+def test_texts_that_are_no_utf8(spark, library):
+    docs = spark.range(2).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, F.unhex(F.lit("4142ff2043"))).otherwise(F.unhex(F.lit("e282"))).cast("string").alias("text"))
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(("AB\ufffd C", "\ufffd"))}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in tokencount.count_tokens(docs, vocabulary_path()).collect()} == {0: (5, want[0]), 1: (2, want[1])}
+    assert {r["doc_id"]: r["length"] for r in packing.pack_documents(docs, vocabulary_path()).collect()} == {i: n + 1 for i, n in want.items()}
+
+
 def test_ids_equal_the_library(library):
     for text in noise(500, seed=6) + ["a" * 5000]:
         assert packing.encode(text, vocabulary_path()).tolist() == library.encode(text, add_special_tokens=False).ids
