@@ -18,7 +18,7 @@ def folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith("local["):
+        if not root and context.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(root or tempfile.mkdtemp(prefix="coffer-checkpoint-"))
     return context.getCheckpointDir()

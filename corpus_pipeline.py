@@ -28,10 +28,11 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates in ``text`` and n_chars to match."""
-    out = pii.replace_pii(docs)
+    report = "pii" + "_" * max(map(len, docs.columns))  # no column's name
+    out = pii.replace_pii(docs, report=report)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("pii")
+        out = out.withColumn("n_chars", F.when(F.size(report) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(report)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
