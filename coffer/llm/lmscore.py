@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +53,8 @@ HIDDEN = 16
 #: One place in STRIDE of each document is trained on in a round, and each round has its own: together they train on every place once.
 ROUNDS = 2
 STRIDE = ROUNDS
-BATCH = 4096
+#: Places in a step: as many as leave STEPS of them in a lane and round, within these bounds.
+BATCH, LEAST_BATCH, STEPS = 8192, 4096, 200
 RATE = 0.15
 SEED = 4242
 #: Weights are averaged as multiples of 2^-20; a block has so many of them.
@@ -273,7 +275,9 @@ class Network:
 class Trainer:
     """Adagrad over batches of windows."""
 
-    def __init__(self, weights: dict[str, np.ndarray]) -> None:
+    def __init__(self, weights: dict[str, np.ndarray], words: int = 0) -> None:
+        """``words``: of all texts to come, if known."""
+        self.batch = min(BATCH, max(LEAST_BATCH, words // ROUNDS // STEPS))
         self.net = Network({k: v.copy() for k, v in weights.items()})
         self.squares = {k: np.full(v.shape, 1e-6, np.float32) for k, v in weights.items()}
         self.windows = 0
@@ -297,8 +301,8 @@ class Trainer:
             places.append(np.arange(at + shift, at + len(t), STRIDE))
             at += len(t) + SIDE
         chosen = np.concatenate(places) if places else np.empty(0, np.int64)
-        for a in range(0, len(chosen), BATCH):
-            self.step(ids, chosen[a : a + BATCH])
+        for a in range(0, len(chosen), self.batch):
+            self.step(ids, chosen[a : a + self.batch])
 
 
 def folded(codes: np.ndarray, first: int, buckets: int) -> np.ndarray:
@@ -325,7 +329,7 @@ class Model:
         """Summed log-probability of each text's words, given as codes."""
         ids, places = stream([self.ids(t) for t in texts])
         net = Network(self.weights)
-        logs = np.concatenate([net.log_probability(ids, places[a : a + 2 * BATCH]) for a in range(0, len(places), 2 * BATCH)]) if len(places) else np.empty(0)
+        logs = np.concatenate([net.log_probability(ids, places[a : a + BATCH]) for a in range(0, len(places), BATCH)]) if len(places) else np.empty(0)
         codes = np.concatenate([np.empty(0, np.int32), *texts])
         rare = codes >= self.first
         logs[rare] += self.shares[codes[rare] - self.first]
@@ -434,7 +438,7 @@ def trained(rows: DataFrame, model: Model, total: int) -> Model:
     lanes = max(1, -(-total // max(LANE_WORDS, LANE_SHARE * size)))
     dealt = rows.where("n_words > 0").select(F.pmod("h", F.lit(lanes)).cast("int").alias("lane"), "h", "ids")
     for r in range(ROUNDS if total else 0):
-        copies = dealt.groupBy("lane").applyInArrow(_fitter(session.broadcast(model), r), "block int, lane int, windows bigint, moved binary")
+        copies = dealt.repartitionByRange(lanes, "lane").groupBy("lane").applyInArrow(_fitter(session.broadcast(model), r), "block int, lane int, windows bigint, moved binary")
         moved = _averaged(copies, size, lanes)
         if not len(moved):
             break
@@ -447,9 +451,10 @@ def _fitter(shared: Broadcast, shift: int) -> Callable[[pa.Table], pa.Table]:
 
     def fit(table: pa.Table) -> pa.Table:
         m = shared.value
-        trainer, start = Trainer(m.weights), flat(m.weights)
+        small, bytes_ = _id_type(m), pc.sum(pc.binary_length(table.column("ids"))).as_py()
+        trainer, start = Trainer(m.weights, bytes_ // np.dtype(small).itemsize), flat(m.weights)
         # Rows with equal hashes are equal, so the order of the hashes is the same in each run.
-        held, words, ids, small = [], 0, table.column("ids"), _id_type(m)
+        held, words, ids = [], 0, table.column("ids")
         for i in np.argsort(table.column("h").to_numpy(), kind="stable").tolist():
             held.append(np.frombuffer(ids[i].as_py(), small).astype(np.int32))
             words += len(held[-1])
