@@ -226,6 +226,8 @@ def _met(rows: DataFrame, table: DataFrame, key: str, n_rows: int, label: str) -
     """``rows``, ``n_rows`` at most, joined with ``table``: one row a key, with n, the rows of the key. Keys with very many are broadcast."""
     most = max(LEAST_HOT, n_rows // HOT_SHARE)
     table = materialise(table, label)
+    if not table.where(F.col("n") > most).take(1):
+        return rows.join(table.drop("n"), key)
     hot = F.broadcast(table.where(F.col("n") > most).drop("n"))  # n_rows / most rows at most
     rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("n") <= most).drop("n"), key)
     met = rows.join(hot, key)

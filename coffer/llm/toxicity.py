@@ -29,6 +29,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -273,16 +274,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counted = in_small_batches(texts).select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, word binary, n int").toArrow()
     coded = counted.column("word").combine_chunks().dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    words: list[bytes] = coded.dictionary.to_pylist()
-    sorted_place = np.empty(len(words), np.int64)
-    by_name = sorted(range(len(words)), key=words.__getitem__)
-    sorted_place[by_name] = np.arange(len(words))
-    words = [words[i] for i in by_name]
+    by_name = pc.array_sort_indices(coded.dictionary)
+    sorted_place = np.empty(len(by_name), np.int64)
+    sorted_place[by_name.to_numpy()] = np.arange(len(by_name))
+    words: list[bytes] = coded.dictionary.take(by_name).to_pylist()
     term = sorted_place[coded.indices.to_numpy(zero_copy_only=False)]
     place = {doc_id: i for i, (_, doc_id) in enumerate(listed)}
-    owner = np.fromiter((place[d] for d in counted.column("doc_id").to_pylist()), np.int64, len(term))
+    ids = counted.column("doc_id").combine_chunks().dictionary_encode()
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    owner = np.array([place[d] for d in ids.dictionary.to_pylist()], np.int64)[ids.indices.to_numpy(zero_copy_only=False)]
     times = 1 + np.log(counted.column("n").to_numpy().astype(np.float64))
-    del counted, coded
+    del counted, coded, ids
+    pa.default_memory_pool().release_unused()
 
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -310,6 +313,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     model = Model(words, weights, (math.log(1 + total) + 1) * FLOOR, [d for _, d in listed], toxic.tolist(), (owner, term, entry), (n0 / s0, n1 / s1), base, id_kind=texts.schema["doc_id"].dataType)
     model.calibrate()
     model.__dict__.pop("index", None)  # made anew where it is used
+    del order, in_toxic, counts
+    pa.default_memory_pool().release_unused()
     return model
 
 
